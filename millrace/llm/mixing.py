@@ -99,7 +99,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     summed = running_sum(keyed, [F.col("source").asc_nulls_last(), F.col("h").asc(), F.col("id").asc_nulls_first()], "size", "mix-order")
     joined = summed.alias("a").join(goal.alias("g"), F.col("a.source").eqNullSafe(F.col("g.source"))).select("a.id", "a.size", "a.before", "g.source_size", "g.source_start", "g.target", "g.cls")
     want, at = F.floor("target").cast("bigint"), F.col("before") - F.col("source_start")
-    part = lambda k: F.greatest(F.lit(0).cast("bigint"), F.least(F.col("size"), want - k * F.col("source_size") - upto))
+    part = lambda k: F.greatest(F.lit(0).cast("bigint"), F.least(F.col("size"), want - k * F.col("source_size") - at))
     taken = part(0)
     for k in range(1, MAX_REPEATS):
         taken = taken + part(k)
@@ -127,7 +127,7 @@ WITH RECURSIVE d AS (
   SELECT *, sum(cap) OVER o - cap AS full_cap, sum(w) OVER () - (sum(w) OVER o - w) AS left_w, (SELECT sum(source_size)::DOUBLE * 1.5 FROM w) AS total
   FROM w WINDOW o AS (ORDER BY cap / w, source NULLS LAST ROWS UNBOUNDED PRECEDING)
 ), l AS (
-  SELECT min((total - full_cap) / left_w) FILTER (WHERE (total - full_cap) / left_w <= cap / w) AS level FROM p
+  SELECT max((total - full_cap) / left_w) FILTER (WHERE (total - full_cap) / left_w <= cap / w) AS level FROM p
 ), g AS (
   SELECT source, source_size, cls, least(cap, (SELECT level FROM l) * w)::DOUBLE AS target FROM w
 ), r AS (
