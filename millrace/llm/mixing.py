@@ -108,8 +108,9 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
 
 
 def in_training_order(mixed: DataFrame, position: str = "position") -> DataFrame:
-    """Range-sort by training position: every file follows the one before."""
-    return mixed.repartitionByRange(F.col(position).asc_nulls_last()).sortWithinPartitions(F.col(position).asc_nulls_last())
+    """Range-sort by training position, then the first column: every file follows the one before."""
+    keys = [F.col(position).asc_nulls_last(), *[F.col(c).asc_nulls_last() for c in mixed.columns[:1]]]
+    return mixed.repartitionByRange(*keys).sortWithinPartitions(*keys)
 
 
 def op7_source_mixing(spark, sf_dir: str) -> DataFrame:

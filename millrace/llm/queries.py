@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from millrace.llm import exact_dedup, mixing
+from millrace.llm import decontam, exact_dedup, langid, mixing, pii, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op2_language_id": langid.op2_language_id,
+    "op3_toxicity": toxicity.op3_toxicity,
+    "op4_benchmark_decontamination": decontam.op4_benchmark_decontamination,
     "op7_source_mixing": mixing.op7_source_mixing,
+    "op8_pii": pii.op8_pii,
 }
 
 ORACLES = {
