@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.llm import decontam, exact_dedup, langid, mixing, pii, toxicity
+from millrace.llm import decontam, exact_dedup, langid, mixing, pii, toxicity, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -11,9 +11,11 @@ QUERIES = {
     "op4_benchmark_decontamination": decontam.op4_benchmark_decontamination,
     "op7_source_mixing": mixing.op7_source_mixing,
     "op8_pii": pii.op8_pii,
+    "op9_warc": warc.op9_warc,
 }
 
 ORACLES = {
     "op1_exact_dedup": exact_dedup.SQL,
     "op7_source_mixing": mixing.SQL,
+    "op9_warc": warc.SQL,
 }
