@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from millrace.llm import decontam, exact_dedup, langid, mixing, pii, toxicity, warc
+from millrace.llm import decontam, exact_dedup, langid, mixing, pii, tokenbin, toxicity, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_language_id": langid.op2_language_id,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_benchmark_decontamination": decontam.op4_benchmark_decontamination,
+    "op5_token_ids": tokenbin.op5_token_ids,
     "op7_source_mixing": mixing.op7_source_mixing,
     "op8_pii": pii.op8_pii,
     "op9_warc": warc.op9_warc,
