@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.llm import decontam, exact_dedup, langid, mixing, pii, tokenbin, toxicity, warc
+from millrace.llm import decontam, exact_dedup, langid, mixing, ngram, pii, tokenbin, toxicity, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -13,6 +13,7 @@ QUERIES = {
     "op7_source_mixing": mixing.op7_source_mixing,
     "op8_pii": pii.op8_pii,
     "op9_warc": warc.op9_warc,
+    "op10_lm_score": ngram.op10_lm_score,
 }
 
 ORACLES = {

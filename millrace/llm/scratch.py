@@ -50,3 +50,11 @@ def partitions_for(spark: SparkSession, n_bytes: float, per_partition: int) -> i
 def ascii_lower(col):
     """Lower-case A-Z and nothing else (Spark's ``lower`` folds all of Unicode)."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def list_files(spark: SparkSession, path: str) -> list[str]:
+    """Full names of the part files of a written folder, sorted; works on any Hadoop file system."""
+    jvm = spark.sparkContext._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(s.getPath().toString() for s in fs.listStatus(hpath) if s.getPath().getName().startswith("part-"))
