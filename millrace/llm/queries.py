@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.llm import decontam, exact_dedup, langid, mixing, ngram, pii, tokenbin, toxicity, warc
+from millrace.llm import decontam, exact_dedup, langid, mixing, neardup, ngram, pii, tokenbin, toxicity, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_benchmark_decontamination": decontam.op4_benchmark_decontamination,
     "op5_token_ids": tokenbin.op5_token_ids,
+    "op6_minhash_near_dedup": neardup.op6_minhash_near_dedup,
     "op7_source_mixing": mixing.op7_source_mixing,
     "op8_pii": pii.op8_pii,
     "op9_warc": warc.op9_warc,
