@@ -63,3 +63,15 @@ def map_pieces(df: DataFrame, text: str, fn: Callable[[pa.RecordBatch], dict], s
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, f.type) for f in arrow for x in (out[f.name],)], schema=arrow)
 
     return df.mapInArrow(run, schema)
+
+
+def filter_pieces(df: DataFrame, text: str, keep: Callable[[list], list]) -> DataFrame:
+    """The rows of ``df``, all columns as they are, for which ``keep`` (texts -> flags) holds."""
+    ship(df.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            for piece in pieces(batch, text):
+                yield piece.filter(pa.array(keep(piece.column(text).to_pylist()), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)

@@ -17,7 +17,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.batches import map_pieces
+from millrace.llm.batches import filter_pieces, map_pieces
 from millrace.llm.scratch import stage
 
 WINDOW, SHARD_WINDOWS = 13, 200_000
@@ -141,20 +141,44 @@ def _unite(hits):
     return F.aggregate(F.array_sort(hits), F.array().cast(kind), add)
 
 
+def _matcher(tag: str, items: list, window: int) -> Matcher:
+    if tag not in _BUILT:  # one automaton at a time in a worker
+        _BUILT.clear()
+        _BUILT[tag] = Matcher(items, window)
+    return _BUILT[tag]
+
+
 def _scan(spark, rows: DataFrame, items: list, window: int, key: str) -> DataFrame:
     """``items`` are one shard, so the broadcast is bounded by ``shard_windows`` windows."""
     sent, tag = spark.sparkContext.broadcast(items), uuid.uuid4().hex
 
     def fn(piece):
-        if tag not in _BUILT:  # one automaton at a time in a worker
-            _BUILT.clear()
-            _BUILT[tag] = Matcher(sent.value, window)
-        got = [_BUILT[tag].scan(t) for t in piece.column("t").to_pylist()]
+        matcher = _matcher(tag, sent.value, window)
+        got = [matcher.scan(t) for t in piece.column("t").to_pylist()]
         return {key: piece.column(key), "n_words": [g[0] for g in got], "hits": [g[1] for g in got], "items": [g[2] for g in got]}
 
     return map_pieces(rows.select(key, "t"), "t", fn, f"{key} {dict(rows.dtypes)[key]}, {SCHEMA}")
 
 
+def drop_contaminated(df: DataFrame, benchmark: DataFrame, text_col="text", item_col="item_id", item_text_col="text", window=WINDOW, shard_windows=SHARD_WINDOWS) -> DataFrame:
+    """``df`` without its contaminated rows, decided row by row where they are read.
+
+    With more than one shard, a row passes through one scan per shard, which hands its hits on in a column.
+    """
+    spark = df.sparkSession
+    parts = list(shards(benchmark, item_col, item_text_col, window, shard_windows))
+    if len(parts) == 1:
+        sent, tag = spark.sparkContext.broadcast(parts[0]), uuid.uuid4().hex  # bounded by ``shard_windows``
+
+        def keep(texts):
+            return [not 0 < n <= 20 * sum(h["w1"] - h["w0"] for h in hits) for n, hits, _ in map(_matcher(tag, sent.value, window).scan, texts)]
+
+        return filter_pieces(df, text_col, keep)
+    kept = stage(df.withColumn("_row", F.monotonically_increasing_id()), "decontam")
+    flags = decontaminate(kept, benchmark, "_row", text_col, item_col, item_text_col, window, shard_windows)
+    return kept.join(flags.where("contaminated").select("_row"), "_row", "left_anti").select(*df.columns)
+
+
 def op4_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:
     got = decontaminate(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     digest = F.sha2(F.array_join("items", ",").cast("binary"), 256)

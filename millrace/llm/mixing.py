@@ -78,6 +78,26 @@ def due(share, cls, schedules=SCHEDULES):
     return out
 
 
+def _hash(id_col):
+    return F.md5(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary"))
+
+
+def plan(df: DataFrame, id_col: str, text_col: str, source_col: str, weights=WEIGHTS) -> DataFrame:
+    """id, source, h, size, source_size, target, cls, at (words of the source before), taken0, taken1, ... by pass."""
+    rows = stage(df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")), "mix")
+    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
+    by_source = [F.col("source").asc_nulls_last()]
+    ranked = running_sum(sizes.withColumn("one", F.lit(1).cast("bigint")), by_source, "one", "mix-sources")
+    ranked = stage(ranked.select("source", "source_size", (F.col("before") % len(weights)).cast("int").alias("cls")), "mix-ranks")
+    goal = running_sum(targets(ranked, weights), by_source, "source_size", "mix-starts").withColumnRenamed("before", "source_start")
+    keyed = rows.withColumn("h", _hash(F.col("id")))
+    summed = running_sum(keyed, [*by_source, F.col("h").asc(), F.col("id").asc_nulls_first()], "size", "mix-order")
+    joined = summed.alias("a").join(goal.alias("g"), F.col("a.source").eqNullSafe(F.col("g.source")))
+    want, at = F.floor("g.target").cast("bigint"), F.col("a.before") - F.col("g.source_start")
+    taken = [F.greatest(F.lit(0).cast("bigint"), F.least(F.col("a.size"), want - k * F.col("g.source_size") - at)).alias(f"taken{k}") for k in range(MAX_REPEATS)]
+    return joined.select("a.id", "a.source", "a.h", "a.size", "g.source_size", "g.target", "g.cls", at.alias("at"), *taken)
+
+
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, schedules=SCHEDULES) -> DataFrame:
     """One row per input row: id, size, source_size, target, taken, position.
 
@@ -88,25 +108,29 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     (null ids as empty), then the row, so reruns agree unless rows repeat fully, which are alike anyway.
     Null text: size 0. Null source: a source of its own. Empty table: no rows. Other columns are not read.
     """
-    rows = stage(df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")), "mix")
-    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
-    one = F.lit(1).cast("bigint")
-    ranked = running_sum(sizes.withColumn("one", one), [F.col("source").asc_nulls_last()], "one", "mix-sources")
-    ranked = stage(ranked.select("source", "source_size", (F.col("before") % len(weights)).cast("int").alias("cls")), "mix-ranks")
-    goal = targets(ranked, weights)
-    goal = running_sum(goal, [F.col("source").asc_nulls_last()], "source_size", "mix-starts").withColumnRenamed("before", "source_start")
-    keyed = rows.withColumn("h", F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary")))
-    summed = running_sum(keyed, [F.col("source").asc_nulls_last(), F.col("h").asc(), F.col("id").asc_nulls_first()], "size", "mix-order")
-    joined = summed.alias("a").join(goal.alias("g"), F.col("a.source").eqNullSafe(F.col("g.source"))).select("a.id", "a.size", "a.before", "g.source_size", "g.source_start", "g.target", "g.cls")
-    want, at = F.floor("target").cast("bigint"), F.col("before") - F.col("source_start")
-    part = lambda k: F.greatest(F.lit(0).cast("bigint"), F.least(F.col("size"), want - k * F.col("source_size") - at))
-    taken = part(0)
-    for k in range(1, MAX_REPEATS):
-        taken = taken + part(k)
-    out = joined.withColumn("taken", taken).withColumn("position", F.when(F.col("taken") > 0, due(at / F.col("target"), F.col("cls"), schedules)))
+    out = plan(df, id_col, text_col, source_col, weights)
+    taken = sum((F.col(f"taken{k}") for k in range(1, MAX_REPEATS)), F.col("taken0"))
+    out = out.withColumn("taken", taken).withColumn("position", F.when(F.col("taken") > 0, due(F.col("at") / F.col("target"), F.col("cls"), schedules)))
     return out.select(F.col("id").alias(id_col), "size", "source_size", "target", "taken", "position")
 
 
+def mixed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS) -> DataFrame:
+    """``df`` with each row as often as the mix takes it, 0 to 2 times; all columns as they are.
+
+    A pass over a source ends at one place of its order, so a row per source and pass says where, and the
+    documents, with their texts, are joined with that small table alone. The document at which a target is met
+    counts if at least half of it is taken.
+    """
+    planned = plan(df, id_col, text_col, source_col, weights)
+    place = F.struct("h", F.col("id").isNotNull().alias("z"), "id")
+    last = [F.max(F.when((F.col(f"taken{k}") > 0) & (2 * F.col(f"taken{k}") >= F.col("size")), place)).alias(f"_last{k}") for k in range(MAX_REPEATS)]
+    ends = stage(planned.groupBy(F.col("source").alias("_source")).agg(*last), "mix-ends")
+    own = F.struct(_hash(F.col(id_col)).alias("h"), F.col(id_col).isNotNull().alias("z"), F.col(id_col).alias("id"))
+    times = sum((F.coalesce((F.col("_own") <= F.col(f"_last{k}")).cast("int"), F.lit(0)) for k in range(1, MAX_REPEATS)), F.coalesce((F.col("_own") <= F.col("_last0")).cast("int"), F.lit(0)))
+    joined = df.withColumn("_own", own).join(ends, F.col(source_col).eqNullSafe(F.col("_source")))
+    return joined.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), times))).select(*df.columns)
+
+
 def in_training_order(mixed: DataFrame, position: str = "position") -> DataFrame:
     """Range-sort by training position, then the first column: every file follows the one before."""
     keys = [F.col(position).asc_nulls_last(), *[F.col(c).asc_nulls_last() for c in mixed.columns[:1]]]

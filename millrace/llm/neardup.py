@@ -316,5 +316,24 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE, per_cent: int = PER_CENT) -> DataFrame:
+    """``df`` with one row of each group of near duplicates, that with the smallest id (null ids last).
+
+    Rows are named by id and a hash of their text, so ids need not be unique; of rows that agree in both one stays.
+    The names of dropped rows are broadcast if they are few, and joined by shuffle otherwise.
+    """
+    whole, order = F.coalesce(F.col(text_col), F.lit("")), F.lpad(F.col(id_col).cast("string"), 20, "0")
+    name = F.concat(F.coalesce(order, F.lit("~")), F.lit(":"), F.hex(F.xxhash64(whole)))
+    rows = df.withColumn("_name", name)
+    found = stage(near_duplicates(rows.select("_name", F.col(text_col).alias("_text")), "_name", "_text", words, per_cent), "near-names")
+    gone = found.where(~F.col("kept")).select("_name").distinct()
+    few = gone.limit(BROADCAST_VERTICES + 1).count() <= BROADCAST_VERTICES
+    out = rows.join(F.broadcast(gone) if few else gone, "_name", "left_anti")
+    again = stage(found.where("kept and n_shingles > 0").groupBy("_name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_name"), "near-again")
+    if not again.isEmpty():
+        out = out.join(again, "_name", "left_anti").unionByName(out.join(again, "_name", "left_semi").dropDuplicates(["_name"]))
+    return out.select(*df.columns)
+
+
 def op6_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=4)

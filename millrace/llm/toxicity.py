@@ -18,7 +18,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.batches import map_pieces
+from millrace.llm.batches import filter_pieces, map_pieces
 from millrace.llm.scratch import stage
 
 #: Bounds on what is learned: labelled rows, words of the lexicon, exception phrases, characters of a word.
@@ -206,5 +206,17 @@ def toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return out.select(F.col("id").alias(id_col), held.alias("held_out"), F.col("tox_score").alias("score"), (F.col("tox_score") >= 0.5).cast("int").alias("predicted"), F.col("tox_hits").alias("n_hits"))
 
 
+def drop_toxic(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "toxic", model: Model | None = None) -> DataFrame:
+    """``df`` without the rows that score 0.5 or more; row by row where they are read, so ids need not be unique."""
+    model = model or learn(df, labels, id_col, text_col, label_id, label_col)
+    sent, tag = df.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex  # bounded by MAX_WORDS, MAX_PHRASES
+
+    def keep(texts):
+        scorer = _scorer(tag, sent.value)
+        return [scorer.score(fold(t)) < 0.5 for t in texts]
+
+    return filter_pieces(df, text_col, keep)
+
+
 def op3_toxicity(spark, sf_dir: str) -> DataFrame:
     return toxicity(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
