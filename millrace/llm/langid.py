@@ -83,7 +83,7 @@ def suffix_table(codes: list[int]) -> np.ndarray:
                 link[q] = link[cur] = clone
         last = cur
     top = np.int64(1) << 31
-    root = np.zeros(SYMBOLS, dtype=np.int64)
+    root = np.full(SYMBOLS, len(nxt) * SYMBOLS, dtype=np.int64)  # an unknown symbol is a phrase by itself
     for c, s in nxt[0].items():
         root[c] = s * SYMBOLS
     table = np.tile(root | top, (len(nxt) + 1, 1))
