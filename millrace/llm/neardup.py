@@ -5,9 +5,10 @@ MinHash coordinates: at a node one coordinate is chosen, with chance 1/4 a secon
 so far, and a document goes on to the child named by its MinHash there. So about 1.25 children are expected, and a
 pair of similarity 0.8 or more keeps at least one common child on average. Paths depend on the document alone:
 levels are computed where the document is, and only (node, vertex) rows are shuffled to learn nodes' sizes.
-Nodes of at most ``LEAF`` vertices are compared exhaustively by sketches, larger ones branch on, and what is large
-still at the last level is linked to the node's first vertex; if its members are not of one component after that,
-those outside are compared with all of the node in a join that lets only similar pairs out.
+Nodes of at most ``LEAF`` vertices are compared exhaustively by sketches, larger ones branch on. Of what is large
+still at the last level, blocks give the links of their maximum spanning forest by sketches. If a large node's
+members are not of one component after that, those outside its main component are compared exhaustively, on full
+sets and block by block, with all that share such nodes with them; only links come out, never candidates.
 
 Candidates are confirmed on full sets, which are hashed anew from the texts for the vertices that have any. The
 components come from alternating large-star and small-star steps on slim rows.
@@ -33,6 +34,8 @@ COORDS, TREES, LEAF, LEVELS = 128, 12, 48, (2, 4, 6)
 MAYBE, SURE = 0.64, 0.93
 #: Vertices with candidates up to this number are sent to all workers (24 bytes each); more are joined by shuffle.
 BROADCAST_VERTICES = 1_000_000
+#: Vertices of a large node's block for the forest; those outside and all others of a block of the exhaustive part.
+BLOCK, BLOCK_OUT, BLOCK_ALL = 768, 256, 2048
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _A = mix(np.arange(1, COORDS + 1, dtype=np.uint64)) | np.uint64(1)
 _B = mix(np.arange(1001, COORDS + 1001, dtype=np.uint64))
@@ -97,132 +100,169 @@ def _long(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def _bits(sig: np.ndarray) -> list[np.ndarray]:
-    """Four 64-bit words: bits 0 and 1 of every coordinate, for comparisons in SQL."""
-    bits = np.concatenate([sig & 1, (sig >> 1) & 1], axis=1).astype(np.uint8)
-    return list(np.ascontiguousarray(np.packbits(bits, axis=1)).view(np.int64).T)
+def _sketch(sig: np.ndarray) -> np.ndarray:
+    """Four bits of each coordinate, two coordinates to a byte."""
+    low = (sig & 15).astype(np.uint8)
+    return (low[:, 0::2] << 4) | low[:, 1::2]
+
+
+def _coords(sketches: list[bytes]) -> np.ndarray:
+    """(vertices, COORDS) four-bit values."""
+    x = np.frombuffer(b"".join(sketches), dtype=np.uint8).reshape(len(sketches), COORDS // 2)
+    return np.concatenate([x >> 4, x & 15], axis=1)
+
+
+#: Shares of equal four-bit values for similarity s: s + (1 - s) / 16.
+_MAYBE, _SURE = ((x + (1 - x) / 16) * COORDS for x in (MAYBE, SURE))
 
 
 def vertices(rows: DataFrame, words: int) -> DataFrame:
-    """id, n, d (digest of the set), and for non-empty sets sig and b1..b4, staged."""
+    """id, n, d (digest of the set), and for non-empty sets sig (MinHash values) and sk (sketch), staged."""
 
     def fn(piece):
         sets = shingle_sets(piece.column("t").to_pylist(), words)
         full = [i for i, s in enumerate(sets) if len(s)]
-        sig: list = [None] * len(sets)
-        bits = [[None] * len(sets) for _ in range(4)]
+        sig, sk = [None] * len(sets), [None] * len(sets)
         if full:
             got = minhash([sets[i] for i in full])
-            for i, row in zip(full, got):
-                sig[i] = row.tobytes()
-            for b, col in zip(bits, _bits(got)):
-                for i, x in zip(full, col.tolist()):
-                    b[i] = x
-        return {"id": piece.column("id"), "n": [len(s) for s in sets], "d": [digest(s) for s in sets], "sig": sig, **{f"b{k + 1}": b for k, b in enumerate(bits)}}
+            for i, row, low in zip(full, got, _sketch(got)):
+                sig[i], sk[i] = row.tobytes(), low.tobytes()
+        return {"id": piece.column("id"), "n": [len(s) for s in sets], "d": [digest(s) for s in sets], "sig": sig, "sk": sk}
 
-    return stage(map_pieces(rows, "t", fn, f"id {dict(rows.dtypes)['id']}, n bigint, d binary, sig binary, b1 bigint, b2 bigint, b3 bigint, b4 bigint"), "near-rows")
+    return stage(map_pieces(rows, "t", fn, f"id {dict(rows.dtypes)['id']}, n bigint, d binary, sig binary, sk binary"), "near-rows")
 
 
-def _paths(df: DataFrame, levels: int, first: bool) -> DataFrame:
-    """(node, d) of the vertices of ``df``: from the roots of all trees, or on from ``node``."""
+def _paths(reps: DataFrame, level: int, within: list[tuple[int, np.ndarray]]) -> DataFrame:
+    """(node, d) of all vertices after ``level`` levels, of those only that pass through the nodes named ``within`` levels."""
+    sent = reps.sparkSession.sparkContext.broadcast(within)  # at most BROADCAST_VERTICES numbers a level
 
     def run(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, 4096):
                 part = batch.slice(lo, 4096)
                 sig = np.frombuffer(b"".join(part.column("sig").to_pylist()), dtype=np.uint32).reshape(-1, COORDS)
-                if first:
-                    doc = np.repeat(np.arange(len(sig)), TREES)
-                    path = mix(np.tile(np.arange(1, TREES + 1, dtype=np.uint64), len(sig)) * _ODD)
-                else:
-                    doc, path = np.arange(len(sig)), part.column("node").to_numpy().view(np.uint64)
-                doc, path = branch(sig, doc, path, levels)
-                yield pa.RecordBatch.from_arrays([_long(path), part.column("d").take(pa.array(doc))], names=["node", "d"])
-
-    ship(df.sparkSession)
-    return df.mapInArrow(run, "node bigint, d binary")
-
-
-def _compare(members: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b), a before b, within each node of (node, d, sig); the nodes are small."""
-
-    def node_pairs(ds: list[bytes], sigs: list[bytes]):
-        order = sorted(range(len(ds)), key=ds.__getitem__)
-        ds = [ds[i] for i in order]
-        x = np.frombuffer(b"".join(sigs[i] for i in order), dtype=np.uint32).reshape(-1, COORDS)
-        if len(ds) == 2:
-            if np.count_nonzero(x[0] == x[1]) >= MAYBE * COORDS:
-                yield ds[0], ds[1]
-            return
-        same = np.stack([(x == row).sum(axis=1) for row in x])
-        group = list(range(len(ds)))
-        for i in range(1, len(ds)):  # each to the first that it is surely linked with
-            near = np.flatnonzero(same[i, :i] >= SURE * COORDS)
-            if len(near):
-                group[i] = group[near[0]]
-                yield ds[near[0]], ds[i]
-        for i, j in np.argwhere(np.triu(same >= MAYBE * COORDS, 1)).tolist():
-            if group[i] != group[j]:
-                yield ds[i], ds[j]
+                doc = np.repeat(np.arange(len(sig)), TREES)
+                path = mix(np.tile(np.arange(1, TREES + 1, dtype=np.uint64), len(sig)) * _ODD)
+                done = 0
+                for upto, nodes in sent.value:
+                    doc, path = branch(sig, doc, path, upto - done)
+                    keep = np.isin(path.view(np.int64), nodes)
+                    doc, path, done = doc[keep], path[keep], upto
+                doc, path = branch(sig, doc, path, level - done)
+                yield pa.RecordBatch.from_arrays([_long(path), part.column("d").take(pa.array(doc, pa.int64()))], names=["node", "d"])
+
+    ship(reps.sparkSession)
+    return reps.select("d", "sig").mapInArrow(run, "node bigint, d binary")
+
+
+def _grouped(batches, *names: str):
+    """Lists of the columns ``names[1:]`` for each run of equal values of the column ``names[0]``."""
+    key, held = None, [[] for _ in names[1:]]
+    for batch in batches:
+        for k, *row in zip(*(batch.column(n).to_pylist() for n in names)):
+            if k != key:
+                if held[0]:
+                    yield held
+                key, held = k, [[] for _ in names[1:]]
+            for h, x in zip(held, row):
+                h.append(x)
+    if held[0]:
+        yield held
+
+
+def _pairs_out(pairs, size: int = 50_000):
+    """Arrow batches (a, b) of pairs, each only once in a while."""
+    found: set = set()
+    for p in pairs:
+        found.add(p)
+        if len(found) >= size:
+            yield _pair_batch(found)
+            found = set()
+    yield _pair_batch(found)
+
+
+def _pair_batch(found) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.binary()), pa.array([p[1] for p in found], pa.binary())], names=["a", "b"])
+
+
+def _leaf_pairs(ds: list[bytes], sketches: list[bytes]):
+    """Candidate pairs of a small node: sure ones as a forest, and all others that may be between its trees."""
+    order = sorted(range(len(ds)), key=ds.__getitem__)
+    ds, x = [ds[i] for i in order], _coords([sketches[i] for i in order])
+    if len(ds) == 2:
+        if np.count_nonzero(x[0] == x[1]) >= _MAYBE:
+            yield ds[0], ds[1]
+        return
+    same = np.stack([(x == row).sum(axis=1) for row in x])
+    group = list(range(len(ds)))
+    for i in range(1, len(ds)):  # each to the first that it is surely linked with
+        near = np.flatnonzero(same[i, :i] >= _SURE)
+        if len(near):
+            group[i] = group[near[0]]
+            yield ds[near[0]], ds[i]
+    for i, j in np.argwhere(np.triu(same >= _MAYBE, 1)).tolist():
+        if group[i] != group[j]:
+            yield ds[i], ds[j]
+
+
+def _forest_pairs(ds: list[bytes], sketches: list[bytes]):
+    """Links of a maximum spanning forest of a block by sketches (Prim)."""
+    x = _coords(sketches)
+    best, link, free = np.full(len(ds), -1), np.zeros(len(ds), dtype=np.int64), np.ones(len(ds), dtype=bool)
+    at = 0
+    for _ in range(len(ds) - 1):
+        free[at] = False
+        same = (x == x[at]).sum(axis=1)
+        closer = free & (same > best)
+        best[closer], link[closer] = same[closer], at
+        at = int(np.argmax(np.where(free, best, -2)))
+        if best[at] >= _MAYBE:
+            a, b = ds[link[at]], ds[at]
+            if a != b:
+                yield min(a, b), max(a, b)
+
+
+def _compared(members: DataFrame, how, *keys: str) -> DataFrame:
+    """Candidate pairs (a, b), a before b, by ``how`` in each group of (keys, d, sk)."""
 
     def run(batches):
-        def out(pairs):
-            a, b = [p[0] for p in pairs], [p[1] for p in pairs]
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
-
-        node, ds, sigs, found = None, [], [], set()
-        for batch in batches:
-            for k, d, s in zip(batch.column("node").to_pylist(), batch.column("d").to_pylist(), batch.column("sig").to_pylist()):
-                if k != node:
-                    found.update(node_pairs(ds, sigs) if len(ds) > 1 else ())
-                    node, ds, sigs = k, [], []
-                    if len(found) > 100_000:
-                        yield out(found)
-                        found = set()
-                ds.append(d)
-                sigs.append(s)
-        found.update(node_pairs(ds, sigs) if len(ds) > 1 else ())
-        yield out(found)
+        yield from _pairs_out(p for ds, sketches in _grouped(batches, "k", "d", "sk") if len(ds) > 1 for p in how(ds, sketches))
 
     ship(members.sparkSession)
-    return members.repartition("node").sortWithinPartitions("node").select("node", "d", "sig").mapInArrow(run, "a binary, b binary")
-
-
-def _similar(x: str, y: str):
-    """Whether the bits of two vertices agree as often as those of a similar pair do (share (1 + s) / 2)."""
-    differ = sum((F.bit_count(F.col(f"{x}.b{k}").bitwiseXOR(F.col(f"{y}.b{k}"))) for k in range(1, 5)), F.lit(0))
-    return differ <= int(COORDS * (1 - MAYBE + 0.06))
+    rows = members.withColumn("k", F.xxhash64(*keys)) if len(keys) > 1 else members.withColumn("k", F.col(keys[0]))
+    return rows.repartition("k").sortWithinPartitions("k").select("k", "d", "sk").mapInArrow(run, "a binary, b binary")
 
 
 def candidates(reps: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """(candidate pairs, rows (node, d) of nodes that stayed large or None)."""
-    nodes, out, large = _paths(reps.select("d", "sig"), LEVELS[0], True), None, None
+    sketches, out, within = reps.select("d", "sk"), None, []
     for k, level in enumerate(LEVELS):
-        nodes = stage(nodes, "near-nodes")
+        nodes = stage(_paths(reps, level, within), "near-nodes")
         sizes = stage(nodes.groupBy("node").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "near-sizes")
-        small = nodes.join(sizes.where(F.col("m") <= LEAF).select("node"), "node").join(reps.select("d", "sig"), "d")
-        pairs = _compare(small)
+        small = nodes.join(sizes.where(F.col("m") <= LEAF).select("node"), "node").join(sketches, "d")
+        pairs = _compared(small, _leaf_pairs, "node")
         out = pairs if out is None else out.unionByName(pairs)
-        big = sizes.where(F.col("m") > LEAF).select("node")
-        if big.isEmpty():
+        big = sizes.where(F.col("m") > LEAF)
+        n_big = big.count()
+        if not n_big:
             return out, None
-        large = nodes.join(big, "node")
-        if k + 1 < len(LEVELS):
-            nodes = _paths(large.join(reps.select("d", "sig"), "d").select("node", "d", "sig"), LEVELS[k + 1] - level, False)
-    large = stage(large, "near-large")
-    pivots = large.groupBy("node").agg(F.min("d").alias("a"))
-    star = large.join(pivots, "node").where("a != d").select("a", F.col("d").alias("b")).distinct()
-    bits = reps.select("d", "b1", "b2", "b3", "b4")
-    star = star.join(bits.select(F.col("d").alias("a"), F.struct("b1", "b2", "b3", "b4").alias("x")), "a").join(bits.select(F.col("d").alias("b"), F.struct("b1", "b2", "b3", "b4").alias("y")), "b").where(_similar("x", "y"))
-    return out.unionByName(star.select("a", "b")), large
-
-
-def confirm(pairs: DataFrame, rows: DataFrame, reps: DataFrame, words: int, per_cent: int) -> DataFrame:
-    """The pairs whose full sets have ``100 * intersection >= per_cent * union``, staged."""
+        if k + 1 == len(LEVELS) or n_big > BROADCAST_VERTICES:
+            break
+        within.append((level, np.array([r["node"] for r in big.select("node").toLocalIterator()], dtype=np.int64)))
+    blocks = big.select("node", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    large = stage(nodes.join(blocks, "node"), "near-large")
+    block = F.pmod(F.xxhash64("d", F.lit(1)), F.col("blocks")).cast("int")
+    # a node's first vertex stands in all its blocks, so that they can be linked
+    first = large.groupBy("node").agg(F.min("d").alias("d"), F.first("blocks").alias("blocks"))
+    first = first.select("node", "d", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    rows = large.select("node", "d", block.alias("block")).unionByName(first).join(sketches, "d")
+    return out.unionByName(_compared(rows, _forest_pairs, "node", "block")), large.select("node", "d")
+
+
+def sets_of(rows: DataFrame, vertices_: DataFrame, reps: DataFrame, words: int) -> DataFrame:
+    """(d, s): the full sets of the vertices named, hashed anew from the texts of ``rows``, staged."""
     spark = rows.sparkSession
-    pairs = stage(pairs.distinct(), "near-pairs")
-    needed = pairs.select(F.col("a").alias("d")).union(pairs.select(F.col("b").alias("d"))).distinct().join(reps.select("d", "id"), "d")
-    needed = stage(needed, "near-needed")
+    needed = stage(vertices_.distinct().join(reps.select("d", "id"), "d"), "near-needed")
     few = needed.limit(BROADCAST_VERTICES + 1).count() <= BROADCAST_VERTICES
     sent = spark.sparkContext.broadcast({bytes(r["d"]) for r in needed.select("d").toLocalIterator()} if few else None)
 
@@ -238,7 +278,14 @@ def confirm(pairs: DataFrame, rows: DataFrame, reps: DataFrame, words: int, per_
 
     made = map_pieces(rows, "t", fn, f"id {dict(rows.dtypes)['id']}, d binary, s binary")
     # one row of a vertex: that with the vertex's own id
-    sets = stage(made.alias("m").join(needed.alias("k"), (F.col("m.d") == F.col("k.d")) & F.col("m.id").eqNullSafe(F.col("k.id"))).select("m.d", "m.s"), "near-sets").dropDuplicates(["d"])
+    found = made.alias("m").join(needed.alias("k"), (F.col("m.d") == F.col("k.d")) & F.col("m.id").eqNullSafe(F.col("k.id"))).select("m.d", "m.s")
+    return stage(found, "near-sets").dropDuplicates(["d"])
+
+
+def confirm(pairs: DataFrame, rows: DataFrame, reps: DataFrame, words: int, per_cent: int) -> DataFrame:
+    """The pairs whose full sets have ``100 * intersection >= per_cent * union``, staged."""
+    pairs = stage(pairs.distinct(), "near-pairs")
+    sets = sets_of(rows, pairs.select(F.col("a").alias("d")).union(pairs.select(F.col("b").alias("d"))), reps, words)
 
     def check(batches):
         for batch in batches:
@@ -254,6 +301,51 @@ def confirm(pairs: DataFrame, rows: DataFrame, reps: DataFrame, words: int, per_
     return stage(joined.select("a", "b", "x", "y").mapInArrow(check, "a binary, b binary"), "near-links")
 
 
+def _block_links(roles: list[int], ds: list[bytes], roots: list[bytes], sets: list[bytes], per_cent: int):
+    """Links between vertices outside (role 0) and all (role 1) of a block, one for each vertex outside and root."""
+    every = [i for i, r in enumerate(roles) if r == 1]
+    if not every:
+        return
+    each = [np.frombuffer(sets[i], "<u8") for i in every]
+    sizes = np.array([len(x) for x in each])
+    flat, at = np.concatenate(each), np.cumsum(sizes) - sizes
+    for i in (i for i, r in enumerate(roles) if r == 0):
+        own = np.frombuffer(sets[i], "<u8")
+        shared = np.add.reduceat((own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat).astype(np.int64), at)
+        done = {roots[i]}
+        for j in np.flatnonzero(100 * shared >= per_cent * (len(own) + sizes - shared)).tolist():
+            if roots[every[j]] not in done:
+                done.add(roots[every[j]])
+                yield min(ds[i], ds[every[j]]), max(ds[i], ds[every[j]])
+
+
+def outside_links(large: DataFrame, found: DataFrame, rows: DataFrame, reps: DataFrame, words: int, per_cent: int) -> DataFrame | None:
+    """Links that large nodes of more than one component still hide, or None if there is no such node.
+
+    Vertices outside the main component of a node are compared, on full sets, with all vertices that share nodes of
+    the same main component. Both sides are cut to blocks by hash, and only links leave a block.
+    """
+    at = large.join(found, "d", "left").select("node", "d", F.coalesce("root", "d").alias("root"))
+    tops = at.groupBy("node", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("node").agg(F.max(F.struct("c", "root")).alias("top"), F.count(F.lit(1)).alias("roots"))
+    mixed = stage(tops.where("roots > 1").select("node", F.col("top.root").alias("main")), "near-mixed")
+    if mixed.isEmpty():
+        return None
+    members = stage(at.join(mixed, "node").select("main", "d", "root").distinct(), "near-open")
+    chunks = members.groupBy("main").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ALL).cast("int").alias("ca"), F.ceil(F.count(F.when(F.col("root") != F.col("main"), 1)) / BLOCK_OUT).cast("int").alias("co"))
+    members = members.join(chunks, "main").join(sets_of(rows, members.select("d"), reps, words), "d")
+    own = lambda n, salt: F.pmod(F.xxhash64("d", F.lit(salt)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    side = lambda df, role, a, o: df.select("main", a.alias("a"), o.alias("o"), F.lit(role).alias("role"), "d", "root", "s")
+    outs = members.where("root != main").withColumn("own", own("co", 2)).withColumn("each", every("ca"))
+    alls = members.withColumn("own", own("ca", 1)).withColumn("each", every("co"))
+    blocks = side(outs, 0, F.col("each"), F.col("own")).unionByName(side(alls, 1, F.col("own"), F.col("each"))).withColumn("k", F.xxhash64("main", "a", "o"))
+
+    def run(batches):
+        yield from _pairs_out(p for g in _grouped(batches, "k", "role", "d", "root", "s") for p in _block_links(*g, per_cent))
+
+    return stage(blocks.repartition("k").sortWithinPartitions("k").select("k", "role", "d", "root", "s").mapInArrow(run, "a binary, b binary"), "near-more")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(d, root) for every vertex of ``links`` (a, b): root is the least vertex of its component.
 
@@ -291,23 +383,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
     base = vertices(rows, words)
     full = base.where("n > 0")
-    reps = stage(full.groupBy("d").agg(F.min("id").alias("id"), F.first("sig").alias("sig"), *[F.first(f"b{k}").alias(f"b{k}") for k in range(1, 5)]), "near-reps")
+    reps = stage(full.groupBy("d").agg(F.min("id").alias("id"), F.first("sig").alias("sig"), F.first("sk").alias("sk")), "near-reps")
     pairs, large = candidates(reps)
     links = confirm(pairs, rows, reps, words, per_cent)
     found = stage(components(links), "near-roots")
-    if large is not None:
-        at = large.join(found, "d", "left").select("node", "d", F.coalesce("root", "d").alias("root"))
-        mixed = at.groupBy("node").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("d").alias("p")).where("lo != hi").select("node", "p")
-        mixed = stage(mixed, "near-mixed")
-        if not mixed.isEmpty():
-            bits = F.struct("b1", "b2", "b3", "b4")
-            of = stage(at.join(mixed.select("node"), "node").join(reps.select("d", bits.alias("x")), "d"), "near-open")
-            main = of.join(mixed, "node").where("d = p").select("node", F.col("root").alias("main"))
-            outside = of.join(main, "node").where("root != main")
-            more = outside.alias("o").join(of.withColumnRenamed("x", "y").alias("i"), (F.col("o.node") == F.col("i.node")) & (F.col("o.root") != F.col("i.root")) & _similar("o.x", "i.y"))
-            more = more.select(F.least("o.d", "i.d").alias("a"), F.greatest("o.d", "i.d").alias("b"))
-            links = links.unionByName(confirm(more, rows, reps, words, per_cent))
-            found = stage(components(links), "near-roots")
+    more = None if large is None else outside_links(large, found, rows, reps, words, per_cent)
+    if more is not None and not more.isEmpty():
+        found = stage(components(links.unionByName(more)), "near-roots")
     of_root = reps.select("d", "id").join(found, "d", "left").select("d", "id", F.coalesce("root", "d").alias("root"))
     of_root = stage(of_root, "near-labels")
     least = of_root.groupBy("root").agg(F.min("id").alias("component_id"))
