@@ -183,3 +183,19 @@ def op4_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:
     got = decontaminate(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     digest = F.sha2(F.array_join("items", ",").cast("binary"), 256)
     return got.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
+
+
+_CUT = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+_RUNS = """
+  SELECT doc_id, i, {k} AS k, item_id FROM (SELECT doc_id, i, count(*) OVER f AS c, string_agg(w, ' ') OVER f AS g FROM dw WHERE {k} IN (SELECT k FROM bw) WINDOW f AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND {more} FOLLOWING))
+  JOIN bw USING (g) WHERE c = {k} AND k = {k}"""
+SQL = f"""
+WITH dl AS (SELECT doc_id, {_CUT} AS l FROM documents), dw AS (SELECT doc_id, unnest(l) AS w, generate_subscripts(l, 1) AS i FROM dl),
+bl AS (SELECT item_id, {_CUT} AS l FROM benchmark), bp AS (SELECT item_id, l, least({WINDOW}, len(l)) AS k, unnest(range(1, greatest(1, len(l) - {WINDOW - 1}) + 1)) AS i FROM bl WHERE len(l) > 0),
+bw AS (SELECT DISTINCT item_id, k, array_to_string(list_slice(l, i, i + k - 1), ' ') AS g FROM bp),
+hits AS ({" UNION ALL ".join(_RUNS.format(k=k, more=k - 1) for k in range(1, WINDOW + 1))}),
+marks AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM hits) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS s FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY doc_id)
+SELECT doc_id, len(l)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(l) AS contaminated
+FROM dl LEFT JOIN marks USING (doc_id) LEFT JOIN items USING (doc_id)
+"""

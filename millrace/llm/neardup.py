@@ -155,6 +155,11 @@ def _paths(reps: DataFrame, level: int, within: list[tuple[int, np.ndarray]]) ->
     return reps.select("d", "sig").mapInArrow(run, "node bigint, d binary")
 
 
+def _sized(df: DataFrame) -> DataFrame:
+    """``df`` to be broadcast if it has at most BROADCAST_VERTICES rows, as it is otherwise."""
+    return F.broadcast(df) if df.limit(BROADCAST_VERTICES + 1).count() <= BROADCAST_VERTICES else df
+
+
 def _grouped(batches, *names: str):
     """Lists of the columns ``names[1:]`` for each run of equal values of the column ``names[0]``."""
     key, held = None, [[] for _ in names[1:]]
@@ -239,7 +244,7 @@ def candidates(reps: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     for k, level in enumerate(LEVELS):
         nodes = stage(_paths(reps, level, within), "near-nodes")
         sizes = stage(nodes.groupBy("node").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "near-sizes")
-        small = nodes.join(sizes.where(F.col("m") <= LEAF).select("node"), "node").join(sketches, "d")
+        small = nodes.join(_sized(sizes.where(F.col("m") <= LEAF).select("node")), "node").join(sketches, "d")
         pairs = _compared(small, _leaf_pairs, "node")
         out = pairs if out is None else out.unionByName(pairs)
         big = sizes.where(F.col("m") > LEAF)
@@ -250,7 +255,7 @@ def candidates(reps: DataFrame) -> tuple[DataFrame, DataFrame | None]:
             break
         within.append((level, np.array([r["node"] for r in big.select("node").toLocalIterator()], dtype=np.int64)))
     blocks = big.select("node", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    large = stage(nodes.join(blocks, "node"), "near-large")
+    large = stage(nodes.join(_sized(blocks), "node"), "near-large")
     block = F.pmod(F.xxhash64("d", F.lit(1)), F.col("blocks")).cast("int")
     # a node's first vertex stands in all its blocks, so that they can be linked
     first = large.groupBy("node").agg(F.min("d").alias("d"), F.first("blocks").alias("blocks"))
@@ -264,6 +269,7 @@ def sets_of(rows: DataFrame, vertices_: DataFrame, reps: DataFrame, words: int)
     spark = rows.sparkSession
     needed = stage(vertices_.distinct().join(reps.select("d", "id"), "d"), "near-needed")
     few = needed.limit(BROADCAST_VERTICES + 1).count() <= BROADCAST_VERTICES
+    named = F.broadcast(needed) if few else needed
     sent = spark.sparkContext.broadcast({bytes(r["d"]) for r in needed.select("d").toLocalIterator()} if few else None)
 
     def fn(piece):
@@ -278,7 +284,7 @@ def sets_of(rows: DataFrame, vertices_: DataFrame, reps: DataFrame, words: int)
 
     made = map_pieces(rows, "t", fn, f"id {dict(rows.dtypes)['id']}, d binary, s binary")
     # one row of a vertex: that with the vertex's own id
-    found = made.alias("m").join(needed.alias("k"), (F.col("m.d") == F.col("k.d")) & F.col("m.id").eqNullSafe(F.col("k.id"))).select("m.d", "m.s")
+    found = made.alias("m").join(named.alias("k"), (F.col("m.d") == F.col("k.d")) & F.col("m.id").eqNullSafe(F.col("k.id"))).select("m.d", "m.s")
     return stage(found, "near-sets").dropDuplicates(["d"])
 
 

@@ -19,6 +19,7 @@ QUERIES = {
 
 ORACLES = {
     "op1_exact_dedup": exact_dedup.SQL,
+    "op4_benchmark_decontamination": decontam.SQL,
     "op7_source_mixing": mixing.SQL,
     "op9_warc": warc.SQL,
 }

@@ -53,29 +53,61 @@ class Encoder:
         self.by_piece = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space", True) and not spec.get("normalizer")
         self.added = [x["content"] for x in spec.get("added_tokens") or []]
         self.vocab = max(self.tok.get_vocab_size(), end_id + 1, *self.tok.get_vocab().values()) + 1
-        outer = self
+        names = [self.tok.id_to_token(i) or "" for i in range(self.vocab)]
+        self.opens = np.array([x.startswith("\u0120") for x in names])  # ids that begin with a blank
+        self.older: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = _Aging(self)
 
-        class Pieces(dict):
-            def __missing__(self, piece):
-                if len(self) >= CACHE_PIECES:
-                    self.clear()
-                out = self[piece] = outer.whole(" " + piece)
-                return out
-
-        self.pieces = Pieces()
-
-    def whole(self, text: str) -> bytes:
+    def whole(self, text: str | None) -> bytes:
+        if not text:
+            return b""
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype=np.uint32).tobytes()
 
     def encode(self, text: str | None) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers, with the end id."""
-        if not text:
-            return self.end
-        if not self.by_piece or _NEAR_BLANK.search(text) or any(x in text for x in self.added):
-            return self.whole(text) + self.end
-        first, *rest = text.split(" ")
-        pieces = self.pieces
-        return b"".join([self.whole(first) if first else b"", *[pieces[p] for p in rest], self.end])
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list) -> list[bytes]:
+        """Of each text the ids as little-endian unsigned 32-bit integers, with the end id."""
+        cut = [t.split(" ") if t and self.by_piece and not _NEAR_BLANK.search(t) and not any(x in t for x in self.added) else None for t in texts]
+        self._learn(set().union(*(c[1:] for c in cut if c)).difference(self.pieces))
+        get = self.pieces.__getitem__
+        return [b"".join([self.whole(c[0]), *map(get, c[1:]), self.end]) if c else self.whole(t) + self.end for t, c in zip(texts, cut)]
+
+    def _learn(self, new: set) -> None:
+        """Keep the ids of pieces; those not used since the last full turn of the store are let go."""
+        if len(self.pieces) + len(new) > CACHE_PIECES:
+            # the pieces of these texts that were known move to the new generation when they are next asked for
+            self.older, self.pieces = self.pieces, _Aging(self)
+        todo = []
+        for p in new:
+            if (known := self.older.get(p)) is not None:
+                self.pieces[p] = known
+            elif p and not p[0].isspace() and not p[-1].isspace():
+                todo.append(p)
+            else:
+                self.pieces[p] = self.whole(" " + p)
+        for lo in range(0, len(todo), 4096):
+            some = todo[lo : lo + 4096]
+            ids = np.array(self.tok.encode(" " + " ".join(some), add_special_tokens=False).ids, dtype=np.uint32)
+            at = np.flatnonzero(self.opens[ids]).tolist()
+            raw = ids.astype("<u4").tobytes()
+            if len(at) == len(some):
+                self.pieces.update((p, raw[4 * i : 4 * j]) for p, i, j in zip(some, at, [*at[1:], len(ids)]))
+            else:
+                self.pieces.update((p, self.whole(" " + p)) for p in some)
+
+
+class _Aging(dict):
+    """A new generation of pieces; what it lacks comes from the older one."""
+
+    def __init__(self, encoder: Encoder):
+        super().__init__()
+        self.encoder = encoder
+
+    def __missing__(self, piece: str) -> bytes:
+        known = self.encoder.older.get(piece)
+        out = self[piece] = self.encoder.whole(" " + piece) if known is None else known
+        return out
 
 
 def quantise(counts: np.ndarray) -> np.ndarray:
@@ -204,7 +236,7 @@ def tokenise(df: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id",
         if tag not in _BUILT:
             _BUILT.clear()
             _BUILT[tag] = Encoder(tokenizer, end_id)
-        got = [_BUILT[tag].encode(t) for t in piece.column("t").to_pylist()]
+        got = _BUILT[tag].encode_all(piece.column("t").to_pylist())
         pack = zstandard.ZstdCompressor(level=1).compress
         slim = np.uint16 if _BUILT[tag].vocab <= 1 << 16 else np.uint32
         return {"id": piece.column("id"), "n": [len(g) // 4 for g in got], "h": [zlib.crc32(g) for g in got], "z": [pack(np.frombuffer(g, "<u4").astype(slim).tobytes()) for g in got], "wide": [slim is np.uint32] * len(got)}
