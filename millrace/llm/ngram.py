@@ -66,22 +66,22 @@ def hash_words(texts: list) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of all tokens, number of tokens of each text). Words are runs of ``[^\\x20\\x09-\\x0D]`` after
     lower-casing A-Z; each text has one end token more."""
     raws = [t.encode("utf-8", "surrogatepass").lower() if t else b"" for t in texts]
-    data = np.frombuffer(b" ".join([*raws, b""]), dtype=np.uint8)
     size = np.array([len(r) + 1 for r in raws], dtype=np.int64)
+    data = np.frombuffer(b" ".join([*raws, b""]), dtype=np.uint8)
+    del raws
     blank = _BLANK[data]
-    word = ~blank
-    first = word.copy()
-    first[1:] &= blank[:-1]
-    starts = np.flatnonzero(first)
+    edge = np.flatnonzero(np.diff(blank, prepend=True, append=True))
+    starts, length = edge[0::2], edge[1::2] - edge[0::2]
     owner = np.searchsorted(np.cumsum(size), starts, side="right")
     counts = np.bincount(owner, minlength=len(texts)).astype(np.int64)
     if starts.size:
-        place = np.arange(data.size, dtype=np.int64)
-        place -= np.repeat(np.concatenate([[0], starts]), np.diff(np.concatenate([[0], starts, [data.size]])))
-        length = np.add.reduceat(word.astype(np.int64), starts)
+        # places in a word as 32-bit numbers: a piece is far smaller than 2 GB, and most of the memory here is per byte
+        place = np.arange(data.size, dtype=np.uint32)
+        place -= np.repeat(np.concatenate([[0], starts]).astype(np.uint32), np.diff(np.concatenate([[0], starts, [data.size]])))
         place[blank] = 0
-        x = data.astype(np.uint64) + np.uint64(1)
-        x *= _powers(int(length.max()) + 1)[place]
+        x = _powers(int(length.max()) + 1)[place]
+        del place
+        np.multiply(x, data.astype(np.uint16) + np.uint16(1), out=x, casting="unsafe")
         x[blank] = 0
         hashes = mix(np.add.reduceat(x, starts) + length.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
     else:
@@ -119,11 +119,12 @@ def unpack(blob: bytes) -> list[np.ndarray]:
 def count(keys: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in order and how often, or the sums of ``weights`` (columns of 32-bit values)."""
     if weights is None:
-        got, n = np.unique(keys, return_counts=True)
-        return got, n.astype(np.int64)
+        keys = np.sort(keys)
+        at = np.flatnonzero(np.diff(keys, prepend=~keys[:1]))
+        return keys[at], np.diff(at, append=len(keys))
     order = np.argsort(keys, kind="stable")
     keys = keys[order]
-    at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    at = np.flatnonzero(np.diff(keys, prepend=~keys[:1]))
     return keys[at], np.add.reduceat(weights[order].astype(np.int64), at, axis=0) if len(at) else weights[:0].astype(np.int64)
 
 
@@ -142,6 +143,11 @@ def _counted(docs: DataFrame, buckets: int, keys_of) -> DataFrame:
     """Packed runs (bucket, blob) of the keys that ``keys_of(hashes, token counts)`` makes of the texts ``t``."""
     ship(docs.sparkSession)
 
+    def counted(held):
+        keys, c = count(np.concatenate(held))
+        held.clear()
+        return _rows([(b, pack(keys[s], c[s])) for b, s in by_range(keys, buckets)])
+
     def run(batches):
         held, n = [], 0
         for batch in batches:
@@ -150,12 +156,10 @@ def _counted(docs: DataFrame, buckets: int, keys_of) -> DataFrame:
                 held.append(got)
                 n += len(got)
                 if n >= FLUSH_TOKENS:
-                    keys, c = count(np.concatenate(held))
-                    yield _rows([(b, pack(keys[s], c[s])) for b, s in by_range(keys, buckets)])
+                    yield counted(held)
                     held, n = [], 0
         if n:
-            keys, c = count(np.concatenate(held))
-            yield _rows([(b, pack(keys[s], c[s])) for b, s in by_range(keys, buckets)])
+            yield counted(held)
 
     return docs.select("t").mapInArrow(run, "bucket int, blob binary")
 
@@ -283,7 +287,7 @@ def train(texts: DataFrame, text_col: str = "text") -> dict:
             keys, c = _merge(blobs)
             yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([len(keys)]), pa.array([int(c.sum())]), pa.array([_record(b, keys, c[:, 0])], pa.binary())], names=["bucket", "n", "total", "value"])
 
-    words = stage(_counted(docs, buckets, lambda h, c: h).repartition(buckets, "bucket").mapInArrow(merge_words, "bucket int, n bigint, total bigint, value binary"), "ngram-words")
+    words = stage(_counted(docs, buckets, lambda h, c: h).repartitionById(buckets, F.col("bucket")).mapInArrow(merge_words, "bucket int, n bigint, total bigint, value binary"), "ngram-words")
     sizes = {r["bucket"]: r for r in words.select("bucket", "n", "total").collect()}
     _write(words, f"{top}/words")
     starts, n_words, n_tokens = [], 0, 0
@@ -299,32 +303,39 @@ def train(texts: DataFrame, text_col: str = "text") -> dict:
         return _pairs(words.ids(hashes), counts)
 
     def merge_pairs(batches):
-        edges = np.array(sent.value[1][1:], dtype=np.uint64)
+        edges = np.array(sent.value[1][1:], dtype=np.uint32)
         for b, blobs in _by_bucket(batches):
             keys, c = _merge(blobs)
             c = c[:, 0]
             both = unmix(keys)
-            before, word = both >> np.uint64(32), both & np.uint64(0xFFFFFFFF)
+            before, word = (both >> np.uint64(32)).astype(np.uint32), both.astype(np.uint32)
+            del both
             size = np.minimum(c, 3)
-            zero = np.zeros(len(c), dtype=np.int64)
-            one = zero + 1
-            ids = np.concatenate([before, word])
-            vals = np.stack([np.concatenate([(size == k).astype(np.int64), zero]) for k in (1, 2, 3)] + [np.concatenate([zero, one])], axis=1)
-            ids, vals = count(ids, vals)
+            order = np.argsort(before)
+            before, of = before[order], size[order]
+            at = np.flatnonzero(np.diff(before, prepend=~before[:1]))
+            kinds = [np.add.reduceat(of == k, at, dtype=np.int64) for k in (1, 2, 3)] if len(at) else []
+            ids = before[at]
             cuts = [0, *np.searchsorted(ids, edges).tolist(), len(ids)]
             if len(ids) and ids[-1] == BOS:  # BOS in a bucket of its own
                 cuts[-1] -= 1
-                yield _stat(-1, 0, [int((c == k).sum()) for k in (1, 2, 3, 4)], pack(ids[-1:], *vals[-1:].T))
+                yield _stat(-1, 0, [], pack(ids[-1:].astype(np.uint64), *[v[-1:] for v in kinds], np.zeros(1, np.uint32)))
+            for w, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
+                if hi > lo:
+                    yield _stat(w, 0, [], pack(ids[lo:hi].astype(np.uint64), *[v[lo:hi] for v in kinds], np.zeros(hi - lo, np.uint32)))
+            ids, n = count(word)
+            none = np.zeros(len(ids), np.uint32)
+            cuts = [0, *np.searchsorted(ids, edges).tolist(), len(ids)]
             for w, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
                 if hi > lo:
-                    yield _stat(w, 0, [], pack(ids[lo:hi], *vals[lo:hi].T))
+                    yield _stat(w, 0, [], pack(ids[lo:hi].astype(np.uint64), *[none[lo:hi]] * 3, n[lo:hi]))
             yield _stat(b, 1, [int((c == k).sum()) for k in (1, 2, 3, 4)] + [len(keys)], _record(b, keys, c))
 
     def _stat(bucket, kind, numbers, value):
         return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([kind], pa.int32()), pa.array([numbers], pa.list_(pa.int64())), pa.array([value], pa.binary())], names=["bucket", "kind", "numbers", "blob"])
 
     # the pairs' records and, as packed partial sums by range of words, what they say of their words
-    pairs = stage(_counted(docs, buckets, pairs_of).repartition(buckets, "bucket").mapInArrow(merge_pairs, "bucket int, kind int, numbers array<bigint>, blob binary"), "ngram-pairs")
+    pairs = stage(_counted(docs, buckets, pairs_of).repartitionById(buckets, F.col("bucket")).mapInArrow(merge_pairs, "bucket int, kind int, numbers array<bigint>, blob binary"), "ngram-pairs")
     _write(pairs.where("kind = 1").select(F.col("blob").alias("value")), f"{top}/pairs")
     seen = [r["numbers"] for r in pairs.where("kind = 1").select("numbers").collect()]
     coc = [sum(x[k] for x in seen) for k in range(4)]
@@ -335,14 +346,15 @@ def train(texts: DataFrame, text_col: str = "text") -> dict:
 
     def merge_stats(batches):
         for b, blobs in _by_bucket(batches):
-            ids, vals = _merge(blobs)
             n, start = sent.value[1][b + 1 : b + 2] or [n_words], sent.value[1][b]
             dense = np.zeros((n[0] - start, 4), dtype=np.int64)
-            dense[ids.astype(np.int64) - start] = vals
+            for ids, *vals in map(unpack, blobs):  # each word once in a blob
+                for k, v in enumerate(vals):
+                    dense[ids.astype(np.int64) - start, k] += v
             numbers = [int((dense[:, 3] == k).sum()) for k in (1, 2, 3, 4)]
             yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([numbers], pa.list_(pa.int64())), pa.array([_record(b, *dense.T)], pa.binary())], names=["bucket", "numbers", "value"])
 
-    stats = stage(pairs.where("kind = 0 and bucket >= 0").select("bucket", "blob").repartition(buckets, "bucket").mapInArrow(merge_stats, "bucket int, numbers array<bigint>, value binary"), "ngram-stats")
+    stats = stage(pairs.where("kind = 0 and bucket >= 0").select("bucket", "blob").repartitionById(buckets, F.col("bucket")).mapInArrow(merge_stats, "bucket int, numbers array<bigint>, value binary"), "ngram-stats")
     _write(stats, f"{top}/stats")
     cont = [sum(r["numbers"][k] for r in stats.select("numbers").collect()) for k in range(4)]
     n_docs = docs.count()
