@@ -48,7 +48,7 @@ def pieces(batch: pa.RecordBatch, text: str, limit: int = PIECE_BYTES) -> Iterat
     yield batch.slice(start)
 
 
-def map_pieces(df: DataFrame, text: str, fn: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
+def map_pieces(df: DataFrame, text: str, fn: Callable[[pa.RecordBatch], dict], schema: str, limit: int = PIECE_BYTES) -> DataFrame:
     """``df`` through ``fn``, which turns a piece into columns by name, as Arrow arrays or lists, in ``schema``'s order."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
@@ -58,7 +58,7 @@ def map_pieces(df: DataFrame, text: str, fn: Callable[[pa.RecordBatch], dict], s
 
     def run(batches):
         for batch in batches:
-            for piece in pieces(batch, text):
+            for piece in pieces(batch, text, limit):
                 out = fn(piece)
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, f.type) for f in arrow for x in (out[f.name],)], schema=arrow)
 

@@ -18,9 +18,11 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,10 +31,9 @@ from millrace.llm.scratch import fresh_path, partitions_for, stage
 
 SCALE, LOW = 20, np.uint64(1 << 31)
 LANES, STEPS_KEPT, BLOCK_TOKENS = 1024, 256, 1 << 20
-FILE_BYTES, CACHE_PIECES = 24 << 20, 300_000
+FILE_BYTES, CACHE_WORDS, ENCODE_BYTES = 24 << 20, 500_000, 8 << 20
 MAGIC, BLOCK_END = b"MRB1", "/MRB\n"
 _HEAD = struct.Struct("<4sIIIIIQQ")
-_NEAR_BLANK = re.compile(r"\s | \s")
 _BUILT: dict = {}
 
 
@@ -40,7 +41,9 @@ class Encoder:
     """Ids of a text by a tokenizer of the tokenizers library, and then ``end_id``.
 
     Where the tokenizer is byte-level BPE with its usual split and no normaliser, no token crosses a blank that
-    stands between two characters that aren't white space; pieces cut there are encoded once each and kept.
+    stands between two characters that aren't white space, nor the place between letters and signs. So the different
+    pieces of many texts are found first, by Arrow, and cut into words and signs; each of these goes to the tokenizer
+    once and is kept, and the texts' ids are gathered from theirs by array operations.
     """
 
     def __init__(self, path: str, end_id: int):
@@ -53,62 +56,118 @@ class Encoder:
         self.by_piece = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space", True) and not spec.get("normalizer")
         self.added = [x["content"] for x in spec.get("added_tokens") or []]
         self.vocab = max(self.tok.get_vocab_size(), end_id + 1, *self.tok.get_vocab().values()) + 1
-        names = [self.tok.id_to_token(i) or "" for i in range(self.vocab)]
-        self.opens = np.array([x.startswith("\u0120") for x in names])  # ids that begin with a blank
-        self.older: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = _Aging(self)
+        self.words, self.bare, self.signs = _Kept(self.word), _Kept(lambda w: self.word(w, "")), _Kept(self.whole)
 
     def whole(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype=np.uint32).tobytes()
+        return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes() if text else b""
+
+    def word(self, word: str, blank: str = "\u0120") -> bytes:
+        """Ids of a run of letters with a blank before it (or without), in byte-level form: two signs for each letter
+        beyond ASCII, a sign of its own for the blank."""
+        word = word if word.isascii() else word.translate(_BYTE_LEVEL)
+        return array("I", [t.id for t in self.tok.model.tokenize(blank + word)]).tobytes()
+
+    def piece(self, piece: str) -> bytes | None:
+        """Ids of any piece with the blank before it; None for one that white space ends or begins, or that is empty."""
+        if not piece or piece[0].isspace() or piece[-1].isspace():
+            return None
+        runs = _RUNS.findall(piece)
+        if sum(map(len, runs)) != len(piece):
+            return self.whole(" " + piece)
+        first, *rest = runs
+        ids = [self.words[first] if _LETTERS.fullmatch(first) else self.whole(" " + first)]
+        return b"".join(ids + [self.bare[r] if _LETTERS.fullmatch(r) else self.signs[r] for r in rest])
 
     def encode(self, text: str | None) -> bytes:
-        return self.encode_all([text])[0]
-
-    def encode_all(self, texts: list) -> list[bytes]:
-        """Of each text the ids as little-endian unsigned 32-bit integers, with the end id."""
-        cut = [t.split(" ") if t and self.by_piece and not _NEAR_BLANK.search(t) and not any(x in t for x in self.added) else None for t in texts]
-        self._learn(set().union(*(c[1:] for c in cut if c)).difference(self.pieces))
-        get = self.pieces.__getitem__
-        return [b"".join([self.whole(c[0]), *map(get, c[1:]), self.end]) if c else self.whole(t) + self.end for t, c in zip(texts, cut)]
-
-    def _learn(self, new: set) -> None:
-        """Keep the ids of pieces; those not used since the last full turn of the store are let go."""
-        if len(self.pieces) + len(new) > CACHE_PIECES:
-            # the pieces of these texts that were known move to the new generation when they are next asked for
-            self.older, self.pieces = self.pieces, _Aging(self)
-        todo = []
-        for p in new:
-            if (known := self.older.get(p)) is not None:
-                self.pieces[p] = known
-            elif p and not p[0].isspace() and not p[-1].isspace():
-                todo.append(p)
-            else:
-                self.pieces[p] = self.whole(" " + p)
-        for lo in range(0, len(todo), 4096):
-            some = todo[lo : lo + 4096]
-            ids = np.array(self.tok.encode(" " + " ".join(some), add_special_tokens=False).ids, dtype=np.uint32)
-            at = np.flatnonzero(self.opens[ids]).tolist()
-            raw = ids.astype("<u4").tobytes()
-            if len(at) == len(some):
-                self.pieces.update((p, raw[4 * i : 4 * j]) for p, i, j in zip(some, at, [*at[1:], len(ids)]))
-            else:
-                self.pieces.update((p, self.whole(" " + p)) for p in some)
-
-
-class _Aging(dict):
-    """A new generation of pieces; what it lacks comes from the older one."""
-
-    def __init__(self, encoder: Encoder):
+        return self.encode_all([text])[0].astype("<u4").tobytes()
+
+    def encode_all(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, each with its end id; numbers of ids)."""
+        if not texts:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        cut = pa.compute.split_pattern(pa.array([t or "" for t in texts], pa.large_string()), " ")
+        begin = cut.offsets.to_numpy()
+        coded = pa.compute.dictionary_encode(cut.flatten())
+        del cut
+        pieces, codes = coded.dictionary, coded.indices.to_numpy()
+        pair = pa.compute.extract_regex(pieces, _PLAIN)
+        words, signs = (pa.compute.dictionary_encode(pair.field(k)) for k in (0, 1))
+        simple = pair.is_valid().to_numpy(zero_copy_only=False)
+        odd = np.flatnonzero(~simple)
+        made = [self.piece(p) for p in pieces.take(pa.array(odd)).to_pylist()]
+        known = [*map(self.words.__getitem__, words.dictionary.to_pylist()), *map(self.signs.__getitem__, signs.dictionary.to_pylist()), *(m or b"" for m in made), b""]
+        n_words, n_signs, none = len(words.dictionary), len(signs.dictionary), len(known) - 1
+        # each piece is two of ``known``: a word and its signs, or what was made of it and nothing
+        two = np.full((len(pieces), 2), none)
+        two[simple, 0], two[simple, 1] = (x.indices.to_numpy(zero_copy_only=False)[simple] for x in (words, signs))
+        two[simple, 1] += n_words
+        two[odd, 0] = np.arange(len(odd)) + n_words + n_signs
+        flat, n = _spread(np.frombuffer(b"".join(known), np.uint32), np.fromiter(map(len, known), np.int64, len(known)) // 4, two.ravel())
+        n = n[0::2] + n[1::2]
+        # texts with blanks next to white space, or with special tokens' names, are encoded whole, in their first piece's place
+        bad = np.zeros(len(texts), dtype=bool)
+        if any(m is None for m in made):
+            broken = np.zeros(len(pieces), dtype=bool)
+            broken[odd] = [m is None for m in made]
+            found = np.cumsum(broken[codes])
+            bad = found[begin[1:] - 1] > found[begin[:-1]]
+        heads = []
+        for i, t in enumerate(texts):
+            t = t or ""
+            first = t[:at] if (at := t.find(" ")) >= 0 else t
+            bad[i] = not self.by_piece or bad[i] or first[-1:].isspace() or any(x in t for x in self.added)
+            heads.append(self.whole(t if bad[i] else first))
+        seq = codes.astype(np.int64)
+        seq[begin[:-1]] = len(pieces) + np.arange(len(texts))
+        size = np.diff(begin)
+        if bad.any():
+            keep = np.repeat(~bad, size)
+            keep[begin[:-1]] = True
+            seq, size = seq[keep], np.where(bad, 1, size)
+        seq = np.insert(seq, np.cumsum(size), len(pieces) + len(texts))
+        flat = np.concatenate([flat, np.frombuffer(b"".join([*heads, self.end]), np.uint32)])
+        ids, n = _spread(flat, np.concatenate([n, [len(h) // 4 for h in heads], [1]]), seq)
+        self.words.trim()
+        self.signs.trim()
+        self.bare.trim()
+        return ids, np.add.reduceat(n, np.cumsum(size + 1) - size - 1)
+
+
+def _spread(flat: np.ndarray, length: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(stretches ``at`` of ``flat`` one after the other, the length of each); ``length``: of all stretches in ``flat``."""
+    start, n = (np.cumsum(length) - length)[at], length[at]
+    place = np.repeat(start - np.cumsum(n) + n, n)
+    place += np.arange(len(place))
+    return flat[place], n
+
+
+#: Runs of ASCII and Latin-1 letters, and runs of other ASCII signs, in a piece's inside with at most one line feed, at
+#: the run's end. Apostrophes are in neither, as they begin tokens with letters.
+_LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+_SIGNS = r"[!-&(-@\[-`{-~]"
+_PLAIN = f"^(?P<word>{_LETTERS.pattern})(?P<signs>{_SIGNS}*)$"
+_RUNS = re.compile(f"{_LETTERS.pattern}|{_SIGNS}+(?:\n(?!\\s))?|\n(?!\\s)")
+#: A Latin-1 letter's two bytes: the first is C3, the second 80 to BF; bytes that are no printable sign of Latin-1 are
+#: numbered on from U+0100, after the 33 bytes below 21 and 7F.
+_BYTE_LEVEL = {0xC0 + i: "\u00c3" + chr(0x80 + i if i > 0x20 and i != 0x2D else 0x122 + i if i != 0x2D else 0x143) for i in range(64)}
+
+
+class _Kept(dict):
+    """What was made for a key, in two generations: when the newer is full, the older is let go."""
+
+    def __init__(self, make):
         super().__init__()
-        self.encoder = encoder
+        self.make, self.older = make, {}
 
-    def __missing__(self, piece: str) -> bytes:
-        known = self.encoder.older.get(piece)
-        out = self[piece] = self.encoder.whole(" " + piece) if known is None else known
+    def __missing__(self, key: str):
+        out = self[key] = self.older[key] if key in self.older else self.make(key)
         return out
 
+    def trim(self) -> None:
+        if len(self) > CACHE_WORDS:
+            self.older = dict(self)
+            self.clear()
+
 
 def quantise(counts: np.ndarray) -> np.ndarray:
     """Frequencies that sum to ``2**SCALE``, at least 1 for each id that occurs."""
@@ -236,12 +295,14 @@ def tokenise(df: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id",
         if tag not in _BUILT:
             _BUILT.clear()
             _BUILT[tag] = Encoder(tokenizer, end_id)
-        got = _BUILT[tag].encode_all(piece.column("t").to_pylist())
+        ids, n = _BUILT[tag].encode_all(piece.column("t").to_pylist())
         pack = zstandard.ZstdCompressor(level=1).compress
         slim = np.uint16 if _BUILT[tag].vocab <= 1 << 16 else np.uint32
-        return {"id": piece.column("id"), "n": [len(g) // 4 for g in got], "h": [zlib.crc32(g) for g in got], "z": [pack(np.frombuffer(g, "<u4").astype(slim).tobytes()) for g in got], "wide": [slim is np.uint32] * len(got)}
+        cuts = np.cumsum(n)[:-1]
+        crc, packed = map(zlib.crc32, np.split(ids.astype("<u4"), cuts)), map(pack, np.split(ids.astype(slim), cuts))
+        return {"id": piece.column("id"), "n": n, "h": list(crc), "z": list(packed), "wide": [slim is np.uint32] * len(n)}
 
-    return stage(map_pieces(rows, "t", fn, "id bigint, n bigint, h bigint, z binary, wide boolean"), "tokens")
+    return stage(map_pieces(rows, "t", fn, "id bigint, n bigint, h bigint, z binary, wide boolean", ENCODE_BYTES), "tokens")
 
 
 def _unpack(batch) -> list[np.ndarray]:
