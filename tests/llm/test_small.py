@@ -211,7 +211,22 @@ def test_pieces_give_the_tokens_of_whole_texts():
     rng = random.Random(6)
     for _ in range(400):
         t = "".join(rng.choice(["a", "The", " ", " ", "\n", "'s", "é", "12", ",", " ", "\t", "x", "日本", "<|endoftext|>"]) for _ in range(rng.randrange(0, 25)))
-        assert e.encode(t) == e.whole(t) + e.end if t else e.end
+        assert e.encode(t) == (e.whole(t) + e.end if t else e.end)
+    for c in map(chr, range(0xA0, 0x100)):  # letters that are put in byte-level form here, and their neighbours
+        for t in (c, f" {c}", f"a {c}b,{c} x.\n{c}y don't", f"a  {c}\n\n{c}"):
+            assert e.encode(t) == e.whole(t) + e.end
+
+
+def test_many_texts_at_once_and_turnover(monkeypatch):
+    import public_tokenizers
+
+    monkeypatch.setattr(tokenbin, "CACHE_WORDS", 20)
+    e = tokenbin.Encoder(str(public_tokenizers.path("byte_bpe_50k.json")), 2)
+    rng = random.Random(12)
+    for _ in range(20):
+        texts = [None, "", *[" ".join(rng.choice(["", "\n"] * (k % 2) + [f"w{rng.randrange(50)},", "the", "É.", "x.\ny"]) for _ in range(k)) for k in range(30)]]
+        ids, n = e.encode_all(texts)
+        assert ids.tobytes() == b"".join(e.whole(t) + e.end for t in texts) and n.tolist() == [len(e.whole(t)) // 4 + 1 for t in texts]
 
 
 def test_token_rows(spark):
