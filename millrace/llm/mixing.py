@@ -104,7 +104,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     Sources rank by code point, null last, and take ``weights`` and ``schedules`` in turn. ``taken`` sums to the
     whole part of the source's target and is at most twice the document's size; it is the size times 0, 1 or 2
     but for one document of a source, at which the target is met. ``position`` is the training time of the
-    document's first word, null where nothing is taken. The order inside a source is that of md5(id), then id
+    document's first word in the first pass, null where nothing is taken; ``copies`` has those of all passes. The order inside a source is that of md5(id), then id
     (null ids as empty), then the row, so reruns agree unless rows repeat fully, which are alike anyway.
     Null text: size 0. Null source: a source of its own. Empty table: no rows. Other columns are not read.
     """
@@ -114,21 +114,42 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     return out.select(F.col("id").alias(id_col), "size", "source_size", "target", "taken", "position")
 
 
-def mixed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS) -> DataFrame:
-    """``df`` with each row as often as the mix takes it, 0 to 2 times; all columns as they are.
+def at_pass(k: int, schedules=SCHEDULES):
+    """Training time at which pass ``k`` over the source comes to the document, from the columns of ``plan``."""
+    return due((F.col("at") + k * F.col("source_size")) / F.col("target"), F.col("cls"), schedules)
 
-    A pass over a source ends at one place of its order, so a row per source and pass says where, and the
-    documents, with their texts, are joined with that small table alone. The document at which a target is met
-    counts if at least half of it is taken.
+
+def copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, schedules=SCHEDULES) -> DataFrame:
+    """One row per copy that the mix takes: id, copy, words, position.
+
+    ``copy`` is the pass over the source, from 0, ``words`` what it takes of the document and ``position`` the
+    training time of the copy's first word. The sum of ``words`` is ``taken`` of ``mix``; documents of which
+    nothing is taken have no row.
+    """
+    passes = [F.struct(F.lit(k).alias("copy"), F.col(f"taken{k}").alias("words"), at_pass(k, schedules).alias("position")) for k in range(MAX_REPEATS)]
+    out = plan(df, id_col, text_col, source_col, weights).select("id", F.explode(F.array(*passes)).alias("c")).where("c.words > 0")
+    return out.select(F.col("id").alias(id_col), "c.copy", "c.words", "c.position")
+
+
+def mixed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, schedules=SCHEDULES) -> DataFrame:
+    """``df`` with each row as often as the mix takes it, 0 to 2 times, in training order; all columns as they are.
+
+    Each copy is due when its pass comes to the document, and the copies are range-sorted by that time. A pass over
+    a source ends at one place of its order, so a row per source and pass says where. The document at which a target
+    is met counts if at least half of it is taken. Rows of one source and id are at one place, and due with its first.
     """
-    planned = plan(df, id_col, text_col, source_col, weights)
+    planned = stage(plan(df, id_col, text_col, source_col, weights), "mix-plan")
     place = F.struct("h", F.col("id").isNotNull().alias("z"), "id")
     last = [F.max(F.when((F.col(f"taken{k}") > 0) & (2 * F.col(f"taken{k}") >= F.col("size")), place)).alias(f"_last{k}") for k in range(MAX_REPEATS)]
     ends = stage(planned.groupBy(F.col("source").alias("_source")).agg(*last), "mix-ends")
-    own = F.struct(_hash(F.col(id_col)).alias("h"), F.col(id_col).isNotNull().alias("z"), F.col(id_col).alias("id"))
-    times = sum((F.coalesce((F.col("_own") <= F.col(f"_last{k}")).cast("int"), F.lit(0)) for k in range(1, MAX_REPEATS)), F.coalesce((F.col("_own") <= F.col("_last0")).cast("int"), F.lit(0)))
-    joined = df.withColumn("_own", own).join(ends, F.col(source_col).eqNullSafe(F.col("_source")))
-    return joined.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), times))).select(*df.columns)
+    first = planned.groupBy("source", "id", "h", "source_size", "target", "cls").agg(F.min("at").alias("at"))
+    joined = first.join(ends, F.col("source").eqNullSafe(F.col("_source"))).withColumn("_own", place)
+    due_at = F.array(*[F.when(F.col("_own") <= F.col(f"_last{k}"), at_pass(k, schedules)) for k in range(MAX_REPEATS)])
+    times = joined.select(F.col("source").alias("_source"), F.col("id").alias("_id"), F.array_compact(due_at).alias("_times")).where(F.size("_times") > 0)
+    found = df.join(times, F.col(source_col).eqNullSafe(F.col("_source")) & F.col(id_col).eqNullSafe(F.col("_id")))
+    timed = found.select(F.explode("_times").alias("_position"), *[F.col(c) for c in df.columns])
+    keys = [F.col("_position").asc(), F.col(id_col).asc_nulls_last()]
+    return timed.repartitionByRange(*keys).sortWithinPartitions(*keys).select(*df.columns)
 
 
 def in_training_order(mixed: DataFrame, position: str = "position") -> DataFrame:
@@ -141,6 +162,10 @@ def op7_source_mixing(spark, sf_dir: str) -> DataFrame:
     return in_training_order(mix(spark.read.parquet(f"{sf_dir}/documents.parquet")))
 
 
+def op7_source_mixing_copies(spark, sf_dir: str) -> DataFrame:
+    return in_training_order(copies(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+
+
 SQL = r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END::BIGINT AS size FROM documents
@@ -171,3 +196,20 @@ SELECT doc_id, size, source_size, target, taken,
   END END::DOUBLE AS position
 FROM t
 """
+
+#: The same up to the order of a source, then a row per pass that takes words.
+COPIES_SQL = (
+    SQL[: SQL.index(", t AS (")]
+    + r"""
+, c AS (
+  SELECT doc_id, cls, copy::INT AS copy, greatest(0, least(size, floor(target)::BIGINT - copy * source_size - upto))::BIGINT AS words, (upto + copy * source_size) / target AS share
+  FROM r CROSS JOIN range(2) p(copy)
+)
+SELECT doc_id, copy, words, CASE cls
+    WHEN 0 THEN least(1.0, 2 * share / (1.5 + sqrt(greatest(2.25 - 2 * share, 0.0))))
+    WHEN 1 THEN least(1.0, 2 * share / (1.0 + sqrt(1.0)))
+    ELSE CASE WHEN share >= 0.25 THEN least(1.0, 0.5 + 2 * (share - 0.25) / (0.5 + sqrt(greatest(0.25 + 8 * (share - 0.25), 0.0)))) ELSE least(0.5, 2 * share / (0.5 + sqrt(0.25))) END
+  END::DOUBLE AS position
+FROM c WHERE words > 0
+"""
+)

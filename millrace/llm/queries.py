@@ -12,6 +12,7 @@ QUERIES = {
     "op5_token_ids": tokenbin.op5_token_ids,
     "op6_minhash_near_dedup": neardup.op6_minhash_near_dedup,
     "op7_source_mixing": mixing.op7_source_mixing,
+    "op7_source_mixing_copies": mixing.op7_source_mixing_copies,
     "op8_pii": pii.op8_pii,
     "op9_warc": warc.op9_warc,
     "op10_lm_score": ngram.op10_lm_score,
@@ -21,5 +22,6 @@ ORACLES = {
     "op1_exact_dedup": exact_dedup.SQL,
     "op4_benchmark_decontamination": decontam.SQL,
     "op7_source_mixing": mixing.SQL,
+    "op7_source_mixing_copies": mixing.COPIES_SQL,
     "op9_warc": warc.SQL,
 }

@@ -347,6 +347,36 @@ def test_mixed_documents_come_as_often_as_taken(spark):
     assert all(got[i] == math.floor(x + 0.5) for i, x in want.items())
 
 
+def _passes(table):
+    """(id, copy) -> (words, size, share of the target before it), by hand from the targets of ``mix``."""
+    rows, out = table.collect(), {}
+    goal = {r.doc_id: (r.size, r.source_size, r.target) for r in mixing.mix(table).collect()}
+    for source in {r.source for r in rows}:
+        at = 0
+        for i in sorted((r.doc_id for r in rows if r.source == source), key=lambda i: hashlib.md5(str(i).encode()).hexdigest()):
+            size, total, target = goal[i]
+            for k in range(2):
+                out[i, k] = (max(0, min(size, math.floor(target) - k * total - at)), size, (at + k * total) / target)
+            at += size
+    return out
+
+
+def test_every_copy_has_its_own_position(spark):
+    rows = [(i, "w " * (1 + i % 7), None, "abc"[i % 3]) for i in range(150)] + [(1000 + i, "w " * 9, None, "c") for i in range(60)]
+    table = docs(spark, rows)
+    kind = {i: "abc".index(s) for i, _, _, s in rows}
+    want = {key: x for key, x in _passes(table).items() if x[0]}
+    due = {(r.i, r.k): r.t for r in spark.createDataFrame([(*key, x[2], kind[key[0]]) for key, x in want.items()], "i long, k int, s double, c int").select("i", "k", mixing.due(F.col("s"), F.col("c")).alias("t")).collect()}
+    got = {(r.doc_id, r["copy"]): (r.words, r.position) for r in mixing.copies(table).collect()}
+    assert {k for _, k in want} == {0, 1}
+    assert {key: x[0] for key, x in got.items()} == {key: x[0] for key, x in want.items()}
+    assert all(got[key][1] == pytest.approx(due[key]) for key in want)
+    assert all(got[i, 1][1] > got[i, 0][1] for i, k in want if k == 1)
+    taken = {r.doc_id: r.taken for r in mixing.mix(table).collect()}
+    assert all(sum(got.get((i, k), (0,))[0] for k in range(2)) == n for i, n in taken.items())
+    assert [r.doc_id for r in mixing.mixed_documents(table).collect()] == [i for i, k in sorted(want, key=lambda x: (got[x][1], x[0])) if 2 * want[i, k][0] >= want[i, k][1]]
+
+
 # ---- personal data
 
 
