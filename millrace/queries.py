@@ -185,11 +185,20 @@ def normalize_paths(spark, d):
     return walks.normalised(path_counts(spark, d), 3)
 
 
+def normalize_paths_cyclic(spark, d):
+    return walks.normalised(path_counts_cyclic(spark, d), 3)
+
+
 def matrix_rows(spark, d):
     names = _t(spark, d, "nation").select(F.col("n_nationkey").alias("node"), F.col("n_name").alias("name")).where("node < 20")
     return walks.matrix_rows(normalize_paths(spark, d), names)
 
 
+def matrix_rows_cyclic(spark, d):
+    names = _t(spark, d, "nation").select(F.col("n_nationkey").alias("node"), F.col("n_name").alias("name")).where("node < 20")
+    return walks.matrix_rows(normalize_paths_cyclic(spark, d), names)
+
+
 def group_aggregate_object(spark, d):
     return misc.document_topics(_t(spark, d, "documents"))
 
@@ -214,7 +223,7 @@ def interval_times(spark, d):
 QUERIES = {
     f.__name__.rstrip("_"): f
     for f in (
-        line_reader, local_data_round_robin, union_all, map_filter, wordcount, wordcount_combiner, reduce_multi_output, reduce_python, reduce_sum_by_key, reducemap_fused, distinct_keys, global_count, tagged_join_, md5_partition, mod_partition, mod_partition_placed, partition_sizes, sorted_within_partition, first_n_per_key, count_of_counts, halton_pi, conditional_prob, path_counts, path_counts_cyclic, normalize_paths, matrix_rows, group_aggregate_object, job_farm, seeded_random, native_random, interval_times,
+        line_reader, local_data_round_robin, union_all, map_filter, wordcount, wordcount_combiner, reduce_multi_output, reduce_python, reduce_sum_by_key, reducemap_fused, distinct_keys, global_count, tagged_join_, md5_partition, mod_partition, mod_partition_placed, partition_sizes, sorted_within_partition, first_n_per_key, count_of_counts, halton_pi, conditional_prob, path_counts, path_counts_cyclic, normalize_paths, normalize_paths_cyclic, matrix_rows, matrix_rows_cyclic, group_aggregate_object, job_farm, seeded_random, native_random, interval_times,
     )
 }
 

@@ -9,6 +9,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from millrace import queries
 from millrace.functions.digest import md5_mod, mod
 from millrace.functions.rng import array_generator, generator, native_uniform, uniform
 from millrace.operators import partition as P
@@ -274,6 +275,34 @@ def test_paths_cut_cycles(spark):
     assert got == Counter(p for nodes in made for p in _slow_paths(nodes, lambda a, b: names.get((a, b), "UNKNOWN_EDGE")))
 
 
+def _slow_stats(spark, d):
+    """(s, path, t, p, total, targets) of all walks over nations, as the queries' thresholds have it."""
+    table = lambda name: spark.read.parquet(f"{d}/{name}.parquet")
+    nation = {r.s_suppkey: r.s_nationkey for r in table("supplier").collect()}
+    made = {}
+    for r in table("lineitem").select("l_orderkey", "l_linenumber", "l_suppkey").collect():
+        made.setdefault(r.l_orderkey, []).append((r.l_linenumber, nation[r.l_suppkey]))
+    region, regions = {r.n_nationkey: r.n_regionkey for r in table("nation").collect()}, {r.r_regionkey: r.r_name for r in table("region").collect()}
+    name = lambda a, b: "UNKNOWN_EDGE" if a == b or region[a] != region[b] else regions[region[a]] + ("" if a < b else "_inv")
+    found = Counter(p for steps in made.values() if len(steps) < 100 for p in _slow_paths([n for _, n in sorted(steps)], name))
+    kept = {k: c for k, c in found.items() if c >= 2}
+    totals, targets = Counter(), Counter()
+    for (s, _, path), c in kept.items():
+        totals[s, path] += c
+        targets[s, path] += 1
+    assert any(len({n for _, n in x}) < len(x) for x in made.values())
+    return kept, {(s, path, t, c / totals[s, path], totals[s, path], targets[s, path]) for (s, t, path), c in kept.items() if totals[s, path] >= 3}
+
+
+def test_path_queries_over_all_walks(spark):
+    d = "/root/testdata/sf0.001"
+    counts, stats = _slow_stats(spark, d)
+    assert {(r.s, r.t, r.path): r.c for r in queries.QUERIES["path_counts_cyclic"](spark, d).collect()} == counts
+    assert {(r.s, r.path, r.t, r.p, r.total, r.targets) for r in queries.QUERIES["normalize_paths_cyclic"](spark, d).collect()} == stats
+    got = queries.QUERIES["matrix_rows_cyclic"](spark, d).collect()
+    assert Counter((r.path, r.p, r.total, r.targets) for r in got) == Counter((path, *x) for _, path, _, *x in stats)
+
+
 def test_long_walks_are_dropped(spark):
     got = {r.walk: len(r.nodes) for r in walks.walk_steps(_steps(spark, range(99), range(100), range(150), [4])).collect()}
     assert got == {0: 99, 3: 1}
