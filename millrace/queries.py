@@ -195,7 +195,7 @@ def matrix_rows(spark, d):
 
 
 def matrix_rows_cyclic(spark, d):
-    names = _t(spark, d, "nation").select(F.col("n_nationkey").alias("node"), F.col("n_name").alias("name")).where("node < 20")
+    names = _t(spark, d, "nation").select(F.col("n_nationkey").alias("node"), F.col("n_name").alias("name"))
     return walks.matrix_rows(normalize_paths_cyclic(spark, d), names)
 
 

@@ -303,6 +303,13 @@ def test_path_queries_over_all_walks(spark):
     assert Counter((r.path, r.p, r.total, r.targets) for r in got) == Counter((path, *x) for _, path, _, *x in stats)
 
 
+def test_matrix_names_every_nation(spark):
+    d = "/root/testdata/sf0.001"
+    name = {r.n_nationkey: r.n_name for r in spark.read.parquet(f"{d}/nation.parquet").collect()}
+    want = Counter((name[s], name[t], path) for s, path, t, *_ in _slow_stats(spark, d)[1])
+    assert Counter((r.source, r.target, r.path) for r in queries.QUERIES["matrix_rows_cyclic"](spark, d).collect()) == want
+
+
 def test_long_walks_are_dropped(spark):
     got = {r.walk: len(r.nodes) for r in walks.walk_steps(_steps(spark, range(99), range(100), range(150), [4])).collect()}
     assert got == {0: 99, 3: 1}
