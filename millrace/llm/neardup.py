@@ -29,7 +29,7 @@ from millrace.llm.scratch import stage
 
 SHINGLE, PER_CENT = 5, 80
 #: MinHash coordinates, trees, sizes of nodes that are compared at once, and levels after which nodes are measured.
-COORDS, TREES, LEAF, LEVELS = 128, 12, 48, (2, 4, 6)
+COORDS, TREES, LEAF, LEVELS = 128, 14, 48, (2, 4, 6)
 #: Shares of equal sketch values from which a pair is a candidate, and from which it is taken to be linked for sure.
 MAYBE, SURE = 0.64, 0.93
 #: Vertices with candidates up to this number are sent to all workers (24 bytes each); more are joined by shuffle.

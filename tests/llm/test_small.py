@@ -304,6 +304,17 @@ def test_repeated_rows_leave_one(spark):
     assert sorted(r.doc_id for r in neardup.drop_near_duplicates(docs(spark, rows)).collect()) == [1, 2]
 
 
+def test_a_pair_at_the_threshold_keeps_a_common_node():
+    lost, p = 0.0, neardup.PER_CENT / 100
+    for k in range(neardup.COORDS + 1):  # coordinates that agree: all trees draw from the same ones
+        kept = 1.0
+        for _ in range(neardup.LEVELS[-1]):
+            one = 1 - k / neardup.COORDS * kept
+            kept = 1 - (0.75 * one + 0.25 * one * one)
+        lost += math.comb(neardup.COORDS, k) * p**k * (1 - p) ** (neardup.COORDS - k) * (1 - kept) ** neardup.TREES
+    assert lost < 0.001
+
+
 # ---- mixing
 
 
