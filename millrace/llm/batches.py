@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import zipfile
@@ -16,6 +17,23 @@ PIECE_BYTES = 4 << 20
 
 
 _SHIPPED: set[str] = set()
+_MODEL: dict = {}
+
+
+def built(tag: str, make: Callable):
+    """The model of ``tag`` in this worker, made if it isn't there. A worker holds one at a time, whatever the operator."""
+    if tag not in _MODEL:
+        _MODEL.clear()
+        release()
+        _MODEL[tag] = make()
+    return _MODEL[tag]
+
+
+def release() -> None:
+    """Give freed memory back to the system, which Arrow's pool and the C library's heap would keep in a reused worker."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 def ship(spark) -> None:
@@ -61,6 +79,8 @@ def map_pieces(df: DataFrame, text: str, fn: Callable[[pa.RecordBatch], dict], s
             for piece in pieces(batch, text, limit):
                 out = fn(piece)
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, f.type) for f in arrow for x in (out[f.name],)], schema=arrow)
+                del out
+            release()
 
     return df.mapInArrow(run, schema)
 
@@ -73,5 +93,6 @@ def filter_pieces(df: DataFrame, text: str, keep: Callable[[list], list]) -> Dat
         for batch in batches:
             for piece in pieces(batch, text):
                 yield piece.filter(pa.array(keep(piece.column(text).to_pylist()), pa.bool_()))
+            release()
 
     return df.mapInArrow(run, df.schema)

@@ -17,14 +17,13 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.batches import filter_pieces, map_pieces
+from millrace.llm.batches import built, filter_pieces, map_pieces
 from millrace.llm.scratch import stage
 
 WINDOW, SHARD_WINDOWS = 13, 200_000
 #: Upper case to lower case; everything that is in no word to a space. UTF-8 bytes of other characters stay.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _WORD = re.compile(rb"[^ ]+")
-_BUILT: dict = {}
 SCHEMA = "n_words bigint, hits array<struct<w0:bigint,w1:bigint,c0:bigint,c1:bigint>>, items array<string>"
 
 
@@ -142,10 +141,7 @@ def _unite(hits):
 
 
 def _matcher(tag: str, items: list, window: int) -> Matcher:
-    if tag not in _BUILT:  # one automaton at a time in a worker
-        _BUILT.clear()
-        _BUILT[tag] = Matcher(items, window)
-    return _BUILT[tag]
+    return built(tag, lambda: Matcher(items, window))
 
 
 def _scan(spark, rows: DataFrame, items: list, window: int, key: str) -> DataFrame:

@@ -16,13 +16,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.batches import map_pieces
+from millrace.llm.batches import built, map_pieces
 
 #: Bounds on the sample: characters of one row, rows of one language, characters of all languages together.
 ROW_CHARS, LANG_ROWS, TOTAL_CHARS, LANG_CHARS = 4_000, 600, 640_000, 60_000
 SYMBOLS, BLOCK = 64, 512
 _LETTER = re.compile(r"[^\W\d_]")
-_BUILT: dict = {}
 
 
 def plain(text: str) -> np.ndarray:
@@ -176,10 +175,7 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
 
     def fn(piece):
-        if tag not in _BUILT:
-            _BUILT.clear()
-            _BUILT[tag] = Model(sent.value)
-        got = _BUILT[tag].predict(piece.column("t").to_pylist())
+        got = built(tag, lambda: Model(sent.value)).predict(piece.column("t").to_pylist())
         return {"id": piece.column("id"), "lang_pred": [g[0] for g in got], "score": [g[1] for g in got]}
 
     out = map_pieces(rows, "t", fn, f"id {dict(rows.dtypes)['id']}, lang_pred string, score double")

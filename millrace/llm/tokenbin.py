@@ -26,15 +26,16 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.batches import map_pieces, ship
+from millrace.llm.batches import built, pieces, release, ship
 from millrace.llm.scratch import fresh_path, partitions_for, stage
 
 SCALE, LOW = 20, np.uint64(1 << 31)
 LANES, STEPS_KEPT, BLOCK_TOKENS = 1024, 256, 1 << 20
-FILE_BYTES, CACHE_WORDS, ENCODE_BYTES = 24 << 20, 500_000, 8 << 20
+FILE_BYTES, ENCODE_BYTES = 24 << 20, 4 << 20
+#: Bounds of an encoder's store of words, and of each of its three small ones for parts of odd pieces.
+STORE_WORDS, STORE_BYTES, CACHE_WORDS = 800_000, 32 << 20, 20_000
 MAGIC, BLOCK_END = b"MRB1", "/MRB\n"
 _HEAD = struct.Struct("<4sIIIIIQQ")
-_BUILT: dict = {}
 
 
 class Encoder:
@@ -46,17 +47,19 @@ class Encoder:
     once and is kept, and the texts' ids are gathered from theirs by array operations.
     """
 
-    def __init__(self, path: str, end_id: int):
+    def __init__(self, text: str, end_id: int):
+        """``text``: the tokenizer's JSON."""
         from tokenizers import Tokenizer
 
-        self.tok, self.end = Tokenizer.from_file(path), np.uint32(end_id).tobytes()
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+        self.tok, self.end, spec = Tokenizer.from_str(text), np.uint32(end_id).tobytes(), json.loads(text)
         pre = spec.get("pre_tokenizer") or {}
         self.by_piece = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space", True) and not spec.get("normalizer")
         self.added = [x["content"] for x in spec.get("added_tokens") or []]
         self.vocab = max(self.tok.get_vocab_size(), end_id + 1, *self.tok.get_vocab().values()) + 1
-        self.words, self.bare, self.signs = _Kept(self.word), _Kept(lambda w: self.word(w, "")), _Kept(self.whole)
+        self.model = self.tok.model
+        self.slim = np.uint16 if self.vocab <= 1 << 16 else np.uint32
+        self.store = _Store(self.word, self.slim)
+        self.inside, self.bare, self.signs = _Kept(self.word), _Kept(lambda w: self.word(w, "")), _Kept(self.whole)
 
     def whole(self, text: str | None) -> bytes:
         return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes() if text else b""
@@ -65,7 +68,7 @@ class Encoder:
         """Ids of a run of letters with a blank before it (or without), in byte-level form: two signs for each letter
         beyond ASCII, a sign of its own for the blank."""
         word = word if word.isascii() else word.translate(_BYTE_LEVEL)
-        return array("I", [t.id for t in self.tok.model.tokenize(blank + word)]).tobytes()
+        return array("I", [t.id for t in self.model.tokenize(blank + word)]).tobytes()
 
     def piece(self, piece: str) -> bytes | None:
         """Ids of any piece with the blank before it; None for one that white space ends or begins, or that is empty."""
@@ -75,48 +78,54 @@ class Encoder:
         if sum(map(len, runs)) != len(piece):
             return self.whole(" " + piece)
         first, *rest = runs
-        ids = [self.words[first] if _LETTERS.fullmatch(first) else self.whole(" " + first)]
+        ids = [self.inside[first] if _LETTERS.fullmatch(first) else self.whole(" " + first)]
         return b"".join(ids + [self.bare[r] if _LETTERS.fullmatch(r) else self.signs[r] for r in rest])
 
     def encode(self, text: str | None) -> bytes:
-        return self.encode_all([text])[0].astype("<u4").tobytes()
+        return self.encode_all(pa.array([text], pa.large_string()))[0].astype("<u4").tobytes()
 
-    def encode_all(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, each with its end id; numbers of ids)."""
-        if not texts:
+        if not len(texts):
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        cut = pa.compute.split_pattern(pa.array([t or "" for t in texts], pa.large_string()), " ")
+        texts = pa.compute.fill_null(texts.cast(pa.large_string()), "")
+        cut = pa.compute.split_pattern(texts, " ")
         begin = cut.offsets.to_numpy()
+        begin = begin - begin[0]
         coded = pa.compute.dictionary_encode(cut.flatten())
         del cut
         pieces, codes = coded.dictionary, coded.indices.to_numpy()
         pair = pa.compute.extract_regex(pieces, _PLAIN)
         words, signs = (pa.compute.dictionary_encode(pair.field(k)) for k in (0, 1))
         simple = pair.is_valid().to_numpy(zero_copy_only=False)
+        del pair
         odd = np.flatnonzero(~simple)
         made = [self.piece(p) for p in pieces.take(pa.array(odd)).to_pylist()]
-        known = [*map(self.words.__getitem__, words.dictionary.to_pylist()), *map(self.signs.__getitem__, signs.dictionary.to_pylist()), *(m or b"" for m in made), b""]
-        n_words, n_signs, none = len(words.dictionary), len(signs.dictionary), len(known) - 1
-        # each piece is two of ``known``: a word and its signs, or what was made of it and nothing
-        two = np.full((len(pieces), 2), none)
-        two[simple, 0], two[simple, 1] = (x.indices.to_numpy(zero_copy_only=False)[simple] for x in (words, signs))
-        two[simple, 1] += n_words
-        two[odd, 0] = np.arange(len(odd)) + n_words + n_signs
-        flat, n = _spread(np.frombuffer(b"".join(known), np.uint32), np.fromiter(map(len, known), np.int64, len(known)) // 4, two.ravel())
+        others = [*map(self.signs.__getitem__, signs.dictionary.to_pylist()), *(m or b"" for m in made), b""]
+        at = self.store.places(words.dictionary)
+        stored, n_stored, n_others = self.store.ids, len(self.store.size), np.fromiter(map(len, others), np.int64, len(others)) // 4
+        flat = np.concatenate([stored, np.frombuffer(b"".join(others), np.uint32).astype(self.slim)])
+        length = np.concatenate([self.store.size, n_others])
+        # each piece is two stretches of ``flat``: a word and its signs, or what was made of it and nothing
+        two = np.full((len(pieces), 2), len(length) - 1)
+        two[simple, 0] = at[words.indices.to_numpy(zero_copy_only=False)[simple].astype(np.int64)]
+        two[simple, 1] = signs.indices.to_numpy(zero_copy_only=False)[simple].astype(np.int64) + n_stored
+        two[odd, 0] = np.arange(len(odd)) + n_stored + len(signs.dictionary)
+        flat, n = _spread(flat, length, two.ravel())
         n = n[0::2] + n[1::2]
         # texts with blanks next to white space, or with special tokens' names, are encoded whole, in their first piece's place
         bad = np.zeros(len(texts), dtype=bool)
         if any(m is None for m in made):
             broken = np.zeros(len(pieces), dtype=bool)
             broken[odd] = [m is None for m in made]
-            found = np.cumsum(broken[codes])
-            bad = found[begin[1:] - 1] > found[begin[:-1]]
-        heads = []
-        for i, t in enumerate(texts):
-            t = t or ""
-            first = t[:at] if (at := t.find(" ")) >= 0 else t
-            bad[i] = not self.by_piece or bad[i] or first[-1:].isspace() or any(x in t for x in self.added)
-            heads.append(self.whole(t if bad[i] else first))
+            found = np.concatenate([np.zeros(1, np.int64), np.cumsum(broken[codes])])
+            bad = found[begin[1:]] > found[begin[:-1] + 1]  # the first piece has no blank before it
+        for x in self.added:
+            bad |= pa.compute.match_substring(texts, x).to_numpy(zero_copy_only=False)
+        firsts = pieces.take(pa.array(codes[begin[:-1]])).to_pylist()
+        bad |= np.array([not self.by_piece or f[-1:].isspace() for f in firsts], dtype=bool)
+        whole = dict(zip(np.flatnonzero(bad).tolist(), texts.filter(pa.array(bad)).to_pylist()))
+        heads = [self.whole(whole.get(i, f)) for i, f in enumerate(firsts)]
         seq = codes.astype(np.int64)
         seq[begin[:-1]] = len(pieces) + np.arange(len(texts))
         size = np.diff(begin)
@@ -125,14 +134,55 @@ class Encoder:
             keep[begin[:-1]] = True
             seq, size = seq[keep], np.where(bad, 1, size)
         seq = np.insert(seq, np.cumsum(size), len(pieces) + len(texts))
-        flat = np.concatenate([flat, np.frombuffer(b"".join([*heads, self.end]), np.uint32)])
+        flat = np.concatenate([flat, np.frombuffer(b"".join([*heads, self.end]), np.uint32).astype(self.slim)])
         ids, n = _spread(flat, np.concatenate([n, [len(h) // 4 for h in heads], [1]]), seq)
-        self.words.trim()
-        self.signs.trim()
-        self.bare.trim()
+        for kept in (self.inside, self.bare, self.signs):
+            kept.trim()
+        self.store.trim()
         return ids, np.add.reduceat(n, np.cumsum(size + 1) - size - 1)
 
 
+class _Store:
+    """Ids of words, as arrays: the words, the numbers of their ids, and the ids one after the other.
+
+    A batch's words are looked up by Arrow at once, and only new ones are made. When there are more than
+    ``STORE_WORDS`` words or ``STORE_BYTES`` bytes of them, those that were not used since the last time go; if that is
+    not enough, all go. So the store is bounded, and what it holds never changes a result.
+    """
+
+    def __init__(self, make, kind):
+        self.make, self.kind = make, kind
+        self.clear()
+
+    def clear(self) -> None:
+        self.words, self.size, self.ids, self.used = pa.array([], pa.large_string()), np.zeros(0, np.int64), np.zeros(0, self.kind), np.zeros(0, bool)
+
+    def places(self, words: pa.Array) -> np.ndarray:
+        """Where each of some different words stands in the store, which holds them all then."""
+        at = pa.compute.index_in(words, value_set=self.words)
+        new = at.is_null().to_numpy(zero_copy_only=False)
+        at = pa.compute.fill_null(at, 0).to_numpy().astype(np.int64)
+        if new.any():
+            missing = words.filter(pa.array(new))
+            made = [self.make(w) for w in missing.to_pylist()]
+            at[new] = len(self.size) + np.arange(len(made))
+            self.words = pa.concat_arrays([self.words, missing])
+            self.size = np.concatenate([self.size, np.fromiter(map(len, made), np.int64, len(made)) // 4])
+            self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(made), np.uint32).astype(self.kind)])
+            self.used = np.concatenate([self.used, np.zeros(len(made), bool)])
+        self.used[at] = True
+        return at
+
+    def trim(self) -> None:
+        full = lambda: len(self.size) > STORE_WORDS or self.words.nbytes > STORE_BYTES
+        if full():
+            keep = np.flatnonzero(self.used)
+            self.ids, self.size = _spread(self.ids, self.size, keep)
+            self.words, self.used = self.words.take(pa.array(keep)), np.zeros(len(keep), bool)
+            if full():
+                self.clear()
+
+
 def _spread(flat: np.ndarray, length: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(stretches ``at`` of ``flat`` one after the other, the length of each); ``length``: of all stretches in ``flat``."""
     start, n = (np.cumsum(length) - length)[at], length[at]
@@ -272,8 +322,8 @@ def decode_block(data: bytes, table: Table, slots, first: int = 0, last: int | N
     return [None if z else int(i) for i, z in zip(ids, null)], counts, out
 
 
-def blocks(data: bytes):
-    """The blocks of a file."""
+def blocks(data: bytes | memoryview):
+    """The blocks of a file, as slices of it."""
     at = 0
     while at < len(data):
         size = struct.unpack_from("<I", data, at + 4)[0] + 8
@@ -284,25 +334,59 @@ def blocks(data: bytes):
         at += len(BLOCK_END)
 
 
-def tokenise(df: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n (tokens), h (CRC-32 of them), z (packed ids), wide (32 bits an id), staged."""
+def tokenise(df: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, np.ndarray]:
+    """(rows of id, n (tokens), z (packed ids), wide (32 bits an id), staged; how often each id occurs).
+
+    A task adds up what it wrote in a last row of its own, so counting takes no second pass over the ids. The
+    tokenizer's JSON is sent to the workers: as long as its vocabulary. One row per id at most reaches the driver.
+    """
+    spark = df.sparkSession
+    ship(spark)
+    with open(tokenizer, encoding="utf-8") as f:
+        sent, tag = spark.sparkContext.broadcast(f.read()), uuid.uuid4().hex
     rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("t"))
-    tag = f"enc:{tokenizer}:{end_id}"
+    kinds = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("z", pa.binary()), ("wide", pa.bool_()), ("counts", pa.binary())])
 
-    def fn(piece):
+    def run(batches):
         import zstandard
 
-        if tag not in _BUILT:
-            _BUILT.clear()
-            _BUILT[tag] = Encoder(tokenizer, end_id)
-        ids, n = _BUILT[tag].encode_all(piece.column("t").to_pylist())
-        pack = zstandard.ZstdCompressor(level=1).compress
-        slim = np.uint16 if _BUILT[tag].vocab <= 1 << 16 else np.uint32
-        cuts = np.cumsum(n)[:-1]
-        crc, packed = map(zlib.crc32, np.split(ids.astype("<u4"), cuts)), map(pack, np.split(ids.astype(slim), cuts))
-        return {"id": piece.column("id"), "n": n, "h": list(crc), "z": list(packed), "wide": [slim is np.uint32] * len(n)}
+        encoder, pack = built(tag, lambda: Encoder(sent.value, end_id)), zstandard.ZstdCompressor(level=1).compress
+        wide, total = encoder.slim is np.uint32, np.zeros(0, np.int64)
+        for batch in batches:
+            for piece in pieces(batch, "t", ENCODE_BYTES):
+                ids, n = encoder.encode_all(piece.column("t"))
+                total = _sum(total, np.bincount(ids))
+                packed = list(map(pack, np.split(ids, np.cumsum(n)[:-1])))
+                yield pa.RecordBatch.from_arrays([piece.column("id"), pa.array(n), pa.array(packed, pa.binary()), pa.array([wide] * len(n)), pa.nulls(len(n), pa.binary())], schema=kinds)
+                del ids, n, packed
+            release()
+        if len(total):
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.bool_()), pa.array([pack(total)], pa.binary())], schema=kinds)
+
+    made = stage(rows.mapInArrow(run, "id bigint, n bigint, z binary, wide boolean, counts binary"), "tokens")
+
+    def add(batches):
+        import zstandard
 
-    return stage(map_pieces(rows, "t", fn, "id bigint, n bigint, h bigint, z binary, wide boolean", ENCODE_BYTES), "tokens")
+        total, unpack = np.zeros(0, np.int64), zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            for z in batch.column("counts").to_pylist():
+                total = _sum(total, np.frombuffer(unpack(z), np.int64))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["k", "c"])
+
+    counted = made.where("counts is not null").select("counts").mapInArrow(add, "k bigint, c bigint").groupBy("k").agg(F.sum("c").alias("c")).collect()
+    out = np.zeros(max((r["k"] for r in counted), default=-1) + 1, np.int64)
+    for r in counted:
+        out[r["k"]] = r["c"]
+    return made.where("counts is null").drop("counts"), out
+
+
+def _sum(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    a, b = (a, b) if len(a) >= len(b) else (b, a)
+    a = a.astype(np.int64)
+    a[: len(b)] += b
+    return a
 
 
 def _unpack(batch) -> list[np.ndarray]:
@@ -312,46 +396,20 @@ def _unpack(batch) -> list[np.ndarray]:
     return [np.frombuffer(open_(z), np.uint32 if w else np.uint16).astype(np.uint32) for z, w in zip(batch.column("z").to_pylist(), batch.column("wide").to_pylist())]
 
 
-def histogram(tokens: DataFrame) -> np.ndarray:
-    """Counts of all ids of all documents; one row per id at most reaches the driver."""
-
-    def run(batches):
-        total = np.zeros(0, np.int64)
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                got = _unpack(batch.slice(lo, 512))
-                if got:
-                    c = np.bincount(np.concatenate(got))
-                    if len(c) > len(total):
-                        total = np.concatenate([total, np.zeros(len(c) - len(total), np.int64)])
-                    total[: len(c)] += c
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["k", "c"])
-
-    rows = tokens.select("z", "wide").mapInArrow(run, "k bigint, c bigint").groupBy("k").agg(F.sum("c").alias("c")).collect()
-    out = np.zeros(max((r["k"] for r in rows), default=-1) + 1, np.int64)
-    for r in rows:
-        out[r["k"]] = r["c"]
-    return out
-
-
 def write(df: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write the ids of ``df`` under ``path``: ``table/`` and ``data/``, files in ascending order of id, null ids last."""
     spark = df.sparkSession
-    ship(spark)
-    tokens = tokenise(df, tokenizer, end_id, id_col, text_col)
-    freq = quantise(histogram(tokens))
+    tokens, counts = tokenise(df, tokenizer, end_id, id_col, text_col)
+    freq = quantise(counts)
     rows = [(json.dumps({"scale": SCALE, "end_id": end_id, "frequencies": [[int(i), int(freq[i])] for i in np.flatnonzero(freq)]}),)]
     spark.createDataFrame(rows, "value string").coalesce(1).write.text(f"{path}/table")
     sent, tag = spark.sparkContext.broadcast(freq), uuid.uuid4().hex  # as long as the vocabulary
     n_bytes = tokens.agg(F.sum("n")).first()[0] or 0
     keys = [F.col("id").asc_nulls_last(), F.col("n").asc(), F.col("h").asc()]
-    ranged = tokens.repartitionByRange(partitions_for(spark, 1.5 * n_bytes, FILE_BYTES), *keys).sortWithinPartitions(*keys)
+    ranged = tokens.withColumn("h", F.xxhash64("z")).repartitionByRange(partitions_for(spark, 1.5 * n_bytes, FILE_BYTES), *keys).sortWithinPartitions(*keys)
 
     def run(batches):
-        if tag not in _BUILT:
-            _BUILT.clear()
-            _BUILT[tag] = Table(sent.value)
+        table = built(tag, lambda: Table(sent.value))
         docs, ids, n = [], [], 0
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
@@ -361,10 +419,12 @@ def write(df: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str = "
                     ids.append(got)
                     n += len(got)
                     if n >= BLOCK_TOKENS:
-                        yield _one("value", encode_block(np.concatenate(ids), docs, _BUILT[tag]))
+                        yield _one("value", encode_block(np.concatenate(ids), docs, table))
                         docs, ids, n = [], [], 0
         if docs:
-            yield _one("value", encode_block(np.concatenate(ids), docs, _BUILT[tag]))
+            yield _one("value", encode_block(np.concatenate(ids), docs, table))
+        docs, ids = [], []
+        release()
 
     out = ranged.select("id", "z", "wide").mapInArrow(run, "value binary")
     out.select(F.col("value").cast("string").alias("value")).write.option("lineSep", BLOCK_END).text(f"{path}/data")
@@ -388,15 +448,15 @@ def read(spark, path: str, with_ids: bool = False) -> DataFrame:
     sent, tag = spark.sparkContext.broadcast(load_table(spark, path)), uuid.uuid4().hex  # as long as the vocabulary
 
     def run(batches):
-        if tag not in _BUILT:
-            _BUILT.clear()
+        def make():
             table = Table(sent.value)
-            _BUILT[tag] = (table, table.slots())
-        table, slots = _BUILT[tag]
+            return table, table.slots()
+
+        table, slots = built(tag, make)
         for batch in batches:
             for name, data in zip(batch.column("path").to_pylist(), batch.column("content")):
                 part, before = int(re.search(r"part-(\d+)", name.rsplit("/", 1)[-1])[1]), 0
-                for block in blocks(data.as_buffer().to_pybytes()):
+                for block in blocks(memoryview(data.as_buffer())):
                     ids, counts, got = decode_block(block, table, slots)
                     ends = np.cumsum(counts, dtype=np.int64)
                     docs = np.split(got.astype("<u4"), ends[:-1]) if ids else []
@@ -406,6 +466,8 @@ def read(spark, path: str, with_ids: bool = False) -> DataFrame:
                         cols, names = [*cols, pa.array([d.astype(np.int64) for d in docs], pa.list_(pa.int64()))], [*names, "ids"]
                     yield pa.RecordBatch.from_arrays(cols, names=names)
                     before += int(ends[-1]) if len(ends) else 0
+                    del got, docs, cols
+            release()
 
     schema = "part int, id bigint, before bigint, n_tokens bigint, ids_crc32 bigint" + ", ids array<bigint>" * with_ids
     files = spark.read.format("binaryFile").load(f"{path}/data").select("path", "content")
@@ -419,7 +481,7 @@ def read(spark, path: str, with_ids: bool = False) -> DataFrame:
 def token_ids(df: DataFrame, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """Write the ids of every document and read them back: id, start, n_tokens, ids_crc32.
 
-    Null and empty texts: the end id alone. Rows of equal id stand in order of token number, then CRC; null ids
+    Null and empty texts: the end id alone. Rows of equal id stand in order of token number, then a hash of the ids; null ids
     come last. Ids must be integers. Empty table: no files of blocks, no rows. Other columns are not read.
     """
     path = path or fresh_path(df.sparkSession, "token-files")

@@ -18,7 +18,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.batches import filter_pieces, map_pieces
+from millrace.llm.batches import built, filter_pieces, map_pieces
 from millrace.llm.scratch import stage
 
 #: Bounds on what is learned: labelled rows, words of the lexicon, exception phrases, characters of a word.
@@ -32,7 +32,6 @@ _LETTER = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 els
 _GLYPHS = str.maketrans("авсԁеԍһіјкӏмпоԛрѕтцѵхуԝαβεικνορτυχγοѐёїӓɡıⅼ", "abcdeghijkimnoqpstuvxywaseikvoptuxyoeeiagil")
 _GLYPHS |= {0xFF21 + i: 0x61 + i for i in range(26)} | {0xFF41 + i: 0x61 + i for i in range(26)} | {0xFF10 + i: ord(_SUBST.get(str(i), str(i))) for i in range(10)} | {c: None for c in (0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF)}
 _RARE = re.compile("[^\x00-\xac\xae-ɐ]")
-_BUILT: dict = {}
 
 
 def fold(text: str | None) -> str:
@@ -169,10 +168,7 @@ def learn(df: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", la
 
 
 def _scorer(tag: str, model: Model) -> Scorer:
-    if tag not in _BUILT:
-        _BUILT.clear()
-        _BUILT[tag] = Scorer(model)
-    return _BUILT[tag]
+    return built(tag, lambda: Scorer(model))
 
 
 def score(df: DataFrame, model: Model, text_col: str = "text", columns: dict | None = None) -> DataFrame:
