@@ -4,23 +4,32 @@ Texts and items are lower-cased (A-Z) and cut into words; every word of the item
 word another one, and the automaton runs over symbols. So a window of 13 words is a path of 13 nodes, a match
 ends on a word, and word positions map to offsets in the original text.
 
-The items are read in shards of at most ``shard_windows`` windows, so an automaton's size is bounded whatever
-the benchmark's; with one shard (the usual case) the documents are read once, with more once per shard, and the
-hits of a row are united by row number.
+The items' windows are cut and made distinct in Spark. Up to ``MOST_WINDOWS`` windows and ``MOST_BYTES`` bytes they
+are one automaton in each worker, and every text is scanned once by it. Of a larger benchmark only windows that occur
+matter: texts' windows are looked up by hash in sorted lists of at most ``LIST_HASHES`` hashes, and the automaton is
+made of the windows found, whose words it compares. Should these be too many as well, they are dealt to several
+automata, and a row's hits are united by row number. So what is sent to a worker is bounded, nothing is left out, and
+the driver holds the windows of one automaton at most.
 """
 
 from __future__ import annotations
 
 import re
 import uuid
+import zlib
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.batches import built, filter_pieces, map_pieces
-from millrace.llm.scratch import stage
+from millrace.llm.batches import built, filter_pieces, map_pieces, ship
+from millrace.llm.ngram import mix
+from millrace.llm.scratch import ascii_lower, free_name, stage
 
-WINDOW, SHARD_WINDOWS = 13, 200_000
+WINDOW = 13
+#: Windows, and bytes of them, of one automaton; hashes of one list.
+MOST_WINDOWS, MOST_BYTES, LIST_HASHES = 200_000, 32 << 20, 4_000_000
 #: Upper case to lower case; everything that is in no word to a space. UTF-8 bytes of other characters stay.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _WORD = re.compile(rb"[^ ]+")
@@ -31,25 +40,17 @@ def _words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_FOLD).split() if text else []
 
 
-def _symbol(n: int) -> str:
-    n += 1
-    return chr(n if n < 0xD800 else n + 0x800)  # no surrogates
-
-
 class Matcher:
-    """The automaton over the windows of ``items``, (id, text) pairs."""
+    """The automaton over ``windows``: (item, words joined by spaces)."""
 
-    def __init__(self, items, window: int = WINDOW):
+    def __init__(self, windows):
         import ahocorasick
 
-        self.vocab: dict[bytes, str] = {}
-        found: dict[str, set] = {}
-        for item, text in items:
-            got = _words(text)
-            coded = "".join(self.vocab.setdefault(w, _symbol(len(self.vocab))) for w in got)
-            for i in range(max(1, len(coded) - window + 1) if coded else 0):
-                found.setdefault(coded[i : i + window], set()).add("null" if item is None else str(item))
-        self.auto = ahocorasick.Automaton()
+        self.vocab: dict[bytes, int] = {}
+        found: dict[tuple, set] = {}
+        for item, text in windows:
+            found.setdefault(tuple(self.vocab.setdefault(w, len(self.vocab) + 1) for w in _words(text)), set()).add(item)
+        self.auto = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
         for k, v in found.items():
             self.auto.add_word(k, (len(k), v))
         self.some = bool(found)
@@ -57,15 +58,15 @@ class Matcher:
             self.auto.make_automaton()
 
     def scan(self, text: str | None):
-        """(number of words, united hits as word and code point ranges with exclusive ends, items)."""
+        """(number of words, united hits as word and code point ranges with exclusive ends, items, a null one first)."""
         got = _words(text)
         if not self.some or not got:
             return len(got), [], []
         get, hits, items = self.vocab.get, [], set()
-        for end, (n, ids) in self.auto.iter("".join([get(w, "\0") for w in got])):
+        for end, (n, ids) in self.auto.iter(tuple([get(w, 0) for w in got])):
             items |= ids
             hits.append((end + 1 - n, end + 1))
-        return len(got), _located(text, union(hits)) if hits else [], sorted(items)
+        return len(got), _located(text, union(hits)) if hits else [], sorted(items, key=lambda x: (x is not None, x))
 
 
 def union(hits) -> list[tuple[int, int]]:
@@ -85,44 +86,97 @@ def _located(text: str, ranges) -> list[dict]:
     return [{"w0": a, "w1": b, "c0": point(at[a][0]), "c1": point(at[b - 1][1])} for a, b in ranges]
 
 
-def shards(benchmark: DataFrame, item_col: str, text_col: str, window: int, most: int):
-    """Lists of (id, text) with at most ``most`` windows each; a single item of more is a shard of its own."""
-    now, n = [], 0
-    for row in benchmark.select(item_col, text_col).toLocalIterator():
-        size = max(1, len(_words(row[1])) - window + 1)
-        if now and n + size > most:
-            yield now
-            now, n = [], 0
-        now.append((row[0], row[1]))
-        n += size
-    yield now
-
-
-def decontaminate(df: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col="text", item_col="item_id", item_text_col="text", window=WINDOW, shard_windows=SHARD_WINDOWS) -> DataFrame:
+def windows_of(benchmark: DataFrame, item_col: str, text_col: str, window: int) -> DataFrame:
+    """Distinct (item, w): each item's windows, words joined by spaces; all words of an item with fewer than ``window``."""
+    words = F.regexp_extract_all(ascii_lower(F.col(text_col)), F.lit(r"([^\x00-\x2F\x3A-\x60\x7B-\x7F]+)"))
+    cut = benchmark.select(F.col(item_col).cast("string").alias("item"), words.alias("l")).where(F.size("l") > 0)
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("l") - (window - 1)))
+    return cut.select("item", "l", F.explode(starts).alias("i")).select("item", F.array_join(F.slice("l", F.col("i"), window), " ").alias("w")).distinct()
+
+
+def _hashes(words: list[bytes], size: int) -> np.ndarray:
+    """A 64-bit hash of each ``size`` consecutive words; equal windows have equal hashes."""
+    c = np.fromiter(map(zlib.crc32, words), np.uint64, len(words)) + np.uint64(1)
+    coef = mix(np.arange(1, size + 1, dtype=np.uint64)) | np.uint64(1)
+    out = np.zeros(max(0, len(words) - size + 1), np.uint64)
+    for j in range(size if len(out) else 0):
+        out += c[j : j + len(out)] * coef[j]
+    return mix(out).view(np.int64)
+
+
+def occurring(rows: DataFrame, windows: DataFrame, window: int) -> DataFrame:
+    """The ``windows`` whose hash is that of a window of a text ``t``: all that occur, and a few more by chance."""
+    ship(rows.sparkSession)
+
+    def number(piece):
+        cut = [_words(w) for w in piece.column("w").to_pylist()]
+        return {"item": piece.column("item"), "w": piece.column("w"), "k": [len(c) for c in cut], "h": [int(_hashes(c, len(c))[0]) for c in cut]}
+
+    hashed = stage(map_pieces(windows, "w", number, "item string, w string, k int, h bigint"), "decontam-hashes")
+    n = hashed.count()
+    lists, found = -(-n // LIST_HASHES), None
+    sizes = [r["k"] for r in hashed.select("k").distinct().collect()]  # at most ``window`` numbers
+    for i in range(lists):
+        own = hashed.where(F.pmod(F.xxhash64("h"), F.lit(lists)) == i).select("h").distinct()
+        sent = rows.sparkSession.sparkContext.broadcast(np.sort(np.array([r["h"] for r in own.toLocalIterator()], np.int64)))  # about LIST_HASHES numbers
+
+        def seen(batches, sent=sent):
+            known = sent.value
+            for batch in batches:
+                for t in batch.column("t").to_pylist():
+                    words = _words(t)
+                    for k in sizes:
+                        h = _hashes(words, k)
+                        h = np.unique(h[known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h]) if len(known) else h[:0]
+                        if len(h):
+                            yield pa.RecordBatch.from_arrays([pa.array(h)], names=["h"])
+
+        part = stage(rows.select("t").mapInArrow(seen, "h bigint").distinct(), "decontam-seen")
+        sent.destroy()
+        found = part if found is None else found.unionByName(part)
+    return hashed.join(found, "h", "left_semi").select("item", "w")
+
+
+def automata(rows: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str, window: int):
+    """(number of automata, function that gives the windows (item, w) of one) for the texts ``t`` of ``rows``."""
+    windows = stage(windows_of(benchmark, item_col, item_text_col, window), "decontam-windows")
+
+    def parts() -> int:
+        n, size = windows.agg(F.count(F.lit(1)), F.sum(F.octet_length("w"))).first()
+        return max(1, -(-n // MOST_WINDOWS), -(-(size or 0) // MOST_BYTES))
+
+    n = parts()
+    if n > 1:
+        windows = stage(occurring(rows, windows, window), "decontam-occurring")
+        n = parts()
+    return n, lambda i: [tuple(r) for r in windows.where(F.pmod(F.xxhash64("w"), F.lit(n)) == i).collect()]
+
+
+def decontaminate(df: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col="text", item_col="item_id", item_text_col="text", window=WINDOW) -> DataFrame:
     """One row per input row: id, n_words, n_hit, n_items, items, spans, contaminated.
 
     Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after lower-casing A-Z; a window is ``window`` consecutive
     words of an item, or the whole of a shorter one. A word inside any occurrence of a window is hit; ``spans``
     are the hit stretches (start, end) in code points of the original text, end exclusive. Contaminated: at
     least one hit and at least 5 % of the words. Null or empty text: no words, not contaminated. Null or empty
-    item: no windows. Repeated items and rows: each item id counts once, each row gives a row. Empty tables:
-    no rows, or no hits. Other columns are not read.
+    item: no windows. Items with null id are one item, null in ``items``. Repeated items and rows: each item id
+    counts once, each row gives a row. Empty tables: no rows, or no hits. Other columns are not read.
     """
-    spark = df.sparkSession
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
-    parts = list(shards(benchmark, item_col, item_text_col, window, shard_windows))
-    if len(parts) == 1:
-        out = _scan(spark, rows, parts[0], window, "id")
+    n, windows = automata(rows, benchmark, item_col, item_text_col, window)
+    if n == 1:
+        out = _scan(rows, windows(0), "id")[0]
     else:
         kept = stage(rows.withColumn("r", F.monotonically_increasing_id()), "decontam")
         each = None
-        for part in parts:
-            one = _scan(spark, kept, part, window, "r")
+        for i in range(n):
+            one, sent = _scan(kept, windows(i), "r")
+            one = stage(one, "decontam-hits")
+            sent.destroy()
             each = one if each is None else each.unionByName(one)
-        # as many rows to a key as there are shards
+        # as many rows to a key as there are automata
         merged = each.groupBy("r").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("hits")).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-        out = kept.select("id", "r").join(merged, "r").drop("r")
-    out = out.withColumn("hits", _unite(F.col("hits")) if len(parts) > 1 else F.col("hits"))
+        out = kept.select("id", "r").join(merged, "r").drop("r").withColumn("hits", _unite(F.col("hits")))
     n_hit = F.aggregate("hits", F.lit(0).cast("bigint"), lambda a, x: a + x["w1"] - x["w0"])
     out = out.select(F.col("id").alias(id_col), "n_words", n_hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"), "items", F.transform("hits", lambda x: F.struct(x["c0"].alias("start"), x["c1"].alias("end"))).alias("spans"))
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
@@ -140,39 +194,39 @@ def _unite(hits):
     return F.aggregate(F.array_sort(hits), F.array().cast(kind), add)
 
 
-def _matcher(tag: str, items: list, window: int) -> Matcher:
-    return built(tag, lambda: Matcher(items, window))
-
-
-def _scan(spark, rows: DataFrame, items: list, window: int, key: str) -> DataFrame:
-    """``items`` are one shard, so the broadcast is bounded by ``shard_windows`` windows."""
-    sent, tag = spark.sparkContext.broadcast(items), uuid.uuid4().hex
+def _scan(rows: DataFrame, windows: list, key: str):
+    """(key, n_words, hits, items of each row; the broadcast). ``windows`` are those of one automaton, so it is bounded."""
+    sent, tag = rows.sparkSession.sparkContext.broadcast(windows), uuid.uuid4().hex
 
     def fn(piece):
-        matcher = _matcher(tag, sent.value, window)
+        matcher = built(tag, lambda: Matcher(sent.value))
         got = [matcher.scan(t) for t in piece.column("t").to_pylist()]
         return {key: piece.column(key), "n_words": [g[0] for g in got], "hits": [g[1] for g in got], "items": [g[2] for g in got]}
 
-    return map_pieces(rows.select(key, "t"), "t", fn, f"{key} {dict(rows.dtypes)[key]}, {SCHEMA}")
+    return map_pieces(rows.select(key, "t"), "t", fn, f"{key} {dict(rows.dtypes)[key]}, {SCHEMA}"), sent
 
 
-def drop_contaminated(df: DataFrame, benchmark: DataFrame, text_col="text", item_col="item_id", item_text_col="text", window=WINDOW, shard_windows=SHARD_WINDOWS) -> DataFrame:
-    """``df`` without its contaminated rows, decided row by row where they are read.
+def drop_contaminated(df: DataFrame, benchmark: DataFrame, text_col="text", item_col="item_id", item_text_col="text", window=WINDOW) -> DataFrame:
+    """``df`` without its contaminated rows, decided row by row where they are read, so no id is needed.
 
-    With more than one shard, a row passes through one scan per shard, which hands its hits on in a column.
+    With more than one automaton rows are numbered, and the numbers of contaminated ones are joined back. Null and
+    empty texts stay, repeated rows are judged alike, an empty benchmark or table drops nothing. Columns of any name
+    are handed on as they are.
     """
-    spark = df.sparkSession
-    parts = list(shards(benchmark, item_col, item_text_col, window, shard_windows))
-    if len(parts) == 1:
-        sent, tag = spark.sparkContext.broadcast(parts[0]), uuid.uuid4().hex  # bounded by ``shard_windows``
+    n, windows = automata(df.select(F.col(text_col).alias("t")), benchmark, item_col, item_text_col, window)
+    if n == 1:
+        sent, tag = df.sparkSession.sparkContext.broadcast(windows(0)), uuid.uuid4().hex  # of one automaton
 
         def keep(texts):
-            return [not 0 < n <= 20 * sum(h["w1"] - h["w0"] for h in hits) for n, hits, _ in map(_matcher(tag, sent.value, window).scan, texts)]
+            scan = built(tag, lambda: Matcher(sent.value)).scan
+            return [not 0 < n <= 20 * sum(h["w1"] - h["w0"] for h in hits) for n, hits, _ in map(scan, texts)]
 
         return filter_pieces(df, text_col, keep)
-    kept = stage(df.withColumn("_row", F.monotonically_increasing_id()), "decontam")
-    flags = decontaminate(kept, benchmark, "_row", text_col, item_col, item_text_col, window, shard_windows)
-    return kept.join(flags.where("contaminated").select("_row"), "_row", "left_anti").select(*df.columns)
+    row = free_name(df, "row")
+    kept = stage(df.withColumn(row, F.monotonically_increasing_id()), "decontam")
+    flags = decontaminate(kept.select(F.col(row).alias("row"), F.col(text_col).alias("text")), benchmark, "row", "text", item_col, item_text_col, window)
+    gone = flags.where("contaminated").select(F.col("row").alias(row))
+    return kept.join(gone, row, "left_anti").select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def op4_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -12,10 +12,15 @@ _LOCAL: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; only where that is unset (tests) a fresh local one."""
+    """The folder named by ``spark.checkpoint.dir``; where that is unset, a fresh local one, if all of Spark is here.
+
+    On a cluster no local folder is shared, so an unset folder is an error there.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     app = spark.sparkContext.applicationId
     if not found:
+        if not (spark.sparkContext.master + "[").startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = _LOCAL.setdefault(app, "file://" + tempfile.mkdtemp(prefix="millrace-"))
     return f"{found.rstrip('/')}/millrace-{app}"
 
@@ -58,3 +63,11 @@ def list_files(spark: SparkSession, path: str) -> list[str]:
     hpath = jvm.org.apache.hadoop.fs.Path(path)
     fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     return sorted(s.getPath().toString() for s in fs.listStatus(hpath) if s.getPath().getName().startswith("part-"))
+
+
+def free_name(df: DataFrame, stem: str) -> str:
+    """A column name that ``df`` doesn't have, in any case."""
+    taken, name = {c.lower() for c in df.columns}, f"_{stem}"
+    while name.lower() in taken:
+        name += "_"
+    return name
