@@ -2,15 +2,18 @@
 
 For each language a suffix automaton is built over labelled text. A text is parsed greedily into the longest
 phrases that occur in a language's text; phrases per character, times the bits that name a phrase's place, is
-the cross entropy, and the language with the least wins. Automata are dense tables of next states, and many
-blocks of text are parsed in step as lanes of one array; a phrase ends at the end of a block.
+the cross entropy, and the language with the least wins. Every language has an alphabet of its own, that of its text;
+a letter that isn't in it is a phrase by itself.
+
+Many blocks of text are parsed in step as lanes of one array, each as if a phrase began with it. Then every block but
+a text's first is parsed again from the state in which the block before really ends, until both parses are in one
+state, which is soon; where they never are, the next block is parsed again too. So phrases go on across blocks, and
+the parse is that of the whole text.
 """
 
 from __future__ import annotations
 
-import re
 import uuid
-from collections import Counter
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -18,125 +21,175 @@ from pyspark.sql import functions as F
 
 from millrace.llm.batches import built, map_pieces
 
-#: Bounds on the sample: characters of one row, rows of one language, characters of all languages together.
-ROW_CHARS, LANG_ROWS, TOTAL_CHARS, LANG_CHARS = 4_000, 600, 640_000, 60_000
-SYMBOLS, BLOCK = 64, 512
-_LETTER = re.compile(r"[^\W\d_]")
+#: Bounds on the sample: characters of one row, rows of one language (about), characters of one language.
+ROW_CHARS, LANG_ROWS, LANG_CHARS = 4_000, 600, 60_000
+#: Symbols of a block; bytes of all dense tables together, beyond which languages have sparse ones, with the same result.
+BLOCK, DENSE_BYTES = 512, 128 << 20
+_LETTERS: list = []
+
+
+def letters() -> np.ndarray:
+    """Whether each code point is a letter."""
+    if not _LETTERS:
+        _LETTERS.append(np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000))
+    return _LETTERS[0]
 
 
 def plain(text: str) -> np.ndarray:
     """Lower-case code points; each run of anything that is no letter is one space."""
-    return np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-
-
-class Alphabet:
-    """Symbol 0 is the space, ``SYMBOLS - 1`` any letter that is not among the most frequent."""
-
-    def __init__(self, texts: list[str]):
-        seen = Counter(c for t in texts for c in t.lower() if c.isalpha())
-        self.table = np.full(0x110000, 255, dtype=np.uint8)
-        for i, (c, _) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))[: SYMBOLS - 2]):
-            self.table[ord(c)] = i + 1
-
-    def codes(self, text: str) -> np.ndarray:
-        """Symbols of a text, runs of non-letters as one space."""
-        points = plain(text)
-        out = self.table[points]
-        odd = np.flatnonzero(out == 255)
-        if odd.size:
-            kinds, where = np.unique(points[odd], return_inverse=True)
-            out[odd] = np.array([SYMBOLS - 1 if chr(c).isalpha() else 0 for c in kinds], dtype=np.uint8)[where]
-        if out.size > 1:
-            keep = np.ones(out.size, dtype=bool)
-            keep[1:] = (out[1:] != 0) | (out[:-1] != 0)
-            out = out[keep]
-        return out
+    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    blank = ~letters()[points]
+    keep = np.ones(points.size, dtype=bool)
+    keep[1:] = ~(blank[1:] & blank[:-1])
+    return np.where(blank, np.uint32(32), points)[keep]
 
 
-def suffix_table(codes: list[int]) -> np.ndarray:
-    """Transitions of the suffix automaton as one flat table of ``state * SYMBOLS + symbol``.
+class Parser:
+    """The suffix automaton of a text, as a table of next states.
 
-    An entry is the next state times SYMBOLS. Where the automaton has no transition, the phrase ends and the
-    next begins with this symbol: the entry is the root's transition, with the sign bit set. The last state
-    is the start of a text, from which every symbol begins a phrase.
+    A state is a number that the symbol is added to for the place in the table; a next state with the sign bit set
+    means that there is no transition, so the phrase ends and the next begins with this symbol, from the root.
     """
-    nxt, link, length = [{}], [-1], [0]
-    last = 0
-    for c in codes:
-        cur = len(nxt)
-        nxt.append({}), length.append(length[last] + 1), link.append(0)
-        p = last
-        while p != -1 and c not in nxt[p]:
-            nxt[p][c] = cur
-            p = link[p]
-        if p != -1:
-            q = nxt[p][c]
-            if length[p] + 1 == length[q]:
-                link[cur] = q
-            else:
-                clone = len(nxt)
-                nxt.append(dict(nxt[q])), length.append(length[p] + 1), link.append(link[q])
-                while p != -1 and nxt[p].get(c) == q:
-                    nxt[p][c] = clone
-                    p = link[p]
-                link[q] = link[cur] = clone
-        last = cur
-    top = np.int64(1) << 31
-    root = np.full(SYMBOLS, len(nxt) * SYMBOLS, dtype=np.int64)  # an unknown symbol is a phrase by itself
-    for c, s in nxt[0].items():
-        root[c] = s * SYMBOLS
-    table = np.tile(root | top, (len(nxt) + 1, 1))
-    for s, d in enumerate(nxt):
-        if d:
-            table[s, list(d)] = np.fromiter(d.values(), dtype=np.int64, count=len(d)) * SYMBOLS
-    return table.astype(np.uint32).ravel()
+
+    def __init__(self, points: np.ndarray, room: int):
+        kinds = np.unique(points[points != 32])
+        self.bits = float(np.log2(max(2, points.size)))
+        self.width = width = len(kinds) + 2  # symbol 0 is the space, the last one any other letter
+        self.table = np.full(0x110000, width - 1, dtype=np.uint32 if width > 1 << 16 else np.uint16)
+        self.table[kinds], self.table[32] = np.arange(1, width - 1), 0
+        nxt = self._states(self.table[points].tolist())
+        dense = 4 * (len(nxt) + 1) * width
+        kind, self.top = (np.uint32, np.uint32(1 << 31)) if dense <= room else (np.uint64, np.uint64(1 << 63))
+        self.bytes, self.start, self.top_bit = dense if dense <= room else 0, kind(len(nxt) * width), kind(31 if dense <= room else 63)
+        # from the last state, the start of a text, every symbol begins a phrase; an unknown one is a phrase by itself
+        self.root = np.full(width, self.start | self.top, dtype=kind)
+        for c, s in nxt[0].items():
+            self.root[c] = kind(s * width) | self.top
+        if self.bytes:
+            self.next = np.tile(self.root, (len(nxt) + 1, 1))
+            for s, d in enumerate(nxt):
+                if d:
+                    self.next[s, list(d)] = np.fromiter(d.values(), dtype=np.int64, count=len(d)) * width
+            self.next, self.keys = self.next.ravel(), None
+        else:
+            every = sorted((s * width + c, t * width) for s, d in enumerate(nxt) for c, t in d.items())
+            self.keys, self.next = (np.array([e[k] for e in every], dtype=np.uint64) for k in (0, 1))
+
+    @staticmethod
+    def _states(codes: list[int]) -> list[dict]:
+        """Transitions of the suffix automaton's states; state 0 is the root."""
+        nxt, link, length = [{}], [-1], [0]
+        last = 0
+        for c in codes:
+            cur = len(nxt)
+            nxt.append({}), length.append(length[last] + 1), link.append(0)
+            p = last
+            while p != -1 and c not in nxt[p]:
+                nxt[p][c] = cur
+                p = link[p]
+            if p != -1:
+                q = nxt[p][c]
+                if length[p] + 1 == length[q]:
+                    link[cur] = q
+                else:
+                    clone = len(nxt)
+                    nxt.append(dict(nxt[q])), length.append(length[p] + 1), link.append(link[q])
+                    while p != -1 and nxt[p].get(c) == q:
+                        nxt[p][c] = clone
+                        p = link[p]
+                    link[q] = link[cur] = clone
+            last = cur
+        return nxt
+
+    def step(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        at = state + symbol
+        if self.keys is None:
+            return self.next[at]
+        if not len(self.keys):
+            return self.root[symbol]
+        i = np.minimum(np.searchsorted(self.keys, at), len(self.keys) - 1)
+        return np.where(self.keys[i] == at, self.next[i], self.root[symbol])
+
+    def phrases(self, lanes: np.ndarray, length: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """Phrases that begin in each lane. Lanes (columns) are in order of falling ``length``; ``before`` is the lane
+        of the same text that a lane follows, -1 if none."""
+        n, stop = len(length), ~self.top
+        active = np.searchsorted(-length, -np.arange(1, len(lanes) + 1), side="right")
+        seen = np.zeros(lanes.shape, dtype=self.root.dtype)
+        state, count = np.full(n, self.start, dtype=self.root.dtype), np.zeros(n, dtype=np.int64)
+        for k, m in enumerate(active.tolist()):
+            v = self.step(state[:m], lanes[k, :m])
+            seen[k, :m] = v
+            count[:m] += (v >> self.top_bit).astype(np.int64)
+            state[:m] = v & stop
+        after = np.full(n, -1)
+        after[before[before >= 0]] = np.flatnonzero(before >= 0)
+        ends, shift = state.copy(), np.zeros(n, dtype=np.int64)
+        todo = np.flatnonzero(before >= 0)
+        while todo.size:
+            now, live, end = ends[before[todo]], np.arange(todo.size), state[todo]
+            shift[todo] = 0
+            for k in range(int(length[todo].max())):
+                over = length[todo[live]] <= k
+                if over.any():  # the lane is at its end, in another state than when parsed by itself
+                    end[live[over]] = now[over]
+                    now, live = now[~over], live[~over]
+                if not live.size:
+                    break
+                v, w = self.step(now, lanes[k, todo[live]]), seen[k, todo[live]]
+                shift[todo[live]] += (v >> self.top_bit).astype(np.int64) - (w >> self.top_bit).astype(np.int64)
+                now, apart = v & stop, (v & stop) != (w & stop)
+                now, live = now[apart], live[apart]
+            end[live] = now
+            changed = todo[end != ends[todo]]
+            ends[todo] = end
+            todo = after[changed]
+            todo = todo[todo >= 0]
+        return count + shift
 
 
 class Model:
     """texts: language -> list of its texts."""
 
     def __init__(self, texts: dict[str, list[str]]):
-        self.langs = sorted(texts)
-        self.alphabet = Alphabet([t for k in self.langs for t in texts[k]])
-        most = min(LANG_CHARS, TOTAL_CHARS // max(1, len(self.langs)))
-        self.tables, self.bits = [], []
+        self.langs, self.parsers, room = sorted(texts), [], DENSE_BYTES
         for k in self.langs:
-            codes = self.alphabet.codes(" ".join(texts[k]))[:most]
-            self.tables.append(suffix_table(codes.tolist()))
-            self.bits.append(float(np.log2(max(2, codes.size))))
+            self.parsers.append(Parser(plain(" ".join(texts[k]))[:LANG_CHARS], room))
+            room -= self.parsers[-1].bytes
 
     def rates(self, texts: list[str]) -> np.ndarray:
         """Bits per symbol of each text (rows) by each language (columns)."""
-        codes = [self.alphabet.codes(t) for t in texts]
-        sizes = np.array([c.size for c in codes])
+        return self._rates([plain(t) for t in texts])
+
+    def _rates(self, points: list[np.ndarray]) -> np.ndarray:
+        out = np.zeros((len(points), len(self.langs)))
+        sizes = np.array([c.size for c in points], dtype=np.int64)
         blocks = -(-sizes // BLOCK)
-        owner = np.repeat(np.arange(len(texts)), blocks)
-        start = np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes)])[:-1]
-        begin = start[owner] + BLOCK * (np.arange(owner.size) - np.repeat(np.cumsum(blocks) - blocks, blocks))
+        owner = np.repeat(np.arange(len(points)), blocks)
+        if not owner.size:
+            return out
+        start = np.cumsum(sizes) - sizes
+        rank = np.arange(owner.size) - np.repeat(np.cumsum(blocks) - blocks, blocks)  # of a block in its text
+        begin = start[owner] + BLOCK * rank
         length = np.minimum(BLOCK, start[owner] + sizes[owner] - begin)
         order = np.argsort(-length, kind="stable")
+        place = np.empty(order.size, dtype=np.int64)
+        place[order] = np.arange(order.size)
+        before = np.where(rank[order] > 0, place[order - 1], -1)
         owner, begin, length = owner[order], begin[order], length[order]
-        flat = np.concatenate([*codes, np.zeros(BLOCK, np.uint8)])
-        lanes = np.ascontiguousarray(flat[begin[None, :] + np.arange(BLOCK)[:, None]]) if owner.size else np.zeros((0, 0), np.uint8)
-        active = np.searchsorted(-length, -np.arange(1, BLOCK + 1), side="right") if owner.size else []
-        out = np.zeros((len(texts), len(self.langs)))
-        for j, table in enumerate(self.tables):
-            state = np.full(owner.size, table.size - SYMBOLS, dtype=np.uint32)
-            count = np.zeros(owner.size, dtype=np.uint32)
-            for step, n in enumerate(active):
-                if n == 0:
-                    break
-                v = table[state[:n] + lanes[step, :n]]
-                count[:n] += v >> 31
-                state[:n] = v & 0x7FFFFFFF
-            out[:, j] = np.bincount(owner, weights=count, minlength=len(texts)) * self.bits[j] / np.maximum(sizes, 1)
+        flat = np.concatenate([*points, np.full(BLOCK, 32, np.uint32)])
+        where = begin[None, :] + np.arange(int(length[0]))[:, None]
+        for j, parser in enumerate(self.parsers):
+            n = parser.phrases(parser.table[flat][where], length, before)
+            out[:, j] = np.bincount(owner, weights=n, minlength=len(points)) * parser.bits / np.maximum(sizes, 1)
         return out
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """(language, score) of each text; the score is the runner-up's share of the two least rates."""
-        known = [i for i, t in enumerate(texts) if t and self.langs and _LETTER.search(t)]
+        points = [plain(t or "") for t in texts]
+        known = [i for i, x in enumerate(points) if self.langs and (x != 32).any()]
         out = [("und", 0.0)] * len(texts)
-        rates = self.rates([texts[i] for i in known]) if known else []
+        rates = self._rates([points[i] for i in known]) if known else []
         for i, r in zip(known, rates):
             order = np.argsort(r, kind="stable")  # ties: the first language by name
             two = float(r[order[0]] + r[order[1]]) if len(order) > 1 else 0.0
@@ -158,15 +211,16 @@ def sample(df: DataFrame, id_col: str, text_col: str, lang_col: str) -> dict[str
         if got[r["k"]] < LANG_CHARS:
             out[r["k"]].append(r["t"])
             got[r["k"]] += len(r["t"])
-    return {k: v for k, v in out.items() if any(_LETTER.search(t) for t in v)}
+    return {k: v for k, v in out.items() if any(c.isalpha() for t in v for c in t)}
 
 
 def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", texts: dict | None = None) -> DataFrame:
     """One row per input row: id, held_out, lang_pred, score.
 
     Learned from at most ``LANG_ROWS`` rows of a language, the first ``ROW_CHARS`` characters of each and
-    ``LANG_CHARS`` of all (a documented sample); every text is parsed whole. ``und`` with score 0: null text, text
-    without a letter, or no labelled rows at all. Ties go to the first language by name. Rows with null id count
+    ``LANG_CHARS`` of all (a documented sample, for each value that the language column has); every text is parsed
+    whole. Letters are what Unicode calls so: no digits, fractions or number signs. ``und`` with score 0: null text,
+    text without a letter, or no labelled rows at all. Ties go to the first language by name. Rows with null id count
     as not held out and are not learned from. Repeated rows give a row each. Empty table: no rows. Other columns
     are not read.
     """
