@@ -4,7 +4,8 @@ Folding lower-cases, maps homoglyphs (Cyrillic, Greek, full width) and digit and
 letters, and turns what is no letter into single spaces. The lexicon is learned from labelled rows: words that
 stand in toxic texts of many different kinds and almost never in others, weighted by log-odds. Words next to
 which a lexicon word is harmless are learned as exception phrases, which cancel the hit they cover. The score
-is a logistic function of the weight per word.
+is a logistic function of the weight per word, of which the first ``FREE_WEIGHT`` is not counted: one hit, most of all
+of a word of little weight, is no proof.
 """
 
 from __future__ import annotations
@@ -21,8 +22,10 @@ from pyspark.sql import functions as F
 from millrace.llm.batches import built, filter_pieces, map_pieces
 from millrace.llm.scratch import stage
 
-#: Bounds on what is learned: labelled rows, words of the lexicon, exception phrases, characters of a word.
-MAX_ROWS, MAX_WORDS, MAX_PHRASES, MAX_WORD = 40_000, 5_000, 1_000, 64
+#: Labelled rows that are learned from, about; what is learned is bounded by their words.
+MAX_ROWS = 40_000
+#: Weight of a text's hits that isn't counted, and words that are added to its own.
+FREE_WEIGHT, MORE_WORDS = 0.75, 4
 #: A lexicon word needs this many kinds of toxic text, and this much higher odds in toxic text.
 MIN_KINDS, MIN_RATIO = 3, 25.0
 
@@ -79,16 +82,26 @@ class Scorer:
         if self.some:
             for end, (x, n) in self.auto.iter(folded):
                 (free if x is None else found).append((end + 1 - n, end + 1, x))
-        return [(a, x) for a, b, x in found if not any(c <= a and b <= d for c, d, _ in free)]
-
-    def density(self, folded: str) -> float:
-        """Weight of the hits but the first, by the number of words and a few more."""
-        hits = self.hits(folded)
+        if not free:
+            return [(a, x) for a, _, x in found]
+        free.sort()
+        out, i, reach = [], 0, -1
+        for a, b, x in sorted(found):
+            while i < len(free) and free[i][0] <= a:
+                reach, i = max(reach, free[i][1]), i + 1
+            if b > reach:
+                out.append((a, x))
+        return out
+
+    def density(self, folded: str, hits: list | None = None) -> float:
+        """Weight of the hits beyond ``FREE_WEIGHT``, by the number of words and ``MORE_WORDS``."""
+        hits = self.hits(folded) if hits is None else hits
         total = sum(x for _, x in hits)
-        return max(0.0, total - 0.75) / (folded.count(" ") + 3) if hits else 0.0
+        return max(0.0, total - FREE_WEIGHT) / (folded.count(" ") - 1 + MORE_WORDS) if hits else 0.0
 
-    def score(self, folded: str) -> float:
-        d, m = self.density(folded), self.model
+    def score(self, folded: str, hits: list | None = None) -> float:
+        """0 to 1; exactly 0.5, which counts as toxic, at the threshold."""
+        d, m = self.density(folded, hits), self.model
         return 0.0 if d <= 0 else 1 / (1 + (m.threshold / d) ** m.steepness)
 
 
@@ -105,7 +118,8 @@ def _labelled(df: DataFrame, labels: DataFrame, id_col, text_col, label_id, labe
 def learn(df: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_id="doc_id", label_col="toxic", max_rows: int = MAX_ROWS) -> Model:
     """Fit the lexicon, the exception phrases and the threshold on labelled rows outside the held-out fifth.
 
-    Counted in Spark; what reaches the driver is bounded by ``MAX_WORDS`` and ``MAX_PHRASES``. Texts that agree
+    Counted in Spark; the words and phrases that reach the driver are of about ``max_rows`` rows at most, and each
+    stands in several of them. Words have two letters or more. Texts that agree
     in the smallest hash of their words, as copies do, count as one kind, so a word that a copied text repeats
     does not enter the lexicon by its copies. No labelled rows of either label: an empty lexicon.
     """
@@ -117,7 +131,7 @@ def learn(df: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", la
     def count(piece):
         out: dict = {}
         for t, y in zip(piece.column("t").to_pylist(), piece.column("y").to_pylist()):
-            got = {w for w in fold(t).split(" ") if 2 <= len(w) <= MAX_WORD}
+            got = {w for w in fold(t).split(" ") if len(w) >= 2}
             kind = min(map(zlib.crc32, (w.encode() for w in got)), default=0) if y else -1
             for w in got:
                 out[w, kind] = out.get((w, kind), 0) + 1
@@ -126,13 +140,13 @@ def learn(df: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", la
     counts = map_pieces(rows, "t", count, "w string, kind bigint, n bigint").groupBy("w", "kind").agg(F.sum("n").alias("n"))
     odds = counts.groupBy("w").agg(F.count(F.when(F.col("kind") >= 0, 1)).alias("kinds"), F.sum(F.when(F.col("kind") >= 0, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("kind") < 0, F.col("n")).otherwise(0)).alias("b"))
     ratio = ((F.col("kinds") + 0.1) / seen[1]) / ((F.col("b") + 0.5) / seen[0])
-    best = odds.where((F.col("kinds") >= MIN_KINDS) & (ratio >= MIN_RATIO)).select("w", "kinds", ratio.alias("ratio")).orderBy(F.desc("kinds"), F.desc("ratio"), "w").limit(MAX_WORDS).collect()
+    best = odds.where((F.col("kinds") >= MIN_KINDS) & (ratio >= MIN_RATIO)).select("w", "kinds", ratio.alias("ratio")).collect()
     if not best:
         return Model()
     # a word that shares its texts with none of the others weighs as much as its odds say
     weights = {r["w"]: min(1.0, math.log(r["ratio"]) / math.log(MIN_RATIO * 4)) for r in best}
     model = Model(weights)
-    sent = df.sparkSession.sparkContext.broadcast(model)  # at most MAX_WORDS words
+    sent = df.sparkSession.sparkContext.broadcast(model)  # words of the labelled rows
 
     def phrases(piece):
         out: dict = {}
@@ -146,7 +160,7 @@ def learn(df: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", la
         return {"p": [p for p, _ in out], "y": [y for _, y in out], "n": list(out.values())}
 
     near = map_pieces(rows, "t", phrases, "p string, y int, n bigint").groupBy("p").agg(F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("b"), F.sum(F.when(F.col("y") != 0, F.col("n")).otherwise(0)).alias("a"))
-    model.exceptions = tuple(r["p"] for r in near.where((F.col("b") >= 3) & (F.col("a") == 0)).orderBy(F.desc("b"), "p").limit(MAX_PHRASES).collect())
+    model.exceptions = tuple(r["p"] for r in near.where((F.col("b") >= 3) & (F.col("a") == 0)).collect())
 
     # threshold: the density that parts the labels best, from counts of densities by label on a fixed scale
     sent2, tag = df.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
@@ -178,12 +192,13 @@ def score(df: DataFrame, model: Model, text_col: str = "text", columns: dict | N
     """
     columns = columns or {}
     rows = df.select(F.col(text_col).alias("_t"), *[c.alias(k) for k, c in columns.items()])
-    sent, tag, names = df.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex, list(columns)  # bounded by MAX_WORDS, MAX_PHRASES
+    sent, tag, names = df.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex, list(columns)  # words and phrases of the labelled rows
 
     def fn(piece):
         scorer = _scorer(tag, sent.value)
         folded = [fold(t) for t in piece.column("_t").to_pylist()]
-        return {**{k: piece.column(k) for k in names}, "tox_score": [scorer.score(f) for f in folded], "tox_hits": [len(scorer.hits(f)) for f in folded]}
+        hits = [scorer.hits(f) for f in folded]
+        return {**{k: piece.column(k) for k in names}, "tox_score": list(map(scorer.score, folded, hits)), "tox_hits": list(map(len, hits))}
 
     kinds = dict(rows.dtypes)
     return map_pieces(rows, "_t", fn, ", ".join([f"`{k}` {kinds[k]}" for k in columns] + ["tox_score double, tox_hits bigint"]))
@@ -203,9 +218,13 @@ def toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def drop_toxic(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "toxic", model: Model | None = None) -> DataFrame:
-    """``df`` without the rows that score 0.5 or more; row by row where they are read, so ids need not be unique."""
+    """``df`` without the rows that score 0.5 or more; row by row where they are read, so ids need not be unique.
+
+    Null and empty texts score 0 and stay, repeated rows are judged alike, empty labels drop nothing. Empty table: no
+    rows. Columns of any name are handed on as they are.
+    """
     model = model or learn(df, labels, id_col, text_col, label_id, label_col)
-    sent, tag = df.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex  # bounded by MAX_WORDS, MAX_PHRASES
+    sent, tag = df.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex  # words and phrases of the labelled rows
 
     def keep(texts):
         scorer = _scorer(tag, sent.value)
