@@ -12,18 +12,20 @@ import gzip
 import hashlib
 import json
 import zlib
+from urllib.parse import unquote_plus
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.batches import ship
+from millrace.llm.batches import release, ship
 from millrace.llm.scratch import fresh_path, stage
 
 MIN_REVISIT = 1000
-#: Rows of a file of records, so that a file fits in a task's memory.
-FILE_RECORDS, BROADCAST_ROWS = 2_000, 100_000
+#: Records of a file by their size: up to so many bytes, so many records. So a file fits in a task's memory; a record
+#: larger than all has a file of its own.
+FILE_RECORDS, BROADCAST_ROWS = ((1 << 15, 2_000), (1 << 20, 64), (None, 1)), 100_000
 RECORD_END = "\r\n\r\n"
 #: An empty gzip member; Spark's text sink puts it after the archive, and readers see nothing of it.
 _EMPTY = gzip.compress(b"", mtime=0)
@@ -40,7 +42,7 @@ def decide(pages: DataFrame, id_col: str, payload, min_bytes: int = MIN_REVISIT)
     groups = stage(rows.where(F.col("_b") >= min_bytes).groupBy("_d").agg(F.max(id_col).alias("_m"), F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_d", "_m"), "warc-groups")
     few = groups.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     joined = rows.join(F.broadcast(groups) if few else groups, "_d", "left")
-    return joined.withColumn("_to", F.when((F.col("_b") >= min_bytes) & (F.col("_m") != F.coalesce(F.col(id_col), F.col("_m") - 1)), F.col("_m"))).drop("_m")
+    return joined.withColumn("_to", F.when((F.col("_b") >= min_bytes) & ~F.col(id_col).eqNullSafe(F.col("_m")), F.col("_m"))).drop("_m")
 
 
 def to_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = MIN_REVISIT) -> DataFrame:
@@ -48,7 +50,8 @@ def to_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     src = pages.select(F.col(id_col).alias("i"), F.col(url_col).alias("u"), F.coalesce(F.col(html_col), F.lit("")).alias("h"))
     rows = decide(src, "i", F.col("h").cast("binary"), min_bytes)
     nl = F.lit("\r\n")
-    name = lambda c: F.concat(F.lit("<urn:millrace:page:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
+    # ids are put in URL form, so that any string can stand in a header; a null id is the bare name
+    name = lambda c: F.concat(F.lit("<urn:millrace:page"), F.coalesce(F.concat(F.lit(":"), F.url_encode(c.cast("string"))), F.lit("")), F.lit(">"))
     url = F.regexp_replace(F.coalesce(F.col("u"), F.lit("")), r"[\x00-\x20\x7f]", "")
     revisit = F.col("_to").isNotNull()
     body = F.when(revisit, F.lit("")).otherwise(F.col("h"))
@@ -64,8 +67,16 @@ def to_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
 
 
 def write_monolithic(records: DataFrame, path: str) -> None:
-    """Each file one gzip stream over many records."""
-    records.write.option("lineSep", RECORD_END).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    """Each file one gzip stream over many records; records are parted by size, and written class by class."""
+    size, low = F.octet_length("value"), 0
+    counts = [F.count(F.when((size >= lo) & (size < (hi or 1 << 40)), 1)) for lo, hi in zip([0, *[b for b, _ in FILE_RECORDS]], [b for b, _ in FILE_RECORDS])]
+    found = records.agg(*counts).first()
+    classes = [k for k, n in enumerate(found) if n] or [0]
+    for k in classes:
+        high, most = FILE_RECORDS[k]
+        low = FILE_RECORDS[k - 1][0] if k else 0
+        part = records if len(classes) == 1 else records.where((size >= low) & (size < (high or 1 << 40)))
+        part.write.mode("append").option("lineSep", RECORD_END).option("compression", "gzip").option("maxRecordsPerFile", most).text(path)
 
 
 def headers(head: bytes) -> dict[str, str]:
@@ -114,20 +125,27 @@ def split_records(chunks):
             del buf[:4]
 
 
-def inflate(data: bytes, step: int = 1 << 20):
+def inflate(data, step: int = 1 << 18):
     """Inflated chunks of a gzip file of one or more members, or of a file that isn't compressed."""
+    data = memoryview(data).cast("B")
     if data[:2] != b"\x1f\x8b":
-        yield from (data[i : i + step] for i in range(0, len(data), step))
+        yield from (bytes(data[i : i + step]) for i in range(0, len(data), step))
         return
-    rest = data
-    while rest:
+    at = 0
+    while at < len(data):
         z = zlib.decompressobj(31)
-        yield z.decompress(rest, step)
         while not z.eof:
-            if not z.unconsumed_tail:
+            fed = data[at : at + step]
+            at += len(fed)
+            got = z.decompress(fed, step)
+            if not fed and not got and not z.eof:
                 raise ValueError("a gzip stream is cut off")
-            yield z.decompress(z.unconsumed_tail, step)
-        rest = z.unused_data.lstrip(b"\0")
+            yield got
+            while z.unconsumed_tail and not z.eof:
+                yield z.decompress(z.unconsumed_tail, step)
+        at -= len(z.unused_data)
+        while at < len(data) and data[at] == 0:  # padding
+            at += 1
 
 
 def member(data: bytes, at: int, step: int = 1 << 18) -> tuple[bytes, int]:
@@ -144,7 +162,7 @@ def member(data: bytes, at: int, step: int = 1 << 18) -> tuple[bytes, int]:
 def describe(head: bytes, block: bytes) -> dict:
     """What the index says of a record; digest and length of a response come from its payload itself."""
     h = headers(head)
-    bare = lambda s: None if s is None else s.removeprefix("<urn:millrace:page:").removesuffix(">")
+    bare = lambda s: None if s is None or s == "<urn:millrace:page>" else unquote_plus(s.removeprefix("<urn:millrace:page:").removesuffix(">"))
     kind = h.get("warc-type", "")
     out = {"page_id": bare(h.get("warc-record-id")), "record_type": kind, "refers_to": bare(h.get("warc-refers-to"))}
     if kind == "response":
@@ -153,7 +171,7 @@ def describe(head: bytes, block: bytes) -> dict:
     return out | {"payload_digest": h.get("warc-payload-digest", "").removeprefix("sha1:"), "payload_bytes": int(h.get("x-payload-length", 0))}
 
 
-def normalise_bytes(data: bytes) -> tuple[bytes, list[dict]]:
+def normalise_bytes(data) -> tuple[bytes, list[dict]]:
     """(archive with one member per record, index entries) of a monolithic archive."""
     out, index = bytearray(), []
     for head, block in split_records(inflate(data)):
@@ -173,14 +191,16 @@ def normalise(spark, source: str, target: str) -> None:
     def run(batches):
         for batch in batches:
             for path, data in zip(batch.column("path").to_pylist(), batch.column("content")):
-                body, index = normalise_bytes(data.as_buffer().to_pybytes())
+                body, index = normalise_bytes(data.as_buffer())
                 side = gzip.compress("".join(json.dumps(x) + "\n" for x in index).encode(), mtime=0)
                 name = hashlib.sha1(path.rsplit("/", 1)[-1].encode()).hexdigest()[:20]
                 yield pa.RecordBatch.from_arrays([pa.array([name] * 2), pa.array(["warc", "index"]), pa.array([body, side], pa.binary())], names=["archive", "kind", "value"])
+                del body, index, side
+            release()
 
     files = spark.read.format("binaryFile").load(source).select("path", "content")
     out = files.mapInArrow(run, "archive string, kind string, value binary")
-    raw = out.withColumn("value", F.col("value").cast("string"))  # the bytes as they are
+    raw = out.withColumn("value", F.col("value").cast("string"))  # a cast keeps the bytes as they are, and the sink writes them
     raw.write.option("lineSep", _EMPTY.decode("latin-1")).option("encoding", "ISO-8859-1").partitionBy("archive", "kind").text(target)
 
 
@@ -192,12 +212,13 @@ def read_archives(spark, path: str) -> DataFrame:
     def run(batches):
         for batch in batches:
             for archive, data in zip(batch.column("archive").to_pylist(), batch.column("content")):
-                data, at, rows = data.as_buffer().to_pybytes(), 0, []
+                data, at, rows = memoryview(data.as_buffer()).cast("B"), 0, []
                 while at < len(data):
                     got, size = member(data, at)
                     rows += [{"archive": archive, "offset": at, "length": size, **describe(h, b)} for h, b in split_records([got] if got else [])]
                     at += size
                 yield pa.RecordBatch.from_pylist(rows, schema=pa.schema(kinds))
+            release()
 
     files = spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary, archive string, kind string").load(path)
     return files.where("kind = 'warc'").select("archive", "content").mapInArrow(run, MEMBER_SCHEMA)
@@ -211,7 +232,7 @@ def read_index(spark, path: str) -> DataFrame:
     def run(batches):
         for batch in batches:
             for archive, data in zip(batch.column("archive").to_pylist(), batch.column("content")):
-                rows = [{"archive": archive, **json.loads(x)} for x in b"".join(inflate(data.as_buffer().to_pybytes())).splitlines()]
+                rows = [{"archive": archive, **json.loads(x)} for x in b"".join(inflate(data.as_buffer())).splitlines()]
                 yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([(f.name, pa.string() if f.dataType == T.StringType() else pa.int64()) for f in fields]))
 
     return lines.select("archive", "content").mapInArrow(run, MEMBER_SCHEMA)
@@ -223,7 +244,8 @@ def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     Of pages with equal payloads of at least ``min_bytes`` bytes, that with the largest id is the response and the
     others revisit it; null ids come before all others. Repeated rows with the largest id are all responses.
     Null html: empty payload. Null url: no target URI; control characters and spaces of a URL are left out.
-    Null id: ``null`` in the record and null in the result. Empty table: no records. Other columns are not read.
+    Ids may be of any type that strings can be cast to. Null id: a record without one, null in the result. Empty table:
+    no records. Other columns are not read.
     """
     spark = pages.sparkSession
     kind = dict(pages.dtypes)[id_col]
@@ -231,7 +253,7 @@ def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     write_monolithic(to_records(pages, id_col, url_col, html_col, min_bytes), whole)
     normalise(spark, whole, members)
     got = read_archives(spark, members)
-    as_id = lambda c: F.when(F.col(c) != "null", F.col(c)).cast(kind)
+    as_id = lambda c: F.col(c).cast(kind)
     return got.select(as_id("page_id").alias(id_col), "payload_bytes", "payload_digest", "record_type", as_id("refers_to").alias("refers_to"))
 
 
