@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.scratch import stage
+from millrace.llm.scratch import free_name, stage
 
 WEIGHTS = (5, 2, 1)
 #: Knots (time, weight) by the same rank of the source as its weight: early, steady and late sources.
@@ -84,14 +84,16 @@ def _hash(id_col):
 
 def plan(df: DataFrame, id_col: str, text_col: str, source_col: str, weights=WEIGHTS) -> DataFrame:
     """id, source, h, size, source_size, target, cls, at (words of the source before), taken0, taken1, ... by pass."""
-    rows = stage(df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")), "mix")
+    # x and m part rows of one id, null among them: by text, and rows that are alike in all by number
+    rows = df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("x"))
+    rows = stage(rows.withColumn("m", F.monotonically_increasing_id()), "mix")
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     by_source = [F.col("source").asc_nulls_last()]
     ranked = running_sum(sizes.withColumn("one", F.lit(1).cast("bigint")), by_source, "one", "mix-sources")
     ranked = stage(ranked.select("source", "source_size", (F.col("before") % len(weights)).cast("int").alias("cls")), "mix-ranks")
     goal = running_sum(targets(ranked, weights), by_source, "source_size", "mix-starts").withColumnRenamed("before", "source_start")
     keyed = rows.withColumn("h", _hash(F.col("id")))
-    summed = running_sum(keyed, [*by_source, F.col("h").asc(), F.col("id").asc_nulls_first()], "size", "mix-order")
+    summed = running_sum(keyed, [*by_source, F.col("h").asc(), F.col("id").asc_nulls_first(), F.col("x").asc(), F.col("m").asc()], "size", "mix-order")
     joined = summed.alias("a").join(goal.alias("g"), F.col("a.source").eqNullSafe(F.col("g.source")))
     want, at = F.floor("g.target").cast("bigint"), F.col("a.before") - F.col("g.source_start")
     taken = [F.greatest(F.lit(0).cast("bigint"), F.least(F.col("a.size"), want - k * F.col("g.source_size") - at)).alias(f"taken{k}") for k in range(MAX_REPEATS)]
@@ -104,8 +106,9 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     Sources rank by code point, null last, and take ``weights`` and ``schedules`` in turn. ``taken`` sums to the
     whole part of the source's target and is at most twice the document's size; it is the size times 0, 1 or 2
     but for one document of a source, at which the target is met. ``position`` is the training time of the
-    document's first word in the first pass, null where nothing is taken; ``copies`` has those of all passes. The order inside a source is that of md5(id), then id
-    (null ids as empty), then the row, so reruns agree unless rows repeat fully, which are alike anyway.
+    document's first word in the first pass, null where nothing is taken; ``copies`` has those of all passes. The
+    order inside a source is that of md5(id), then id (null ids as empty), then a hash of the text, so reruns agree;
+    rows that are alike in all of these stand in any order.
     Null text: size 0. Null source: a source of its own. Empty table: no rows. Other columns are not read.
     """
     out = plan(df, id_col, text_col, source_col, weights)
@@ -137,19 +140,22 @@ def mixed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Each copy is due when its pass comes to the document, and the copies are range-sorted by that time. A pass over
     a source ends at one place of its order, so a row per source and pass says where. The document at which a target
     is met counts if at least half of it is taken. Rows of one source and id are at one place, and due with its first.
+    Null text: nothing to take, so the row goes. Null source or id: like any other. Empty table: no rows. Columns of
+    any name are handed on as they are.
     """
     planned = stage(plan(df, id_col, text_col, source_col, weights), "mix-plan")
     place = F.struct("h", F.col("id").isNotNull().alias("z"), "id")
-    last = [F.max(F.when((F.col(f"taken{k}") > 0) & (2 * F.col(f"taken{k}") >= F.col("size")), place)).alias(f"_last{k}") for k in range(MAX_REPEATS)]
-    ends = stage(planned.groupBy(F.col("source").alias("_source")).agg(*last), "mix-ends")
+    last = [F.max(F.when((F.col(f"taken{k}") > 0) & (2 * F.col(f"taken{k}") >= F.col("size")), place)).alias(f"last{k}") for k in range(MAX_REPEATS)]
+    ends = stage(planned.groupBy(F.col("source").alias("of")).agg(*last), "mix-ends")
     first = planned.groupBy("source", "id", "h", "source_size", "target", "cls").agg(F.min("at").alias("at"))
-    joined = first.join(ends, F.col("source").eqNullSafe(F.col("_source"))).withColumn("_own", place)
-    due_at = F.array(*[F.when(F.col("_own") <= F.col(f"_last{k}"), at_pass(k, schedules)) for k in range(MAX_REPEATS)])
-    times = joined.select(F.col("source").alias("_source"), F.col("id").alias("_id"), F.array_compact(due_at).alias("_times")).where(F.size("_times") > 0)
-    found = df.join(times, F.col(source_col).eqNullSafe(F.col("_source")) & F.col(id_col).eqNullSafe(F.col("_id")))
-    timed = found.select(F.explode("_times").alias("_position"), *[F.col(c) for c in df.columns])
-    keys = [F.col("_position").asc(), F.col(id_col).asc_nulls_last()]
-    return timed.repartitionByRange(*keys).sortWithinPartitions(*keys).select(*df.columns)
+    joined = first.join(ends, F.col("source").eqNullSafe(F.col("of"))).withColumn("own", place)
+    due_at = F.array(*[F.when(F.col("own") <= F.col(f"last{k}"), at_pass(k, schedules)) for k in range(MAX_REPEATS)])
+    source, key, times, position = (free_name(df, n) for n in ("source", "key", "times", "position"))
+    found = joined.select(F.col("source").alias(source), F.col("id").alias(key), F.array_compact(due_at).alias(times)).where(F.size(times) > 0)
+    own = [F.col(f"`{c}`") for c in df.columns]
+    timed = df.join(found, F.col(source_col).eqNullSafe(F.col(source)) & F.col(id_col).eqNullSafe(F.col(key))).select(F.explode(times).alias(position), *own)
+    order = [F.col(position).asc(), F.col(id_col).asc_nulls_last()]
+    return timed.repartitionByRange(*order).sortWithinPartitions(*order).select(*own)
 
 
 def in_training_order(mixed: DataFrame, position: str = "position") -> DataFrame:
