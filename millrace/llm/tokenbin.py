@@ -456,7 +456,7 @@ def read(spark, path: str, with_ids: bool = False) -> DataFrame:
         for batch in batches:
             for name, data in zip(batch.column("path").to_pylist(), batch.column("content")):
                 part, before = int(re.search(r"part-(\d+)", name.rsplit("/", 1)[-1])[1]), 0
-                for block in blocks(memoryview(data.as_buffer())):
+                for block in blocks(memoryview(data.as_buffer()).cast("B")):
                     ids, counts, got = decode_block(block, table, slots)
                     ends = np.cumsum(counts, dtype=np.int64)
                     docs = np.split(got.astype("<u4"), ends[:-1]) if ids else []
