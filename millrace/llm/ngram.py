@@ -19,18 +19,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.batches import map_pieces, pieces, ship
+from millrace.llm.batches import built, map_pieces, pieces, release, ship
 from millrace.llm.scratch import fresh_path, list_files, stage
 
 #: Tokens that a worker counts before it passes them on; bytes of text that are hashed at once.
 FLUSH_TOKENS, PIECE = 3_000_000, 1 << 20
+#: Input of a hash range, by the plan's estimate, and the most ranges that a worker's runs are cut to.
+RANGE_BYTES, MOST_RANGES = 8 << 20, 1 << 16
 FILE_END = "/MRLM\n\n\n"  # eight bytes, so that arrays stay aligned
 BOS = np.uint64(0xFFFFFFFF)
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _POWERS = [np.ones(1, dtype=np.uint64)]
-_BUILT: dict = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -143,23 +144,29 @@ def _counted(docs: DataFrame, buckets: int, keys_of) -> DataFrame:
     """Packed runs (bucket, blob) of the keys that ``keys_of(hashes, token counts)`` makes of the texts ``t``."""
     ship(docs.sparkSession)
 
-    def counted(held):
-        keys, c = count(np.concatenate(held))
-        held.clear()
-        return _rows([(b, pack(keys[s], c[s])) for b, s in by_range(keys, buckets)])
+    def counted(held: np.ndarray):
+        held.sort()
+        at = np.flatnonzero(np.concatenate([[True], held[1:] != held[:-1]]))
+        sizes = np.diff(at, append=len(held)).astype(np.uint32)
+        keys = held[at]
+        del at
+        return _rows([(b, pack(keys[s], sizes[s])) for b, s in by_range(keys, buckets)])
 
     def run(batches):
-        held, n = [], 0
+        held, n = np.empty(FLUSH_TOKENS, dtype=np.uint64), 0
         for batch in batches:
             for piece in pieces(batch, "t", PIECE):
                 got = keys_of(*hash_words(piece.column("t").to_pylist()))
-                held.append(got)
-                n += len(got)
-                if n >= FLUSH_TOKENS:
-                    yield counted(held)
-                    held, n = [], 0
+                while len(got):
+                    part, got = got[: FLUSH_TOKENS - n], got[FLUSH_TOKENS - n :]
+                    held[n : n + len(part)] = part
+                    n += len(part)
+                    if n == FLUSH_TOKENS:
+                        yield counted(held)
+                        n = 0
+            release()
         if n:
-            yield counted(held)
+            yield counted(held[:n])
 
     return docs.select("t").mapInArrow(run, "bucket int, blob binary")
 
@@ -264,11 +271,13 @@ def _open(names: list[str]) -> list[str]:
     return [SparkFiles.get(n.removeprefix("sparkfiles:")) if n.startswith("sparkfiles:") else n for n in names]
 
 
-def _built(tag: str, make):
-    if tag not in _BUILT:
-        _BUILT.clear()
-        _BUILT[tag] = make()
-    return _BUILT[tag]
+def ranges_for(docs: DataFrame) -> int:
+    """Number of hash ranges: by the size of what the plan reads, else by the session's shuffle partitions."""
+    leaves = docs._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+    if size >= 1 << 60:  # not known
+        return max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return min(MOST_RANGES, max(8, size // RANGE_BYTES + 1))
 
 
 def train(texts: DataFrame, text_col: str = "text") -> dict:
@@ -279,7 +288,7 @@ def train(texts: DataFrame, text_col: str = "text") -> dict:
     spark = texts.sparkSession
     ship(spark)
     docs = texts.select(F.col(text_col).alias("t"))
-    buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = ranges_for(docs)
     top = fresh_path(spark, "ngram")
 
     def merge_words(batches):
@@ -295,11 +304,13 @@ def train(texts: DataFrame, text_col: str = "text") -> dict:
         starts.append(n_words)
         if b in sizes:
             n_words, n_tokens = n_words + sizes[b]["n"], n_tokens + sizes[b]["total"]
+    if n_words >= int(BOS):
+        raise ValueError("a pair's key has 32 bits for a word's place: 4,294,967,294 different words at most")
     names = _local(spark, f"{top}/words")
     sent, tag = spark.sparkContext.broadcast((names, starts)), uuid.uuid4().hex
 
     def pairs_of(hashes, counts):
-        words = _built(tag, lambda: Words(_open(sent.value[0]), sent.value[1]))
+        words = built(tag, lambda: Words(_open(sent.value[0]), sent.value[1]))
         return _pairs(words.ids(hashes), counts)
 
     def merge_pairs(batches):
@@ -429,11 +440,11 @@ def score_texts(df: DataFrame, model: dict, id_col: str, text_col: str) -> DataF
     sent, tag = df.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex  # file names and a number per hash range
 
     def fn(piece):
-        n, known, base, score = _built(tag, lambda: Scorer(sent.value)).score(piece.column("t").to_pylist())
+        n, known, base, score = built(tag, lambda: Scorer(sent.value)).score(piece.column("t").to_pylist())
         return {"id": piece.column("id"), "n_tokens": n, "n_known": known, "train_tokens": np.full(len(n), sent.value["n_tokens"]), "base_score": base, "score": score}
 
     kind = dict(rows.dtypes)["id"]
-    return map_pieces(rows, "t", fn, f"id {kind}, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+    return map_pieces(rows, "t", fn, f"id {kind}, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double", PIECE)
 
 
 def lm_score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
