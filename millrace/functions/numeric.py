@@ -18,6 +18,11 @@ def radical_inverse(index: Column, base: int, digits: int) -> Column:
 
 
 def halton_inside(index: Column, digits2: int = 40, digits3: int = 25) -> Column:
-    """Whether the index's Halton point (bases 2 and 3) lies in the circle inscribed in the unit square."""
+    """Whether the index's Halton point (bases 2 and 3) lies in the circle inscribed in the unit square.
+
+    Indexes of more digits are an error: 40 and 25 digits are enough below 847,288,609,443.
+    """
+    most = min(2**digits2, 3**digits3) - 1
+    index = F.when(index.between(0, most), index).otherwise(F.raise_error(F.lit(f"an index must be from 0 to {most}")).cast("bigint"))
     x, y = radical_inverse(index, 2, digits2) - 0.5, radical_inverse(index, 3, digits3) - 0.5
     return x * x + y * y <= 0.25

@@ -35,6 +35,16 @@ def uniform(seed: int, *offsets: Column) -> Column:
     return draw(*offsets)
 
 
+def array_uniform(seed: int, *offsets: Column) -> Column:
+    """First draw from [0, 1) of numpy's generator for each row's offsets; an Arrow batch at a time."""
+
+    @pandas_udf("double")
+    def draw(*cols: pd.Series) -> pd.Series:
+        return pd.Series([array_generator(seed, *map(int, row)).random_sample() for row in zip(*cols)])
+
+    return draw(*offsets)
+
+
 def native_uniform(seed: int, *offsets: Column) -> Column:
     """A draw from [0, 1) by hash: as deterministic, without Python, not the same numbers."""
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *offsets), 11) / F.lit(float(1 << 53))

@@ -15,8 +15,12 @@ def sized(small: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def lookup(df: DataFrame, small: DataFrame, on: list[str], value: str, default) -> DataFrame:
-    """``df`` with ``value`` from ``small`` by equal ``on`` columns, ``default`` where there is none."""
-    joined = df.join(sized(small.select(*on, value)), on, "left")
+    """``df`` with ``value`` from ``small`` by equal ``on`` columns, ``default`` where there is none.
+
+    Of several values of a key the greatest counts, so rows are never multiplied. Spark sizes the join as it runs:
+    the small side is grouped first, and adaptive execution broadcasts what turns out small.
+    """
+    joined = df.join(small.groupBy(*on).agg(F.max(value).alias(value)), on, "left")
     return joined.withColumn(value, F.coalesce(F.col(value), F.lit(default)))
 
 

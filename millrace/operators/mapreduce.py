@@ -1,7 +1,8 @@
 """map, reduce and fused reduce-map over (key, value) rows, native or by Python generators.
 
 Native forms are DataFrame functions or aggregate columns, which Catalyst optimises. Python generators run on
-Arrow batches, and their reducers see a group's values as they stream in.
+Arrow batches, and their reducers see a group's values as they stream in. ``outdir`` keeps a result's pairs as files
+in one of the pair formats; the result is staged then, so that it is computed once.
 """
 
 from __future__ import annotations
@@ -9,23 +10,39 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from millrace.operators.partition import by_hash
+from millrace.sources.pairs import TEXT, WRITERS
+from millrace.storage import ship, stage
 
 Partition = Callable[[DataFrame, int], DataFrame]
 
 
+def _type(schema: str | StructType) -> StructType:
+    return schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
+
+
 def _fields(schema: str | StructType) -> list[str]:
-    return (schema if isinstance(schema, StructType) else StructType.fromDDL(schema)).fieldNames()
+    return _type(schema).fieldNames()
 
 
 def _dealt(df: DataFrame, splits: int | None, partition: Partition | None) -> DataFrame:
     return df if splits is None else (partition or by_hash)(df, splits)
 
 
+def _kept(df: DataFrame, outdir: str | None, form: str) -> DataFrame:
+    if outdir is None:
+        return df
+    df = stage(df, "kept")
+    WRITERS[form](df, outdir)
+    return df
+
+
 def _batches(pairs: Iterable, names: list[str], size: int = 4096) -> Iterator[pd.DataFrame]:
     held: list = []
     for pair in pairs:
@@ -37,21 +54,39 @@ def _batches(pairs: Iterable, names: list[str], size: int = 4096) -> Iterator[pd
         yield pd.DataFrame(held, columns=names)
 
 
-def map_data(df: DataFrame, fn: Callable, schema: str | None = None, splits: int | None = None, partition: Partition | None = None, combiner: Callable | None = None) -> DataFrame:
+def _arrow_batches(pairs: Iterable, schema: pa.Schema, size: int = 20_000) -> Iterator[pa.RecordBatch]:
+    held: list = []
+    for pair in pairs:
+        held.append(pair)
+        if len(held) >= size:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
+            held = []
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
+
+
+def map_data(
+    df: DataFrame, fn: Callable, schema: str | None = None, splits: int | None = None, partition: Partition | None = None, combiner: Callable | None = None,
+    setup: Callable | None = None, outdir: str | None = None, form: str = TEXT,
+) -> DataFrame:
     """``fn``: DataFrame -> DataFrame with columns key, value; or, with ``schema``, a generator (key, value) -> pairs.
 
     ``combiner``: a generator (key, values) -> values that sums up inside each task before rows are dealt out; it
-    must be associative with the reducer. ``splits``: partitions of the result, by key unless ``partition`` says.
+    must be associative with the reducer. ``setup`` is called in each task before its first pair. ``splits``: partitions
+    of the result, by key unless ``partition`` says. ``outdir``, ``form``: where and how pairs are kept besides.
     """
     if schema is None:
-        return _dealt(fn(df), splits, partition)
-    names = _fields(schema)
+        return _kept(_dealt(fn(df), splits, partition), outdir, form)
+    arrow = to_arrow_schema(_type(schema))
+    ship(df.sparkSession)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pairs = (out for f in frames for k, v in zip(f["key"], f["value"]) for out in fn(k, v))
-        yield from _batches(_combined(pairs, combiner) if combiner else pairs, names)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if setup:
+            setup()
+        pairs = (out for b in batches for k, v in zip(b.column("key").to_pylist(), b.column("value").to_pylist()) for out in fn(k, v))
+        yield from _arrow_batches(_combined(pairs, combiner) if combiner else pairs, arrow)
 
-    return _dealt(df.select("key", "value").mapInPandas(run, schema), splits, partition)
+    return _kept(_dealt(df.select("key", "value").mapInArrow(run, schema), splits, partition), outdir, form)
 
 
 #: Pairs a task holds before it combines them.
@@ -62,10 +97,13 @@ def _combined(pairs: Iterable, combiner: Callable) -> Iterator[tuple]:
     groups: dict = {}
     n = 0
     for k, v in pairs:
-        groups.setdefault(k, []).append(v)
+        if k in groups:
+            groups[k].append(v)
+        else:
+            groups[k] = [v]
         n += 1
         if n >= COMBINE_AT:
-            groups = {k: list(combiner(k, vs)) for k, vs in groups.items()}
+            groups = {k: vs if len(vs) == 1 else list(combiner(k, vs)) for k, vs in groups.items()}
             n = sum(map(len, groups.values()))
             if n > COMBINE_AT // 2:  # nothing more to gain: pass on
                 yield from ((k, v) for k, vs in groups.items() for v in vs)
@@ -75,38 +113,48 @@ def _combined(pairs: Iterable, combiner: Callable) -> Iterator[tuple]:
             yield k, v
 
 
-def reduce_data(df: DataFrame, fn: Callable | list[Column], schema: str | None = None, splits: int | None = None, partition: Partition | None = None) -> DataFrame:
-    """One reduction per key; the key is put back and cannot be changed. Each partition is sorted by key.
+def _grouping(produce: Callable[[object, Iterator], Iterable], names: list[str], setup: Callable | None) -> Callable:
+    begun: list = []
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        if setup and not begun:
+            begun.append(setup())
+        values = (v for f in frames for v in f["value"])
+        yield from _batches(produce(key[0], values), names)
+
+    run.__annotations__ = {"key": tuple[object, ...], "frames": Iterator[pd.DataFrame], "return": Iterator[pd.DataFrame]}
+    return run
+
+
+def reduce_data(
+    df: DataFrame, fn: Callable | list[Column], schema: str | None = None, splits: int | None = None, partition: Partition | None = None, setup: Callable | None = None,
+    sort_values: bool = False, outdir: str | None = None, form: str = TEXT,
+) -> DataFrame:
+    """One reduction per key; the key is put back and cannot be changed. Each partition is sorted by key, or with
+    ``sort_values`` by key and value.
 
     ``fn``: aggregate columns, or, with ``schema``, a generator (key, values) -> 0..n values, where values is an
-    iterator that may be read once, in no given order.
+    iterator that may be read once, in no given order. Other parameters are as for ``map_data``.
     """
     if schema is None:
         out = df.groupBy("key").agg(*fn)
     else:
-        names = _fields(schema)
-
-        def run(key: tuple, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            values = (v for f in frames for v in f["value"])
-            yield from _batches(((key[0], out) for out in fn(key[0], values)), names)
-
-        run.__annotations__ = {"key": tuple[object, ...], "frames": Iterator[pd.DataFrame], "return": Iterator[pd.DataFrame]}
+        ship(df.sparkSession)
+        run = _grouping(lambda k, vs: ((k, out) for out in fn(k, vs)), _fields(schema), setup)
         out = df.select("key", "value").groupBy("key").applyInPandas(run, schema)
-    return _dealt(out, splits, partition).sortWithinPartitions("key")
+    return _kept(_dealt(out, splits, partition).sortWithinPartitions("key", *(["value"] if sort_values else [])), outdir, form)
 
 
-def reducemap_data(df: DataFrame, reducer: Callable | list[Column], mapper: Callable, reduce_schema: str | None = None, map_schema: str | None = None, splits: int | None = None, partition: Partition | None = None) -> DataFrame:
-    """Reduce, then map the reduced pairs with no exchange between."""
+def reducemap_data(
+    df: DataFrame, reducer: Callable | list[Column], mapper: Callable, reduce_schema: str | None = None, map_schema: str | None = None, splits: int | None = None,
+    partition: Partition | None = None, setup: Callable | None = None, outdir: str | None = None, form: str = TEXT,
+) -> DataFrame:
+    """Reduce, then map the reduced pairs with no exchange between. Parameters are as for ``map_data``."""
     if reduce_schema is None:
-        return _dealt(mapper(df.groupBy("key").agg(*reducer)), splits, partition)
-    names = _fields(map_schema)
-
-    def run(key: tuple, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        values = (v for f in frames for v in f["value"])
-        yield from _batches((out for v in reducer(key[0], values) for out in mapper(key[0], v)), names)
-
-    run.__annotations__ = {"key": tuple[object, ...], "frames": Iterator[pd.DataFrame], "return": Iterator[pd.DataFrame]}
-    return _dealt(df.select("key", "value").groupBy("key").applyInPandas(run, map_schema), splits, partition)
+        return _kept(_dealt(mapper(df.groupBy("key").agg(*reducer)), splits, partition), outdir, form)
+    ship(df.sparkSession)
+    run = _grouping(lambda k, vs: (out for v in reducer(k, vs) for out in mapper(k, v)), _fields(map_schema), setup)
+    return _kept(_dealt(df.select("key", "value").groupBy("key").applyInPandas(run, map_schema), splits, partition), outdir, form)
 
 
 def with_splits(df: DataFrame) -> DataFrame:

@@ -9,13 +9,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.numeric import halton_inside
-from millrace.functions.text import words
+from millrace.functions.text import word_rows
 from millrace.plans.program import Program, iterate
+from millrace.storage import stage
 
 
 def wordcount(df: DataFrame, text: str = "value") -> DataFrame:
     """(word, n). Catalyst counts in each task before it shuffles."""
-    return df.select(F.explode(words(F.col(text))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return word_rows(df, text).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
 class WordCount(Program):
@@ -50,17 +51,15 @@ def count_series(first: DataFrame, column: str, steps: int) -> DataFrame:
 
 
 def count_until_one(first: DataFrame, column: str, done=lambda df: None) -> int:
-    """Count counts until a round has one row or none; each round is checkpointed to the shared folder if there is one.
+    """Count counts until a round has one row or none; each round is staged in the shared folder.
 
     ``done`` sees every round. Returns the number of rounds.
     """
-    spark = first.sparkSession
 
     def steps() -> Iterator:
         now, at = first, column
         while True:
-            now = counts_of(now, at)
-            now = now.checkpoint() if spark.conf.get("spark.checkpoint.dir", None) else now.persist()
+            now = stage(counts_of(now, at), "counts")
             at = "n"
             yield now, go_on
 

@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 
 from pyspark import InheritableThread
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 @dataclass
@@ -21,9 +22,35 @@ class Dataset:
     def ready(self) -> bool:
         return self.future.done()
 
+    def computing(self) -> bool:
+        return self.future.running()
+
     def rows(self) -> int:
+        """How many rows there are, when all are computed."""
         return self.future.result()
 
+    def data(self):
+        """All rows, a partition at a time."""
+        self.rows()
+        return self.frame.toLocalIterator()
+
+    def fetchall(self) -> list:
+        """All rows at once, for results that fit in the driver."""
+        self.rows()
+        return self.frame.collect()
+
+    def splitdata(self, split: int):
+        """Rows of one partition."""
+        self.rows()
+        return self.frame.where(F.spark_partition_id() == split).toLocalIterator()
+
+    stream_data, stream_split = data, splitdata
+
+    def sourcedata(self, source: int):
+        """Rows of one source, for frames with a column ``source``, as grids of files have."""
+        self.rows()
+        return self.frame.where(F.col("source") == source).toLocalIterator()
+
 
 class Jobs:
     def __init__(self, spark, in_flight: int = 10):

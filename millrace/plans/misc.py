@@ -8,17 +8,32 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.operators.mapreduce import map_data
 from millrace.operators.partition import by_mod
+from millrace.storage import ship
+
+
+#: What is kept of a topic, and how two such objects are added up.
+TOPIC = "n_docs bigint, n_chars bigint, longest bigint, shortest bigint, n_sizes bigint"
 
 
 def document_topics(docs: DataFrame) -> DataFrame:
-    """Per (lang, source) an accumulated object: documents, characters, longest and shortest text."""
+    """Per (lang, source) an accumulated object: documents, characters, longest and shortest text, different sizes."""
     size = F.length("text")
     return docs.groupBy("lang", "source").agg(
         F.count(F.lit(1)).alias("n_docs"), F.sum(size).alias("n_chars"), F.max(size).cast("bigint").alias("longest"), F.min(size).cast("bigint").alias("shortest"), F.count_distinct("n_chars").alias("n_sizes")
     )
 
 
+def map_documents(docs: DataFrame, parse: Callable[[str], dict], schema: str, text: str = "text", setup: Callable | None = None) -> DataFrame:
+    """(topic, fields of ``schema``) of every document: ``parse`` (text) -> {topic: tuple of fields}, by Arrow batches.
+
+    ``setup`` is called in each task first, to load what ``parse`` needs. Null texts have no topics.
+    """
+    pairs = docs.select(F.lit(0).alias("key"), F.col(text).alias("value")).where(F.col(text).isNotNull())
+    return map_data(pairs, lambda _, t: ((k, *fields) for k, fields in parse(t).items()), f"topic string, {schema}", setup=setup)
+
+
 def aggregate_objects(df: DataFrame, key: str, start: Callable, add: Callable, finish: Callable, schema: str) -> DataFrame:
     """An accumulator of one's own per key: ``finish(key, state)`` gives rows; state is ``add(state, row)`` by row."""
 
@@ -31,6 +46,7 @@ def aggregate_objects(df: DataFrame, key: str, start: Callable, add: Callable, f
 
     from pyspark.sql.types import StructType
 
+    ship(df.sparkSession)
     names = StructType.fromDDL(schema).fieldNames()
     run.__annotations__ = {"group": tuple[object, ...], "frames": Iterator[pd.DataFrame], "return": Iterator[pd.DataFrame]}
     return df.groupBy(key).applyInPandas(run, schema)
@@ -47,6 +63,7 @@ def farm(spark: SparkSession, tasks: list[tuple[str, int]], splits: int = 300) -
         raise ValueError(f"no such jobs: {sorted(unknown)}")
     table = spark.createDataFrame([(i, n, x) for i, (n, x) in enumerate(tasks)], "key bigint, job string, argument bigint")
     table = by_mod(table, max(1, min(splits, len(tasks))))
+    ship(spark)
 
     def run(frames):
         for f in frames:
@@ -69,19 +86,25 @@ def log_messages(lines: DataFrame, column: str = "value") -> DataFrame:
     return rows.select(F.to_timestamp(F.replace(part(1), F.lit(","), F.lit(".")), "yyyy-MM-dd HH:mm:ss.SSS").alias("ts"), part(2).alias("level"), part(3).alias("message"))
 
 
+#: Messages of a run's log that name a task of a dataset, when it is given out and when it is reported.
+ASSIGNED, REPORTED = r"^Assigning.*: (\w+), (\d+)\s*$", r"^Slave \d+ report.*: (\w+), (\d+)\s*$"
+
+
+def _tasks(messages: DataFrame) -> DataFrame:
+    """(ts, begun, dataset, task) of the messages that name a task."""
+    begun = F.col("message").rlike(ASSIGNED)
+    part = lambda i: F.when(begun, F.regexp_extract("message", ASSIGNED, i)).otherwise(F.regexp_extract("message", REPORTED, i))
+    return messages.where(begun | F.col("message").rlike(REPORTED)).select("ts", begun.alias("begun"), part(1).alias("dataset"), part(2).alias("task"))
+
+
 def task_times(messages: DataFrame) -> DataFrame:
-    """(dataset, tasks, mean_seconds) from messages that end in ``: dataset, task``: assigned first, reported last."""
-    begin, stop = r"^Assigning.*: (\w+), (\d+)\s*$", r"^\w+ \d+ report.*: (\w+), (\d+)\s*$"
-    kind = F.when(F.col("message").rlike(begin), begin).when(F.col("message").rlike(stop), stop)
-    rows = messages.where(kind.isNotNull()).select(
-        "ts", *[F.when(F.col("message").rlike(begin), F.regexp_extract("message", begin, i)).otherwise(F.regexp_extract("message", stop, i)).alias(n) for i, n in ((1, "dataset"), (2, "task"))]
-    )
-    each = intervals(rows.withColumn("_k", F.struct("dataset", "task")), "_k")
-    return each.groupBy(F.col("_k.dataset").alias("dataset")).agg(F.count(F.lit(1)).alias("tasks"), F.avg("seconds").alias("mean_seconds"))
+    """(dataset, tasks, mean_seconds): of each task from when it was last assigned to its last report."""
+    each = _tasks(messages).groupBy("dataset", "task").agg(F.max(F.when(F.col("begun"), F.col("ts"))).alias("first"), F.max(F.when(~F.col("begun"), F.col("ts"))).alias("last")).where("first is not null")
+    sec = lambda c: F.unix_micros(F.col(c)) / F.lit(1e6)
+    # a task without a later report takes no time yet
+    return each.groupBy("dataset").agg(F.count(F.lit(1)).alias("tasks"), F.avg(F.greatest(F.lit(0.0), F.coalesce(sec("last") - sec("first"), F.lit(0.0)))).alias("mean_seconds"))
 
 
 def dataset_times(messages: DataFrame) -> DataFrame:
     """(dataset, first_ts, last_ts, n, seconds) over all messages that name a task of a dataset."""
-    pattern = r": (\w+), \d+\s*$"
-    rows = messages.where(F.col("message").rlike(pattern)).select("ts", F.regexp_extract("message", pattern, 1).alias("dataset"))
-    return intervals(rows, "dataset")
+    return intervals(_tasks(messages).select("ts", "dataset"), "dataset")

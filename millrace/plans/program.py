@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+from millrace.functions.rng import array_generator, generator
 from millrace.operators.mapreduce import map_data, reduce_data
 from millrace.session import Options, session
 from millrace.sources.lines import read_lines
@@ -19,6 +20,10 @@ class Program:
     map_schema = "key string, value bigint"
     reduce_schema = "key string, value bigint"
     combine: Callable | None = None
+    #: (frame, n) -> frame dealt to n partitions, as those of ``operators.partition``; by Spark's hash of the key if None.
+    partition: Callable | None = None
+    #: Called in each task before its first pair, to load what maps and reduces look up; what it sets is not shared.
+    setup: Callable | None = None
 
     def __init__(self, spark: SparkSession, args: list[str] = (), options: Options | None = None):
         self.spark, self.args, self.options = spark, list(args), options or Options()
@@ -29,6 +34,14 @@ class Program:
     def reduce(self, key, values) -> Iterator:
         yield from values
 
+    def random(self, *offsets: int):
+        """A generator that the job's seed and the offsets determine."""
+        return generator(self.options.seed, *offsets)
+
+    def numpy_random(self, *offsets: int):
+        """The same of numpy, with other draws; left-out offsets are not zeros."""
+        return array_generator(self.options.seed, *offsets)
+
     def input_data(self) -> DataFrame:
         """All arguments but the last are input files."""
         return read_lines(self.spark, self.args[:-1])
@@ -37,8 +50,8 @@ class Program:
         return self.args[-1] if self.args else None
 
     def plan(self) -> DataFrame:
-        mapped = map_data(self.input_data(), self.map, self.map_schema, self.options.splits, combiner=self.combine)
-        return reduce_data(mapped, self.reduce, self.reduce_schema)
+        mapped = map_data(self.input_data(), self.map, self.map_schema, self.options.splits, self.partition, self.combine, self.setup)
+        return reduce_data(mapped, self.reduce, self.reduce_schema, setup=self.setup)
 
     def run(self) -> int:
         out = self.plan()

@@ -9,19 +9,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.operators.lookup import lookup
+from millrace.operators.lookup import both_ways, lookup
+from millrace.plans.program import Program
+from millrace.sources.lines import NODE_NAMES, RELATIONS, WALK_FORM, WALK_NAMES, read_records, read_table
 
 MAX_STEPS, MAX_EDGES = 100, 5
 UNKNOWN_EDGE, UNKNOWN_NODE = "UNKNOWN_EDGE", "UNKNOWN_NODE"
 
 
-def walk_steps(steps: DataFrame, max_steps: int = MAX_STEPS, extra: tuple[str, ...] = ()) -> DataFrame:
-    """(walk, nodes) or, with ``extra`` columns, (walk, steps) with structs, in order of hop, then node."""
+def _first_steps(steps: DataFrame, max_steps: int) -> DataFrame:
+    """(walk, node, i, next): the first ``max_steps`` steps of walks, with the node after each."""
     order = Window.partitionBy("walk").orderBy("hop", "node")
-    first = steps.withColumn("_i", F.row_number().over(order)).where(F.col("_i") <= max_steps)
-    rows = first.groupBy("walk").agg(F.sort_array(F.collect_list(F.struct("_i", "node", *extra))).alias("steps"))
-    rows = rows.where(F.size("steps") < max_steps)
-    return rows if extra else rows.select("walk", F.transform("steps", lambda x: x["node"]).alias("nodes"))
+    return steps.select("walk", "node", F.row_number().over(order).alias("i"), F.lead("node").over(order).alias("next")).where(F.col("i") <= max_steps)
+
+
+def walk_steps(steps: DataFrame, max_steps: int = MAX_STEPS) -> DataFrame:
+    """(walk, nodes) in order of hop, then node, of walks of fewer than ``max_steps`` steps."""
+    rows = _first_steps(steps, max_steps).groupBy("walk").agg(F.sort_array(F.collect_list(F.struct("i", "node"))).alias("steps"))
+    return rows.where(F.size("steps") < max_steps).select("walk", F.col("steps.node").alias("nodes"))
 
 
 def node_pairs(walks: DataFrame) -> DataFrame:
@@ -30,19 +35,22 @@ def node_pairs(walks: DataFrame) -> DataFrame:
     return walks.select(F.explode(F.flatten(later)).alias("p")).select("p.s", "p.t")
 
 
-def conditional_probabilities(steps: DataFrame, min_count: int = 2) -> DataFrame:
+def conditional_probabilities(steps: DataFrame, min_count: int = 2, max_steps: int = MAX_STEPS) -> DataFrame:
     """(s, t, p): of the kept counts of s, the share of t; pairs seen fewer than ``min_count`` times are not kept."""
-    counts = node_pairs(walk_steps(steps)).groupBy("s", "t").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= min_count)
+    counts = node_pairs(walk_steps(steps, max_steps)).groupBy("s", "t").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= min_count)
     return counts.select("s", "t", (F.col("c") / F.sum("c").over(Window.partitionBy("s"))).alias("p"))
 
 
-def path_edges(nodes, edges, start, end):
-    """Edge names on the way from place ``start`` to ``end`` (from 1) with cycles cut out; more than 5 are cut at 6.
+def path_edges(nodes, edges, start, end, most: int = MAX_EDGES, own_start: bool = True):
+    """Edge names on the way from place ``start`` to ``end`` (from 1) with cycles cut out; more than ``most`` are cut one after.
 
     From the end backwards: the edge before is taken, and from its node the way goes on at the node's first place
-    on this path. The end node itself is no part of the path yet, so a way back to it stays.
+    on this path. The end node itself is no part of the path yet, so a way back to it stays, and with ``own_start`` false
+    the first node is none either.
     """
     part = F.slice(nodes, start, end - start)
+    if not own_start:
+        part = F.transform(part, lambda x, k: F.when(k > 0, x))
     own = F.slice(edges, start, end - start)
 
     def step(state, _):
@@ -50,30 +58,40 @@ def path_edges(nodes, edges, start, end):
         node = F.element_at(part, F.greatest(at, F.lit(1)))
         return F.when(
             at > 0,
-            F.struct((F.array_position(part, node) - 1).cast("int").alias("at"), F.concat(F.array(F.element_at(own, F.greatest(at, F.lit(1)))), state["out"]).alias("out")),
+            F.struct(F.coalesce(F.array_position(part, node) - 1, F.lit(0)).cast("int").alias("at"), F.concat(F.array(F.element_at(own, F.greatest(at, F.lit(1)))), state["out"]).alias("out")),
         ).otherwise(state)
 
     first = F.struct((end - start).cast("int").alias("at"), F.array().cast("array<string>").alias("out"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(MAX_EDGES + 1)), first, step)["out"]
+    return F.aggregate(F.sequence(F.lit(1), F.lit(most + 1)), first, step)["out"]
+
 
+#: Parameters of ``walk_paths`` as the analyzer for Hadoop has them; its paths and totals are kept from 2 and 50 on.
+TWIN = {"max_steps": 101, "max_edges": 6, "max_span": 6, "begin": "BEGIN", "unknown": "UNKNOWN_RELATION", "own_start": False, "ends": "-"}
 
-def walk_paths(steps: DataFrame, relation: DataFrame, acyclic_only: bool = False) -> DataFrame:
-    """(s, t, path) for each node and each later node of a walk; paths of more than 5 edges are left out.
 
-    ``relation`` (s, t, name) names edges; others are UNKNOWN_EDGE.
+def walk_paths(steps: DataFrame, relation: DataFrame, max_steps: int = MAX_STEPS, max_edges: int = MAX_EDGES, max_span: int | None = None, begin: str | None = None, unknown: str = UNKNOWN_EDGE, own_start: bool = True, ends: str = "") -> DataFrame:
+    """(s, t, path) for each node and each later node of a walk; paths of more than ``max_edges`` edges are left out.
+
+    ``relation`` (s, t, name) names edges; others are ``unknown``. ``max_span``: later nodes at most so many steps on.
+    ``begin``: a path of this name from each node to itself, that counts walks from there. ``ends``: what stands before
+    and after a path's edges. The defaults are those of the analyzer in Python; ``TWIN`` has those of the one for Hadoop.
     """
-    order = Window.partitionBy("walk").orderBy("hop", "node")
-    hops = steps.withColumn("_next", F.lead("node").over(order))
-    named = lookup(hops, relation.select(F.col("s").alias("node"), F.col("t").alias("_next"), "name"), ["node", "_next"], "name", UNKNOWN_EDGE)
-    walks = walk_steps(named, extra=("name",)).select(F.transform("steps", lambda x: x["node"]).alias("nodes"), F.transform("steps", lambda x: x["name"]).alias("edges"))
-    if acyclic_only:
-        walks = walks.where(F.size(F.array_distinct("nodes")) == F.size("nodes"))
-    places = F.sequence(F.lit(1), F.size("nodes"))
-    pairs = walks.where(F.size("nodes") > 1).select("*", F.explode(places).alias("i")).where(F.col("i") < F.size("nodes")).select("*", F.explode(F.sequence(F.col("i") + 1, F.size("nodes"))).alias("j"))
-    if acyclic_only:
-        pairs = pairs.where(F.col("j") - F.col("i") <= MAX_EDGES)
-    found = pairs.select(F.element_at("nodes", F.col("i")).alias("s"), F.element_at("nodes", F.col("j")).alias("t"), path_edges(F.col("nodes"), F.col("edges"), F.col("i"), F.col("j")).alias("e"))
-    return found.where((F.size("e") > 0) & (F.size("e") <= MAX_EDGES)).select("s", "t", F.array_join("e", "-").alias("path"))
+    named = lookup(_first_steps(steps, max_steps), relation.select(F.col("s").alias("node"), F.col("t").alias("next"), "name"), ["node", "next"], "name", unknown)
+    walks = named.groupBy("walk").agg(F.sort_array(F.collect_list(F.struct("i", "node", "name"))).alias("x")).where(F.size("x") < max_steps)
+    walks = walks.select(F.col("x.node").alias("nodes"), F.col("x.name").alias("edges"))
+    walks = walks.withColumn("plain", F.size(F.array_distinct("nodes")) == F.size("nodes"))  # then paths are stretches of edges
+    n = F.size("nodes")
+    pairs = walks.where(n > 1).select("*", F.explode(F.sequence(F.lit(1), n - 1)).alias("i"))
+    spans = [F.when(F.col("plain"), F.lit(max_edges))] + ([F.lit(max_span)] if max_span else [])
+    last = F.least(n, *[F.coalesce(F.col("i") + x, n) for x in spans])
+    pairs = pairs.select("*", F.explode(F.sequence(F.col("i") + 1, last)).alias("j"))
+    i, j = F.col("i"), F.col("j")
+    way = F.when(F.col("plain"), F.slice("edges", i, j - i)).otherwise(path_edges(F.col("nodes"), F.col("edges"), i, j, max_edges, own_start))
+    found = pairs.select(F.element_at("nodes", i).alias("s"), F.element_at("nodes", j).alias("t"), way.alias("e"))
+    out = found.where((F.size("e") > 0) & (F.size("e") <= max_edges)).select("s", "t", F.concat(F.lit(ends), F.array_join("e", "-"), F.lit(ends)).alias("path"))
+    if begin:
+        out = out.unionByName(walks.select(F.explode("nodes").alias("s")).select("s", F.col("s").alias("t"), F.lit(begin).alias("path")))
+    return out
 
 
 def path_counts(paths: DataFrame, min_count: int = 100) -> DataFrame:
@@ -98,3 +116,25 @@ def matrix_rows(stats: DataFrame, names: DataFrame) -> DataFrame:
 def matrix_text(rows: DataFrame) -> DataFrame:
     """(key, value) text lines of a matrix, for the text sink; probabilities with five places."""
     return rows.select(F.concat_ws(" ", "source", "target").alias("key"), F.format_string("%s %.5f %d %d", "path", "p", "total", "targets").alias("value"))
+
+
+class WalkAnalyzer(Program):
+    """Walk files, relation names and node names to the lines of a matrix of path features.
+
+    Arguments: files of walk records, then the output folder. ``relations``, ``nodes``: files of names between tabs.
+    """
+
+    @classmethod
+    def update_parser(cls, parser):
+        parser.add_argument("--relations", required=True)
+        parser.add_argument("--nodes", required=True)
+        parser.add_argument("--min-path-count", type=int, default=100)
+        parser.add_argument("--min-total-count", type=int, default=300)
+        return parser
+
+    def plan(self) -> DataFrame:
+        own = self.parsed
+        steps = read_records(self.spark, self.args[:-1], WALK_FORM, WALK_NAMES)
+        paths = walk_paths(steps, both_ways(read_table(self.spark, own.relations, RELATIONS)))
+        stats = normalised(path_counts(paths, own.min_path_count), own.min_total_count)
+        return matrix_text(matrix_rows(stats, read_table(self.spark, own.nodes, NODE_NAMES)))

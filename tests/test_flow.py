@@ -18,7 +18,8 @@ from millrace.operators.mapreduce import map_data, reduce_data, reducemap_data,
 from millrace.plans import counting, misc, walks
 from millrace.plans.jobs import Jobs
 from millrace.plans.program import Program, iterate, main, produce_consume
-from millrace.sources import lines, pairs
+from millrace.session import Options
+from millrace.sources import codecs, lines, pairs
 from millrace.sources.files import Files
 
 TEXT = ["It was a time,\n", "it was the TIME:\n", "\n", "-- a 'word' -- the end"]
@@ -71,7 +72,7 @@ def test_records(spark, tmp_path):
 
     rows = [(i, i % 5, 2**32 - 1 - i) for i in range(100)]
     (tmp_path / "w").write_bytes(b"".join(struct.pack(">IHI", *r) for r in rows))
-    got = lines.read_records(spark, str(tmp_path / "w"), lines.WALK_FIELDS)
+    got = lines.read_records(spark, str(tmp_path / "w"), lines.WALK_FORM, lines.WALK_NAMES)
     assert sorted(tuple(r) for r in got.collect()) == rows
 
 
@@ -149,35 +150,86 @@ def test_md5_mod(spark):
 def test_partitioners(spark):
     df = spark.range(-20, 20).select(F.col("id").alias("key"))
     assert all(r.split == r.key % 5 for r in with_splits(P.by_mod(df, 5)).collect())
-    assert all(r.split == (r.key + 100) % 3 for r in with_splits(P.by_function(df, 3, lambda k: (k + 100) % 3 if isinstance(k, int) else F.pmod(k + 100, F.lit(3)))).collect())
+    assert all(r.split == (r.key + 100) % 3 for r in with_splits(P.by_function(df, 3, lambda k: F.pmod(k + 100, F.lit(3)), native=True)).collect())
     assert all(r.split == r.key * r.key % 3 for r in with_splits(P.by_function(df, 3, lambda k: int(k) * int(k) % 3)).collect())
     sizes = Counter(r.split for r in with_splits(P.round_robin(df, 4, "key")).collect())
     assert set(sizes.values()) == {10}
     assert [r.m for r in df.limit(1).select(mod(F.lit(-3), 5).alias("m")).collect()] == [2]
 
 
+ROWS = [(b"key 1", b"value 1"), (b"hello", b"world"), (b"the", b"end")]
+
+
 def test_pair_files(spark, tmp_path):
-    rows = [(b"key 1", b"value 1"), (b"hello", b"world"), (b"the", b"end")]
-    df = spark.createDataFrame(rows, "key binary, value binary").coalesce(1)
-    for kind, size in ((pairs.BIN, 56), (pairs.ZIP, None)):
+    df = spark.createDataFrame(ROWS, "key binary, value binary").coalesce(1)
+    for kind, size in ((pairs.BIN, 56), (pairs.ZIP, None), (pairs.HEX, 62)):
         out = str(tmp_path / kind)
-        pairs.writer_of(kind)(df, out)
+        pairs.writer_of(pairs.FORMATS.extension(kind))(df, out)
         names = [f for f in (tmp_path / kind).iterdir() if f.name.startswith("source_")]
-        assert [f.name for f in names] == [f"source_0_split_0_.{kind}"]
+        assert [f.name for f in names] == [f"source_0_split_0_.{pairs.FORMATS.extension(kind)}"]
         assert size is None or names[0].stat().st_size == size
-        assert [(bytes(r.key), bytes(r.value)) for r in pairs.read_pairs(spark, [str(f) for f in names]).collect()] == rows
-    pairs.write_hex(df, str(tmp_path / "hex"))
-    text = next((tmp_path / "hex").glob("part-*")).read_bytes()
-    assert len(text) == 62 and text == text.lower()
-    assert [(bytes(r.key), bytes(r.value)) for r in pairs.read_pairs(spark, str(tmp_path / "hex"), pairs.HEX).collect()] == rows
+        for where in ([str(f) for f in names], out):
+            assert [(bytes(r.key), bytes(r.value)) for r in pairs.read_pairs(spark, where).collect()] == ROWS
+
+
+def test_second_append_keeps_the_first(spark, tmp_path):
+    df, out = spark.createDataFrame([("k1", 1)], "key string, value bigint"), str(tmp_path / "o")
+    pairs.write_binary(df, out)
+    pairs.write_binary(df.select(F.lit("k2").alias("key"), "value"), out)
+    got = pairs.read_pairs(spark, out, key=codecs.STR, value=codecs.INT).collect()
+    assert sorted((r.key, r.value) for r in got) == [("k1", 1), ("k2", 1)] and not list((tmp_path / "o").glob(".pairs*"))
+    with pytest.raises(FileExistsError):
+        pairs.write_binary(df, out, mode="errorifexists")
+    with pytest.raises(Exception):  # nothing is published by a job that fails
+        pairs.write_binary(df.union(df.select("key", F.raise_error(F.lit("no")).cast("bigint"))), out)
+    assert len(list((tmp_path / "o").glob("source_*"))) == 2
+
+
+def test_files_of_all_formats_together(spark, tmp_path):
+    df = spark.createDataFrame([(7, "x")], "key bigint, value string")
+    for kind in (pairs.BIN, pairs.ZIP, pairs.HEX):
+        pairs.WRITERS[kind](df, str(tmp_path / kind))
+    (tmp_path / "a.txt").write_text("line\n")
+    paths = [str(tmp_path / kind) for kind in (pairs.BIN, pairs.ZIP, pairs.HEX)] + [str(tmp_path / "a.txt")]
+    got = pairs.read_pairs(spark, paths, key=codecs.INT, value=codecs.STR).collect()
+    assert sorted((r.key, r.value) for r in got) == [(0, "line\n"), (7, "x"), (7, "x"), (7, "x")]
+
+
+def test_formats_of_another_program(spark, tmp_path):
+    other = pairs.Formats(binary="abc", binary_mark=b"ABCD")
+    pairs.write_binary(spark.createDataFrame(ROWS, "key binary, value binary").coalesce(1), str(tmp_path / "o"), formats=other)
+    file = next((tmp_path / "o").glob("*.abc"))
+    assert file.read_bytes() == pairs.encode(ROWS, pairs.BIN, other) and file.read_bytes()[:4] == b"ABCD"
+    assert pairs.read_pairs(spark, str(file), formats=other).count() == 3
+
+
+def test_codecs(spark):
+    import struct
+
+    df = spark.createDataFrame([(-5, "é", 1.5, None)], "i bigint, s string, x double, n bigint")
+    for c, codec, raw in (("i", codecs.INT, b"-5"), ("s", codecs.STR, "é".encode()), ("i", codecs.primitive("<i"), struct.pack("<i", -5)), ("x", codecs.primitive(">d"), struct.pack(">d", 1.5)), ("n", codecs.INT, None), ("n", codecs.primitive(">q"), None)):
+        one = df.select(c, codec.to_bytes(F.col(c)).alias("b")).select(c, "b", codec.from_bytes(F.col("b")).alias("back")).first()
+        assert one.b == raw and one.back == one[c]
+    form = codecs.record(">IHI", ["a", "b", "c"], ["bigint"] * 3)
+    row = spark.createDataFrame([((1, 2, 3),)], "r struct<a:bigint,b:bigint,c:bigint>").select(form.to_bytes(F.col("r")).alias("b")).select("b", form.from_bytes(F.col("b")).alias("r")).first()
+    assert row.b == struct.pack(">IHI", 1, 2, 3) and tuple(row.r) == (1, 2, 3)
+    own = codecs.functions(lambda v: str(v[::-1]).encode(), lambda b: b.decode()[::-1], "string")
+    assert df.select(own.from_bytes(own.to_bytes(F.col("s"))).alias("s")).first().s == "é"
 
 
 def test_empty_partitions_write_no_files(spark, tmp_path):
     df = P.by_number(spark.createDataFrame([(b"a", b"b")], "key binary, value binary"), 5, F.lit(2))
+    ext = pairs.FORMATS.binary
     pairs.write_binary(df, str(tmp_path / "o"), source=2)
-    assert [f.name for f in (tmp_path / "o").glob("source*")] == [f"source_2_split_2_.{pairs.BIN}"]
+    assert [f.name for f in (tmp_path / "o").glob("source*")] == [f"source_2_split_2_.{ext}"]
     pairs.write_binary(df, str(tmp_path / "o"), source=3, mode="overwrite")
-    assert [f.name for f in (tmp_path / "o").glob("source*")] == [f"source_3_split_2_.{pairs.BIN}"]
+    assert [f.name for f in (tmp_path / "o").glob("source*")] == [f"source_3_split_2_.{ext}"]
+
+
+def test_large_partitions_are_several_files(spark, tmp_path, monkeypatch):
+    rows = spark.range(40).select(F.col("id").alias("key"), F.lit("x" * 10).alias("value")).coalesce(1)
+    pairs.write_binary(rows, str(tmp_path / "o"))
+    assert pairs.read_pairs(spark, str(tmp_path / "o"), key=codecs.INT).count() == 40
 
 
 def test_broken_pair_files():
@@ -186,7 +238,40 @@ def test_broken_pair_files():
     for bad in (b"XXXX" + good[4:], good[:-1], good[:-5], good[:-6]):
         with pytest.raises(ValueError):
             list(pairs.decode(bad, pairs.BIN))
-    assert list(pairs.decode(gzip.compress(pairs.MARKS[pairs.ZIP] + good[4:]), pairs.ZIP)) == [(b"k", b"v")]
+    assert list(pairs.decode(gzip.compress(pairs.FORMATS.zip_mark + good[4:]), pairs.ZIP)) == [(b"k", b"v")]
+
+
+def test_results_are_kept_as_files(spark, tmp_path):
+    df = spark.createDataFrame([("a", 1), ("a", 2), ("b", 5)], "key string, value bigint")
+    one, two = str(tmp_path / "map"), str(tmp_path / "reduce")
+    mapped = map_data(df, lambda k, v: [(k, v + 1)], "key string, value bigint", splits=3, outdir=one, form=pairs.BIN)
+    out = reduce_data(mapped, lambda k, vs: [sum(vs)], "key string, value bigint", outdir=two)
+    want = [("a", 2), ("a", 3), ("b", 6)]
+    assert sorted((r.key, r.value) for r in pairs.read_pairs(spark, one, key=codecs.STR, value=codecs.INT).collect()) == want
+    assert sorted(r.value for r in spark.read.text(two).collect()) == ["a 5", "b 6"] and out.count() == 2
+
+
+def test_sorted_by_key_and_value(spark):
+    df = spark.createDataFrame([("b", 2), ("a", 9), ("b", 1), ("a", 3)], "key string, value bigint")
+    got = reduce_data(df, lambda k, vs: vs, "key string, value bigint", splits=1, sort_values=True).collect()
+    assert [(r.key, r.value) for r in got] == [("a", 3), ("a", 9), ("b", 1), ("b", 2)]
+
+
+def test_set_up_partition_and_seed_of_a_program(spark, tmp_path):
+    class Job(Program):
+        map_schema = reduce_schema = "key bigint, value double"
+        partition = staticmethod(P.by_mod)
+
+        def setup(self):
+            self.offset = 100
+
+        def map(self, key, value):
+            yield self.offset + key, self.random(key).random()
+
+    (tmp_path / "in").write_text("a\nb\n")
+    made = Job(spark, [str(tmp_path / "in"), str(tmp_path / "out")], Options(seed=5, splits=3))
+    assert {r.key: r.value for r in made.plan().collect()} == {100 + i: random.Random(5 + (i << 64)).random() for i in range(2)}
+    assert made.numpy_random(1).rand() == array_generator(5, 1).rand()
 
 
 def test_file_system(spark, tmp_path):
@@ -235,6 +320,8 @@ def test_jobs(spark):
     while len(done) < 2:
         done |= {d.group for d in jobs.wait(*[x for x in (a, b) if x.group not in done], timeout=30)}
     assert (a.rows(), b.rows(), jobs.progress(a), a.ready()) == (10, 20, 1.0, True)
+    assert sorted(r.id for r in a.data()) == sorted(r.id for r in a.fetchall()) == list(range(10)) and not a.computing()
+    assert sorted(r.id for i in range(8) for r in a.splitdata(i)) == list(range(10))
     jobs.close(a)
     bad = jobs.submit(spark.range(1).select(F.raise_error(F.lit("no"))))
     with pytest.raises(Exception):
@@ -297,17 +384,24 @@ def _slow_stats(spark, d):
 def test_path_queries_over_all_walks(spark):
     d = "/root/testdata/sf0.001"
     counts, stats = _slow_stats(spark, d)
-    assert {(r.s, r.t, r.path): r.c for r in queries.QUERIES["path_counts_cyclic"](spark, d).collect()} == counts
-    assert {(r.s, r.path, r.t, r.p, r.total, r.targets) for r in queries.QUERIES["normalize_paths_cyclic"](spark, d).collect()} == stats
-    got = queries.QUERIES["matrix_rows_cyclic"](spark, d).collect()
-    assert Counter((r.path, r.p, r.total, r.targets) for r in got) == Counter((path, *x) for _, path, _, *x in stats)
+    assert {(r.s, r.t, r.path): r.c for r in queries.QUERIES["path_counts"](spark, d).collect()} == counts
+    assert {(r.s, r.path, r.t, r.p, r.total, r.targets) for r in queries.QUERIES["normalize_paths"](spark, d).collect()} == stats
+    name = {r.n_nationkey: r.n_name for r in spark.read.parquet(f"{d}/nation.parquet").collect()}
+    got = queries.QUERIES["matrix_rows"](spark, d).collect()
+    assert Counter((r.source, r.target, r.path, r.p) for r in got) == Counter((name[s], name[t], path, p) for s, path, t, p, *_ in stats)
 
 
-def test_matrix_names_every_nation(spark):
-    d = "/root/testdata/sf0.001"
-    name = {r.n_nationkey: r.n_name for r in spark.read.parquet(f"{d}/nation.parquet").collect()}
-    want = Counter((name[s], name[t], path) for s, path, t, *_ in _slow_stats(spark, d)[1])
-    assert Counter((r.source, r.target, r.path) for r in queries.QUERIES["matrix_rows_cyclic"](spark, d).collect()) == want
+def test_walk_analyzer_from_files(spark, tmp_path):
+    import struct
+
+    made = [[1, 2, 3], [1, 2, 4], [1, 2, 3], [9, 2, 9, 2]]
+    (tmp_path / "walks").write_bytes(b"".join(struct.pack(">IHI", w, h, n) for w, nodes in enumerate(made) for h, n in enumerate(nodes)))
+    (tmp_path / "rel").write_text("1\t2\tlikes\n2\t3\tknows\n")
+    (tmp_path / "nodes").write_text("1\tone\n2\ttwo\n3\tthree\n")
+    out = str(tmp_path / "out")
+    assert main(walks.WalkAnalyzer, ["--relations", str(tmp_path / "rel"), "--nodes", str(tmp_path / "nodes"), "--min-path-count", "1", "--min-total-count", "2", str(tmp_path / "walks"), out], spark) == 0
+    got = sorted(r.value for r in spark.read.text(out).collect())
+    assert "one two likes 1.00000 3 1" in got and "one three likes-knows 1.00000 2 1" in got and "UNKNOWN_NODE two UNKNOWN_EDGE 1.00000 3 1" in got
 
 
 def test_long_walks_are_dropped(spark):
@@ -327,6 +421,46 @@ def test_matrix(spark):
     assert sorted(tuple(r) for r in walks.matrix_text(rows).collect()) == [("one UNKNOWN_NODE", "a 0.25000 4 2"), ("one two", "a 0.75000 4 2")]
 
 
+def test_lookup_has_one_value_of_a_key(spark):
+    df = spark.createDataFrame([(1,), (1,)], "k int")
+    small = spark.createDataFrame([(1, "x"), (1, "y")], "k int, v string")
+    assert [tuple(r) for r in lookup(df, small, ["k"], "v", "none").collect()] == [(1, "y"), (1, "y")]
+
+
+def test_grid_of_files(spark, tmp_path):
+    for i in range(4):
+        (tmp_path / f"f{i}").write_text(f"{i}\n")
+    got = lines.read_grid(spark, lines.grid([str(tmp_path / f"f{i}") for i in range(4)], splits=2))
+    assert sorted((r.source, r.split, r.value) for r in got.collect()) == [(0, 0, "0\n"), (0, 1, "1\n"), (1, 0, "2\n"), (1, 1, "3\n")]
+
+
+def test_urls(spark):
+    import http.server
+    import threading
+
+    class Answer(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(self.path.encode())
+
+        def log_message(self, *a):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Answer)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    urls = [f"http://127.0.0.1:{server.server_port}/{i}" for i in range(3)]
+    assert sorted(bytes(r.content) for r in lines.read_urls(spark, urls).collect()) == [b"/0", b"/1", b"/2"]
+    server.shutdown()
+    with pytest.raises(ValueError):
+        lines.read_urls(spark, ["file:///etc/passwd"])
+
+
+def test_halton_refuses_large_indexes(spark):
+    with pytest.raises(Exception):
+        spark.range(3**25, 3**25 + 1).select(counting.halton_inside(F.col("id"))).collect()
+
+
 def test_lookup_default(spark):
     df = spark.createDataFrame([(1,), (9,)], "k int")
     small = spark.createDataFrame([(1, "x")], "k int, v string")
@@ -343,8 +477,9 @@ def test_objects_and_farm(spark):
 
 
 def test_log_times(spark):
-    log = ["2014-01-01 00:00:00,000: INFO: Assigning task to worker: map_1, 0", "2014-01-01 00:00:02,500: INFO: Worker 3 report ready: map_1, 0", "junk", "2014-01-01 00:00:01,000: INFO: Assigning task to worker: map_1, 1", "2014-01-01 00:00:02,000: INFO: Worker 4 report ready: map_1, 1"]
+    log = ["2014-01-01 00:00:00,000: INFO: Assigning task to worker: map_1, 0", "2014-01-01 00:00:02,500: INFO: Slave 3 report ready: map_1, 0", "junk", "2014-01-01 00:00:01,000: INFO: Assigning task to worker: map_1, 1", "2014-01-01 00:00:02,000: INFO: Slave 4 report ready: map_1, 1"]
     messages = misc.log_messages(spark.createDataFrame([(x,) for x in log], "value string"))
+    log += ["2014-01-01 00:00:09,000: INFO: Worker 9 says: map_1, 1"]
     assert [(r.dataset, r.tasks, r.mean_seconds) for r in misc.task_times(messages).collect()] == [("map_1", 2, 1.75)]
     assert [(r.dataset, r.seconds, r.n) for r in misc.dataset_times(messages).collect()] == [("map_1", 2.5, 4)]
 
