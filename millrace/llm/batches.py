@@ -3,20 +3,19 @@
 from __future__ import annotations
 
 import ctypes
-import os
-import tempfile
-import zipfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 
+from millrace.storage import ship as _ship
+
 #: Texts of at most so many bytes are worked on at once; a single longer text is a piece of its own.
 PIECE_BYTES = 4 << 20
+BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-_SHIPPED: set[str] = set()
 _MODEL: dict = {}
 
 
@@ -37,19 +36,13 @@ def release() -> None:
 
 
 def ship(spark) -> None:
-    """Make this package importable in Python workers, once per application; Spark's driver serves the archive."""
-    app = spark.sparkContext.applicationId
-    if app in _SHIPPED:
-        return
-    top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    path = os.path.join(tempfile.mkdtemp(), "millrace.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for folder, _, names in os.walk(os.path.join(top, "millrace")):
-            for name in names:
-                if name.endswith(".py"):
-                    z.write(full := os.path.join(folder, name), os.path.relpath(full, top))
-    spark.sparkContext.addPyFile(path)
-    _SHIPPED.add(app)
+    """Make this package importable in Python workers, and Spark's Arrow batches no larger than pieces.
+
+    Spark bounds a batch by 64 MB and 10,000 rows; a session whose bound was set by its user keeps it.
+    """
+    _ship(spark)
+    if not spark._jsparkSession.sessionState().conf().contains(BATCH_CONF):
+        spark.conf.set(BATCH_CONF, str(PIECE_BYTES))
 
 
 def pieces(batch: pa.RecordBatch, text: str, limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -80,7 +73,7 @@ def map_pieces(df: DataFrame, text: str, fn: Callable[[pa.RecordBatch], dict], s
                 out = fn(piece)
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, f.type) for f in arrow for x in (out[f.name],)], schema=arrow)
                 del out
-            release()
+        release()
 
     return df.mapInArrow(run, schema)
 
@@ -93,6 +86,6 @@ def filter_pieces(df: DataFrame, text: str, keep: Callable[[list], list]) -> Dat
         for batch in batches:
             for piece in pieces(batch, text):
                 yield piece.filter(pa.array(keep(piece.column(text).to_pylist()), pa.bool_()))
-            release()
+        release()
 
     return df.mapInArrow(run, df.schema)

@@ -1,10 +1,13 @@
-"""Language-model scoring: an interpolated modified Kneser-Ney bigram model.
+"""Language-model scoring: an interpolated modified Kneser-Ney model of order 2 or 3.
 
 Counted in Spark: workers hash words to 64 bits with array operations, count a few million at a time, and pass on
 sorted, packed runs by hash range; the ranges are merged in parallel. The model is sorted hash arrays in files of
 the shared folder, which workers map into memory: words (hash, count, and how many different words follow once,
 twice, oftener, and come before) and pairs (hash, count). A pair's hash is a bijection of the two words' places in
 the word array, so ranges are even whatever the words' frequencies, and a pair's words can be had back.
+
+With order 3 the same is done once more: a triple's hash is a bijection of the places of a pair and a word. Pairs then
+count by how many different words stand before them (those at the beginning of a text by how often they occur).
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.batches import built, map_pieces, pieces, release, ship
-from millrace.llm.scratch import fresh_path, list_files, stage
+from millrace.llm.scratch import fresh_path, list_files, scope, stage
 
 #: Tokens that a worker counts before it passes them on; bytes of text that are hashed at once.
 FLUSH_TOKENS, PIECE = 3_000_000, 1 << 20
@@ -97,7 +100,7 @@ def hash_words(texts: list) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _planes(x: np.ndarray) -> bytes:
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
 
 
 def pack(keys: np.ndarray, *values: np.ndarray) -> bytes:
@@ -164,9 +167,10 @@ def _counted(docs: DataFrame, buckets: int, keys_of) -> DataFrame:
                     if n == FLUSH_TOKENS:
                         yield counted(held)
                         n = 0
-            release()
         if n:
             yield counted(held[:n])
+        del held
+        release()
 
     return docs.select("t").mapInArrow(run, "bucket int, blob binary")
 
@@ -212,6 +216,26 @@ class Files:
                 self.of[bucket] = [np.frombuffer(data, "<u8", n, at + 16 + 8 * n * i) for i in range(columns)]
                 at += 16 + 8 * n * columns + len(FILE_END)
 
+    def places(self, keys: np.ndarray, starts: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """For hashes in any order: their places over all buckets, -1 if not there, and their counts."""
+        order = np.argsort(keys)
+        place, count = np.full(len(keys), -1, dtype=np.int64), np.zeros(len(keys), dtype=np.int64)
+        for b, s, at, hit in self.find(keys[order], len(starts)):
+            place[order[s]] = np.where(hit, at + starts[b], -1)
+            count[order[s]] = np.where(hit, self.of[b][1][at].astype(np.int64), 0)
+        return place, count
+
+    def at(self, places: np.ndarray, starts: list[int], columns: int) -> np.ndarray:
+        """(places, columns): what stands at places over all buckets; zeros where a place is negative."""
+        out, order = np.zeros((len(places), columns), dtype=np.int64), np.argsort(places, kind="stable")
+        edges = np.searchsorted(places[order], np.array([*starts, 1 << 62], dtype=np.int64))
+        for b, (lo, hi) in enumerate(zip(edges.tolist(), edges[1:].tolist())):
+            if hi > lo and b in self.of:
+                own = order[lo:hi]
+                for k in range(columns):
+                    out[own, k] = self.of[b][k][places[own] - starts[b]].astype(np.int64)
+        return out
+
     def find(self, keys: np.ndarray, buckets: int):
         """For sorted hashes: (bucket, slice of them, places in the bucket, which are there)."""
         for b, s in by_range(keys, buckets):
@@ -245,6 +269,40 @@ def _pairs(ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return mix((before << np.uint64(32)) | (ids.astype(np.uint64) & np.uint64(0xFFFFFFFF)))
 
 
+def _triples(ids: np.ndarray, pairs: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Hash of each token's triple of (pair of the two words before, word); a text's first one follows BOS alone."""
+    before = np.empty(len(ids), dtype=np.uint64)
+    before[1:] = pairs[:-1].astype(np.uint64)
+    before[np.cumsum(counts) - counts] = BOS
+    return mix((before << np.uint64(32)) | (ids.astype(np.uint64) & np.uint64(0xFFFFFFFF)))
+
+
+def _halves(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two places that a pair's or triple's hash is made of."""
+    both = unmix(keys)
+    return (both >> np.uint64(32)).astype(np.uint32), both.astype(np.uint32)
+
+
+def _kinds(groups: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Distinct groups in order, and of each how many sizes are 1, 2, and 3 or more, and their sum."""
+    order = np.argsort(groups, kind="stable")
+    groups, size = groups[order], size[order]
+    at = np.flatnonzero(np.diff(groups, prepend=~groups[:1]))
+    if not len(at):
+        return groups, [size] * 4
+    capped = np.minimum(size, 3)
+    return groups[at], [*(np.add.reduceat(capped == k, at, dtype=np.int64) for k in (1, 2, 3)), np.add.reduceat(size, at)]
+
+
+def _ranged(places: np.ndarray, columns: list[np.ndarray], starts: list[int]):
+    """(range, packed places and columns) of sorted places by the ranges that they are in; BOS is range -1."""
+    n = len(places) - int(len(places) and places[-1] == BOS)
+    cuts = [0, *np.searchsorted(places[:n], np.array(starts[1:], dtype=np.uint32)).tolist(), n]
+    for b, lo, hi in [*zip(range(len(starts)), cuts, cuts[1:]), (-1, n, len(places))]:
+        if hi > lo:
+            yield b, pack(places[lo:hi].astype(np.uint64), *[c[lo:hi] for c in columns])
+
+
 def discounts(n: list[int]) -> list[float]:
     """Modified Kneser-Ney discounts for counts 1, 2 and more, from the numbers of keys with count 1 to 4."""
     n1, n2, n3, n4 = n
@@ -280,11 +338,19 @@ def ranges_for(docs: DataFrame) -> int:
     return min(MOST_RANGES, max(8, size // RANGE_BYTES + 1))
 
 
-def train(texts: DataFrame, text_col: str = "text") -> dict:
+def train(texts: DataFrame, text_col: str = "text", order: int = 2) -> dict:
     """Count a model over all of ``texts``; the result names its files and small numbers, and can be broadcast.
 
     A few rows per hash range reach the driver. Null counts as empty.
     """
+    with scope(texts.sparkSession):  # of tables that the files are written from
+        if order not in (2, 3):
+            raise ValueError("the order is 2 or 3")
+        model = _train(texts, text_col)
+        return _train_triples(texts, text_col, model) if order == 3 else model
+
+
+def _train(texts: DataFrame, text_col: str) -> dict:
     spark = texts.sparkSession
     ship(spark)
     docs = texts.select(F.col(text_col).alias("t"))
@@ -348,7 +414,9 @@ def train(texts: DataFrame, text_col: str = "text") -> dict:
     # the pairs' records and, as packed partial sums by range of words, what they say of their words
     pairs = stage(_counted(docs, buckets, pairs_of).repartitionById(buckets, F.col("bucket")).mapInArrow(merge_pairs, "bucket int, kind int, numbers array<bigint>, blob binary"), "ngram-pairs")
     _write(pairs.where("kind = 1").select(F.col("blob").alias("value")), f"{top}/pairs")
-    seen = [r["numbers"] for r in pairs.where("kind = 1").select("numbers").collect()]
+    numbers = {r["bucket"]: r["numbers"] for r in pairs.where("kind = 1").select("bucket", "numbers").collect()}
+    seen = list(numbers.values())
+    pair_starts = [sum(numbers[k][4] for k in numbers if k < b) for b in range(buckets)]
     coc = [sum(x[k] for x in seen) for k in range(4)]
     n_pairs = sum(x[4] for x in seen)
     bos = np.zeros(4, dtype=np.int64)
@@ -370,14 +438,105 @@ def train(texts: DataFrame, text_col: str = "text") -> dict:
     cont = [sum(r["numbers"][k] for r in stats.select("numbers").collect()) for k in range(4)]
     n_docs = docs.count()
     return {
-        "words": names, "pairs": _local(spark, f"{top}/pairs"), "stats": _local(spark, f"{top}/stats"), "starts": starts, "buckets": buckets,
+        "words": names, "pairs": _local(spark, f"{top}/pairs"), "stats": _local(spark, f"{top}/stats"), "starts": starts, "buckets": buckets, "pair_starts": pair_starts, "order": 2, "top": top,
         "n_words": n_words, "n_tokens": n_tokens, "n_pairs": n_pairs, "n_docs": n_docs, "bos": bos.tolist(), "d2": discounts(coc), "d1": discounts(cont), "cont": cont,
     }
 
 
+def _train_triples(texts: DataFrame, text_col: str, model: dict) -> dict:
+    """``model`` with triples: their counts, what they say of pairs, and what those say of words."""
+    spark, docs = texts.sparkSession, texts.select(F.col(text_col).alias("t"))
+    buckets, top = model["buckets"], model["top"]
+    if model["n_pairs"] >= int(BOS):
+        raise ValueError("a triple's key has 32 bits for a pair's place: 4,294,967,294 different pairs at most")
+    sent, tag = spark.sparkContext.broadcast(model), uuid.uuid4().hex  # file names and a few numbers per hash range
+    both = lambda: (Words(_open(sent.value["words"]), sent.value["starts"]), Files(_open(sent.value["pairs"]), 2))
+    schema, kinds = "bucket int, kind int, numbers array<bigint>, blob binary", [pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.binary()]
+    row = lambda *x: pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(x, kinds)], names=["bucket", "kind", "numbers", "blob"])
+
+    def triples_of(hashes, counts):
+        words, pairs = built(tag, both)
+        ids = words.ids(hashes)
+        return _triples(ids, pairs.places(_pairs(ids, counts), sent.value["pair_starts"])[0], counts)
+
+    def merge_triples(batches):
+        pairs, starts = built(tag, both)[1], sent.value["pair_starts"]
+        for b, blobs in _by_bucket(batches):
+            keys, c = _merge(blobs)
+            c = c[:, 0]
+            before, word = _halves(keys)
+            ids, columns = _kinds(before, c)
+            none = np.zeros(len(ids), np.int64)
+            for w, blob in _ranged(ids, [*columns[:3], none], starts):  # what follows a pair
+                yield row(w, 0, [], blob)
+            held = np.flatnonzero(before != BOS)  # pairs at the beginning of a text have nothing before them
+            first = pairs.at(before[held].astype(np.int64), starts, 1)[:, 0].view(np.uint64)
+            own = (_halves(first)[1].astype(np.uint64) << np.uint64(32)) | word[held].astype(np.uint64)
+            ids, n = count(pairs.places(mix(own), starts)[0].astype(np.uint32))
+            none = np.zeros(len(ids), np.int64)
+            for w, blob in _ranged(ids, [none, none, none, n], starts):  # what stands before a pair
+                yield row(w, 0, [], blob)
+            yield row(b, 1, [int((c == k).sum()) for k in (1, 2, 3, 4)], _record(b, keys, c))
+
+    made = _counted(docs, buckets, triples_of).repartitionById(buckets, F.col("bucket")).mapInArrow(merge_triples, schema)
+    made = stage(made, "ngram-triples")
+    _write(made.where("kind = 1").select(F.col("blob").alias("value")), f"{top}/triples")
+    coc = [sum(r["numbers"][k] for r in made.where("kind = 1").select("numbers").collect()) for k in range(4)]
+
+    def merge_pair_stats(batches):
+        pairs, starts = built(tag, both)[1], sent.value["pair_starts"]
+        for b, blobs in _by_bucket(batches):
+            keys, c = pairs.of[b]
+            before = _halves(keys)[0]
+            dense = _dense(blobs, starts[b], len(keys))
+            dense[:, 3] = np.where(before == BOS, c.astype(np.int64), dense[:, 3])
+            ids, columns = _kinds(before, dense[:, 3])
+            for w, blob in _ranged(ids, columns, sent.value["starts"]):
+                yield row(w, 0, [], blob)
+            yield row(b, 1, [int((dense[:, 3] == k).sum()) for k in (1, 2, 3, 4)], _record(b, *dense.T))
+
+    parts = made.where("kind = 0 and bucket >= 0").select("bucket", "blob")
+    # every range of pairs has a row, also one that no triple says anything of
+    every = spark.range(buckets).select(F.col("id").cast("int").alias("bucket"), F.lit(_packed_none()).alias("blob"))
+    every = every.where(F.col("bucket").isin([int(b) for b in range(buckets) if ([*model["pair_starts"], model["n_pairs"]][b + 1] > model["pair_starts"][b])]))
+    stats = stage(parts.unionByName(every).repartitionById(buckets, F.col("bucket")).mapInArrow(merge_pair_stats, schema), "ngram-pair-stats")
+    _write(stats.where("kind = 1").select(F.col("blob").alias("value")), f"{top}/pair-stats")
+    adjusted = [sum(r["numbers"][k] for r in stats.where("kind = 1").select("numbers").collect()) for k in range(4)]
+    bos = np.zeros(4, dtype=np.int64)
+    for r in stats.where("kind = 0 and bucket = -1").select("blob").collect():  # one row per range
+        bos += np.array([int(v[0]) for v in unpack(r["blob"])[1:]])
+
+    def merge_contexts(batches):
+        starts = [*sent.value["starts"], sent.value["n_words"]]
+        for b, blobs in _by_bucket(batches):
+            yield row(b, 1, [], _record(b, *_dense(blobs, starts[b], starts[b + 1] - starts[b]).T))
+
+    contexts = stats.where("kind = 0 and bucket >= 0").select("bucket", "blob").repartitionById(buckets, F.col("bucket")).mapInArrow(merge_contexts, schema)
+    _write(contexts.select(F.col("blob").alias("value")), f"{top}/contexts")
+    return model | {
+        "order": 3, "triples": _local(spark, f"{top}/triples"), "pair_stats": _local(spark, f"{top}/pair-stats"), "contexts": _local(spark, f"{top}/contexts"),
+        "d3": discounts(coc), "d2": discounts(adjusted), "d2_raw": model["d2"], "bos": bos.tolist(), "bos_raw": model["bos"],
+    }
+
+
+def _packed_none() -> bytes:
+    return pack(np.zeros(0, np.uint64), *[np.zeros(0, np.uint32)] * 4)
+
+
+def _dense(blobs: list[bytes], start: int, n: int) -> np.ndarray:
+    """(places, 4): sums of packed columns by place, for a range of places."""
+    out = np.zeros((n, 4), dtype=np.int64)
+    for ids, *columns in map(unpack, blobs):  # each place once in a blob
+        for k, v in enumerate(columns):
+            out[ids.astype(np.int64) - start, k] += v
+    return out
+
+
 class Scorer:
     def __init__(self, model: dict):
         self.m = model
+        if model["order"] == 3:
+            self.triples, self.pair_stats, self.contexts = Files(_open(model["triples"]), 2), Files(_open(model["pair_stats"]), 4), Files(_open(model["contexts"]), 4)
         self.words = Words(_open(model["words"]), model["starts"])
         self.pairs, self.stats = Files(_open(model["pairs"]), 2), Files(_open(model["stats"]), 4)
         d1, (n1, n2, n3, _) = model["d1"], model["cont"]
@@ -393,47 +552,61 @@ class Scorer:
         hashes, counts = hash_words(texts)
         keys, back = np.unique(hashes, return_inverse=True)
         ids, c = self.words.ids(keys, True)
-        stat = np.zeros((len(keys), 4), dtype=np.int64)
-        known = np.flatnonzero(ids >= 0)
-        order = known[np.argsort(ids[known], kind="stable")]
-        edges = np.searchsorted(ids[order], np.array(m["starts"][1:] + [m["n_words"]], dtype=np.int64))
-        lo = 0
-        for b, hi in enumerate(edges.tolist()):
-            if hi > lo and b in self.stats.of:
-                at = ids[order[lo:hi]] - m["starts"][b]
-                for k in range(4):
-                    stat[order[lo:hi], k] = self.stats.of[b][k][at].astype(np.int64)
-            lo = hi
+        stat = self.stats.at(ids, m["starts"], 4)
         d1, d2 = np.array([0.0, *m["d1"]]), np.array([0.0, *m["d2"]])
         cont = stat[:, 3]
         p1 = np.maximum(cont - d1[np.minimum(cont, 3)], 0) / self.total + self.even
-        free = (stat[:, :3] @ d2[1:]) / np.maximum(c, 1)
         # the word before: its count as a context, and the share that it leaves to p1
         before = np.empty(len(back), dtype=np.int64)
         before[1:] = back[:-1]
         first = np.cumsum(counts) - counts
         before[first] = -1
-        ctx = np.where(before >= 0, c[before], m["n_docs"]).astype(np.float64)
-        bos_free = float(np.array(m["bos"][:3]) @ d2[1:]) / max(1, m["n_docs"])
-        left = np.where(before >= 0, free[before], bos_free)
-        pair = np.zeros(len(back), dtype=np.int64)
         tok = ids[back]
         able = np.flatnonzero((tok >= 0) & ((before < 0) | (ids[before] >= 0)))
+        place, pair = np.full(len(back), -1, dtype=np.int64), np.zeros(len(back), dtype=np.int64)
         if len(able):
             left_id = np.where(before[able] >= 0, ids[before[able]], int(BOS)).astype(np.uint64)
-            q = mix((left_id << np.uint64(32)) | tok[able].astype(np.uint64))
-            order = np.argsort(q)
-            got = np.zeros(len(q), dtype=np.int64)
-            for b, s, at, hit in self.pairs.find(q[order], m["buckets"]):
-                got[s] = np.where(hit, self.pairs.of[b][1][at].astype(np.int64), 0)
-            pair[able[order]] = got
+            place[able], pair[able] = self.pairs.places(mix((left_id << np.uint64(32)) | tok[able].astype(np.uint64)), m["pair_starts"])
+        if m["order"] == 2:
+            kinds, seen = stat[:, :3], c
+            bos, n_bos = m["bos"], m["n_docs"]
+        else:  # pairs count by the words before them
+            contexts = self.contexts.at(ids, m["starts"], 4)
+            kinds, seen = contexts[:, :3], contexts[:, 3]
+            bos, n_bos = m["bos"], m["bos"][3]
+            own = self.pair_stats.at(place, m["pair_starts"], 4)
+            raw, pair = pair, own[:, 3]
+        ctx = np.where(before >= 0, seen[before], n_bos).astype(np.float64)
+        free = (kinds @ d2[1:]) / np.maximum(seen, 1)
+        left = np.where(before >= 0, free[before], float(np.array(bos[:3]) @ d2[1:]) / max(1, n_bos))
         p = np.where(ctx > 0, np.maximum(pair - d2[np.minimum(pair, 3)], 0) / np.maximum(ctx, 1) + np.where(ctx > 0, left, 1.0) * p1[back], p1[back])
+        if m["order"] == 3:
+            p = self._three(p, tok, place, raw, own, first)
         logs = np.log10(p)
         base = np.log10((c + 1) / (m["n_tokens"] + 1 * (m["n_words"] + 1)))
         at = first
         return [counts, np.add.reduceat((c > 0)[back].astype(np.int64), at), np.add.reduceat(base[back], at), np.add.reduceat(logs, at)] if len(counts) else [counts, counts, counts.astype(float), counts.astype(float)]
 
 
+    def _three(self, p2, tok, place, pair, stats, first) -> np.ndarray:
+        """Probabilities by the two words before, from those by one; a text's first word follows BOS alone."""
+        m, d3 = self.m, np.array([0.0, *self.m["d3"]])
+        before = np.empty(len(tok), dtype=np.int64)
+        before[1:] = place[:-1]
+        before[first] = int(BOS)
+        c = np.zeros(len(tok), dtype=np.int64)
+        able = np.flatnonzero((tok >= 0) & (before >= 0))
+        if len(able):
+            keys = mix((before[able].astype(np.uint64) << np.uint64(32)) | tok[able].astype(np.uint64))
+            c[able] = self.triples.places(keys, [0] * m["buckets"])[1]
+        shifted = lambda x: np.concatenate([x[:1] * 0, x[:-1]])
+        ctx, kinds = shifted(pair), shifted(stats[:, :3])
+        ctx[first], kinds[first] = m["n_docs"], m["bos_raw"][:3]
+        known = ctx > 0
+        seen = np.maximum(ctx, 1)
+        return np.where(known, np.maximum(c - d3[np.minimum(c, 3)], 0) / seen + (kinds @ d3[1:]) / seen * p2, p2)
+
+
 def score_texts(df: DataFrame, model: dict, id_col: str, text_col: str) -> DataFrame:
     """id, n_tokens, n_known, train_tokens, base_score, score of every row."""
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
@@ -447,16 +620,16 @@ def score_texts(df: DataFrame, model: dict, id_col: str, text_col: str) -> DataF
     return map_pieces(rows, "t", fn, f"id {kind}, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double", PIECE)
 
 
-def lm_score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def lm_score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 2) -> DataFrame:
     """One row per input row: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Trained on the rows whose crc32(id as text) mod 7 is not 2 (null ids among them). ``base_score`` is that of
     add-one unigrams, ``score`` log10 of the model's probability of the text with its end; perplexity is
     10 ** (-score / n_tokens). Null and empty texts: the end token alone. Repeated rows count and are scored
-    each. No training rows: every probability is 1. Empty table: no rows. Other columns are not read.
+    each. ``order``: 2 or 3 words of context and word. No training rows: every probability is 1. Empty table: no rows. Other columns are not read.
     """
     held = F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(7)) == 2, F.lit(False))
-    model = train(df.where(~held), text_col)
+    model = train(df.where(~held), text_col, order)
     out = score_texts(df, model, id_col, text_col)
     held = F.coalesce(F.pmod(F.crc32(F.col("id").cast("string").cast("binary")), F.lit(7)) == 2, F.lit(False))
     return out.select(F.col("id").alias(id_col), held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

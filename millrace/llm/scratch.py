@@ -1,50 +1,13 @@
-"""Shared scratch space: tables written to cut lineage, and files that executors must all see."""
+"""What the operators share: staged tables (see ``millrace.storage``), sizes of partitions, lower case."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-_LOCAL: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; where that is unset, a fresh local one, if all of Spark is here.
-
-    On a cluster no local folder is shared, so an unset folder is an error there.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    app = spark.sparkContext.applicationId
-    if not found:
-        if not (spark.sparkContext.master + "[").startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        found = _LOCAL.setdefault(app, "file://" + tempfile.mkdtemp(prefix="millrace-"))
-    return f"{found.rstrip('/')}/millrace-{app}"
-
-
-def fresh_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-
+from millrace.storage import free_name, fresh_path, list_files, remove, scope, shared_dir, stage
 
-def stage(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and return the table read back.
-
-    Lineage ends at the files, so a lost executor costs a reread and no recomputation.
-    """
-    spark = df.sparkSession
-    path = fresh_path(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a path of the shared folder through Hadoop's file system API."""
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hpath, True)
+__all__ = ["ascii_lower", "free_name", "fresh_path", "list_files", "partitions_for", "remove", "scope", "shared_dir", "stage"]
 
 
 def partitions_for(spark: SparkSession, n_bytes: float, per_partition: int) -> int:
@@ -55,19 +18,3 @@ def partitions_for(spark: SparkSession, n_bytes: float, per_partition: int) -> i
 def ascii_lower(col):
     """Lower-case A-Z and nothing else (Spark's ``lower`` folds all of Unicode)."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
-def list_files(spark: SparkSession, path: str) -> list[str]:
-    """Full names of the part files of a written folder, sorted; works on any Hadoop file system."""
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return sorted(s.getPath().toString() for s in fs.listStatus(hpath) if s.getPath().getName().startswith("part-"))
-
-
-def free_name(df: DataFrame, stem: str) -> str:
-    """A column name that ``df`` doesn't have, in any case."""
-    taken, name = {c.lower() for c in df.columns}, f"_{stem}"
-    while name.lower() in taken:
-        name += "_"
-    return name

@@ -27,13 +27,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.batches import built, pieces, release, ship
-from millrace.llm.scratch import fresh_path, partitions_for, stage
+from millrace.llm.scratch import fresh_path, partitions_for, scope, stage
 
 SCALE, LOW = 20, np.uint64(1 << 31)
 LANES, STEPS_KEPT, BLOCK_TOKENS = 1024, 256, 1 << 20
 FILE_BYTES, ENCODE_BYTES = 24 << 20, 4 << 20
 #: Bounds of an encoder's store of words, and of each of its three small ones for parts of odd pieces.
-STORE_WORDS, STORE_BYTES, CACHE_WORDS = 800_000, 32 << 20, 20_000
+STORE_WORDS, STORE_BYTES, CACHE_WORDS = 500_000, 32 << 20, 20_000
 MAGIC, BLOCK_END = b"MRB1", "/MRB\n"
 _HEAD = struct.Struct("<4sIIIIIQQ")
 
@@ -359,7 +359,7 @@ def tokenise(df: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id",
                 packed = list(map(pack, np.split(ids, np.cumsum(n)[:-1])))
                 yield pa.RecordBatch.from_arrays([piece.column("id"), pa.array(n), pa.array(packed, pa.binary()), pa.array([wide] * len(n)), pa.nulls(len(n), pa.binary())], schema=kinds)
                 del ids, n, packed
-            release()
+        release()
         if len(total):
             yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.bool_()), pa.array([pack(total)], pa.binary())], schema=kinds)
 
@@ -398,6 +398,11 @@ def _unpack(batch) -> list[np.ndarray]:
 
 def write(df: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write the ids of ``df`` under ``path``: ``table/`` and ``data/``, files in ascending order of id, null ids last."""
+    with scope(df.sparkSession):  # of the staged ids
+        _write(df, path, tokenizer, end_id, id_col, text_col)
+
+
+def _write(df: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str, text_col: str) -> None:
     spark = df.sparkSession
     tokens, counts = tokenise(df, tokenizer, end_id, id_col, text_col)
     freq = quantise(counts)
@@ -467,7 +472,7 @@ def read(spark, path: str, with_ids: bool = False) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(cols, names=names)
                     before += int(ends[-1]) if len(ends) else 0
                     del got, docs, cols
-            release()
+        release()
 
     schema = "part int, id bigint, before bigint, n_tokens bigint, ids_crc32 bigint" + ", ids array<bigint>" * with_ids
     files = spark.read.format("binaryFile").load(f"{path}/data").select("path", "content")
