@@ -6,6 +6,7 @@ import json
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -98,23 +99,47 @@ def test_native_plans_hold_no_python(spark):
 # ---- language
 
 
-def test_cross_parsing_counts_longest_phrases():
-    model = langid.Model({"a": ["the quick brown fox jumps"], "b": ["der schnelle braune fuchs springt"]})
-    for j, text in enumerate(["the quick brown fox jumps", "der schnelle braune fuchs springt"]):
-        for probe in ("quick fox", "braune fuchs der", "zzz", "q", "the der"):
-            left, n = probe, 0
-            while left:
-                k = max([m for m in range(1, len(left) + 1) if left[:m] in text], default=1)
-                left, n = left[k:], n + 1
-            want = n * model.bits[j] / len(probe)
-            assert model.rates([probe])[0, j] == pytest.approx(want)
-
-
-def test_long_texts_are_parsed_in_blocks():
+def _slow_phrases(text, probe):
+    i = n = 0
+    while i < len(probe):
+        k = 1
+        while i + k < len(probe) and probe[i : i + k + 1] in text:
+            k += 1
+        i, n = i + k, n + 1
+    return n
+
+
+@pytest.mark.parametrize("room", [langid.DENSE_BYTES, 0])
+def test_whole_texts_are_parsed_into_longest_phrases(room, monkeypatch):
+    monkeypatch.setattr(langid, "DENSE_BYTES", room)  # with no room all tables are sparse
+    rng = random.Random(31)
+    made = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    for known in ("the quick brown fox jumps", made("abcd ", 3000), "abc" * 1000 + "xyz"):  # the last has phrases over many blocks
+        model = langid.Model({"a": [known], "b": ["der schnelle braune fuchs springt"]})
+        probes = ["quick fox", "q", "zzz", "abc" * 900 + "x" + "cab" * 600, made("abcdz", 2500), known[200:2700] + known[:1500], "é" * 700, made("abc", 3 * langid.BLOCK)]
+        for probe, rates in zip(probes, model.rates(probes)):
+            for j, text in enumerate((known, "der schnelle braune fuchs springt")):
+                cut = lambda t: "".join(map(chr, langid.plain(t)))
+                want = _slow_phrases(cut(text), cut(probe)) * model.parsers[j].bits / max(1, len(cut(probe)))
+                assert rates[j] == pytest.approx(want), (known[:10], probe[:10])
+
+
+def test_scripts_with_many_letters_are_told_apart():
+    rng, texts = random.Random(7), {}
+    for k, low, high in (("ko", 0xAC00, 0xAE00), ("zh", 0x4E00, 0x5000), ("ja", 0x5200, 0x5400), ("en", 0x61, 0x7A)):
+        words = ["".join(chr(rng.randrange(low, high)) for _ in range(rng.randrange(1, 5))) for _ in range(300)]
+        texts[k] = [" ".join(rng.choice(words) for _ in range(n)) for n in (1500, 60)]
+    model = langid.Model({k: v[:1] for k, v in texts.items()})
+    assert max(p.width for p in model.parsers) > 300
+    assert [p[0] for p in model.predict([texts[k][1] for k in texts])] == list(texts)
+
+
+def test_language_of_texts_without_letters_and_ties():
     model = langid.Model({"a": ["abcabcabc " * 20], "b": ["xyzxyz " * 20]})
-    assert model.predict(["abc" * 5000, "xyz" * 5000, None, "12 34", "abc" * 100 + " xyz"]) [:4][0][0] == "a"
-    assert [p[0] for p in model.predict([None, "", "12 34 !", "xyz"])] == ["und", "und", "und", "b"]
+    assert [p[0] for p in model.predict([None, "", "12 34 !", "½ ² Ⅷ ①", "xyz", "abc" * 5000])] == ["und", "und", "und", "und", "b", "a"]
     assert langid.Model({}).predict(["abc"]) == [("und", 0.0)]
+    tie = langid.Model({"b": ["abc"], "a": ["abc"]}).predict(["abc", "q"])
+    assert [p[0] for p in tie] == ["a", "a"] and tie[0][1] == 0.5
 
 
 def test_language_accuracy_on_held_out_rows(spark):
@@ -139,6 +164,40 @@ def test_exception_phrases_cancel_hits():
     assert toxicity.Scorer(toxicity.Model()).score(" a ") == 0.0
 
 
+def test_scores_against_a_naive_matcher():
+    rng = random.Random(41)
+    vocab = ["bad", "worse", "ugly", "nice", "dog", "can", "the"]
+    model = toxicity.Model({"bad": 1.0, "worse": 0.6, "ugly": 0.3}, ("bad dog", "the ugly", "can worse", "worse bad"), 0.02)
+    s = toxicity.Scorer(model)
+    for _ in range(500):
+        ws = [rng.choice(vocab) for _ in range(rng.randrange(0, 30))]
+        free = {i + k for i in range(len(ws)) for p in model.exceptions for k in range(len(p.split())) if ws[i : i + len(p.split())] == p.split()}
+        total = sum(model.weights[w] for i, w in enumerate(ws) if w in model.weights and i not in free)
+        d = max(0.0, total - toxicity.FREE_WEIGHT) / (len(ws) + toxicity.MORE_WORDS)
+        want = 1 / (1 + (model.threshold / d) ** model.steepness) if d else 0.0
+        assert s.score(toxicity.fold(" ".join(ws))) == pytest.approx(want), ws
+
+
+def test_a_score_at_the_threshold_is_toxic(spark):
+    text = "bad bad x x x x"  # weight 2 less what is free, over six words and those added
+    model = toxicity.Model({"bad": 1.0}, (), (2 - toxicity.FREE_WEIGHT) / (6 + toxicity.MORE_WORDS))
+    table, labels = docs(spark, [(1, text, None, None), (2, None, None, None), (3, "", None, None), (2, None, None, None)]), None
+    got = {r.doc_id: (r.score, r.predicted) for r in toxicity.toxicity(table, labels, model=model).collect()}
+    assert got == {1: (0.5, 1), 2: (0.0, 0), 3: (0.0, 0)}
+    kept = toxicity.drop_toxic(table, labels, model=model)
+    assert Counter(r.doc_id for r in kept.collect()) == {2: 2, 3: 1} and kept.columns == table.columns
+
+
+def test_many_hits_and_phrases_take_time_in_proportion():
+    s = toxicity.Scorer(toxicity.Model({"bad": 1.0}, ("bad dog",)))
+    took = []
+    for n in (20_000, 80_000):
+        began = time.process_time()
+        s.hits(" bad dog bad" * n + " ")
+        took.append(time.process_time() - began)
+    assert took[1] < 12 * took[0]
+
+
 def test_toxicity_accuracy_on_held_out_rows(spark):
     docs_, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     got = toxicity.toxicity(docs_, labels).where("held_out").join(labels, "doc_id").groupBy("toxic", "predicted").count().collect()
@@ -163,24 +222,40 @@ def _slow_hits(text, items, size=13):
     return len(ws), len(marks), sorted(found)
 
 
-@pytest.mark.parametrize("shard", [200_000, 5])
-def test_decontamination_against_brute_force(spark, shard):
+@pytest.mark.parametrize("most, hashes", [(200_000, 4_000_000), (60, 4_000_000), (5, 7)])
+def test_decontamination_against_brute_force(spark, most, hashes, monkeypatch):
+    monkeypatch.setattr(decontam, "MOST_WINDOWS", most)
+    monkeypatch.setattr(decontam, "LIST_HASHES", hashes)
     rng = random.Random(2)
     word = lambda: rng.choice(["a", "b", "É", "c3", "d"])
     items = [(i, ", ".join(word() for _ in range(rng.randrange(0, 20)))) for i in range(8)] + [(8, None), (2, "a b a b a b a")]
     rows = [(i, "; ".join(word() for _ in range(rng.randrange(0, 80))), None, None) for i in range(40)]
     rows += [(100 + i, f"Before... {(items[i][1] or '').upper()} after", None, None) for i in range(8)]
-    got = decontam.decontaminate(docs(spark, rows), spark.createDataFrame(items, "item_id bigint, text string"), shard_windows=shard)
+    got = decontam.decontaminate(docs(spark, rows), spark.createDataFrame(items, "item_id bigint, text string"))
     for r in got.collect():
         text = next(t for i, t, *_ in rows if i == r.doc_id)
         n, hit, found = _slow_hits(text, items)
         assert (r.n_words, r.n_hit, r["items"], r.contaminated) == (n, hit, found, hit > 0 and 20 * hit >= n)
         inside = sum(len(re.findall(r"[0-9A-Za-z\x80-\U0010ffff]+", text[s.start : s.end])) for s in r.spans)
         assert inside == hit
-    kept = decontam.drop_contaminated(docs(spark, rows), spark.createDataFrame(items, "item_id bigint, text string"), shard_windows=shard)
+    kept = decontam.drop_contaminated(docs(spark, rows), spark.createDataFrame(items, "item_id bigint, text string"))
     assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in got.where("not contaminated").collect()} and kept.columns == docs(spark, rows).columns
 
 
+def test_items_without_id_are_one_item(spark):
+    items = spark.createDataFrame([(None, "a b"), (None, "c d"), ("null", "a b")], "item_id string, text string")
+    got = decontam.decontaminate(docs(spark, [(1, "x a b c d", None, None)]), items).first()
+    assert (got.n_items, got["items"], got.n_hit) == (2, [None, "null"], 4)
+
+
+def test_a_benchmark_of_two_million_words(spark):
+    items = spark.range(2_000).select(F.col("id").alias("item_id"), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(999)), lambda i: F.concat(F.lit("w"), (F.col("id") * 1000 + i).cast("string"))), " ").alias("text"))
+    run = lambda a, n: " ".join(f"W{i}" for i in range(a, a + n))
+    rows = [(1, f"before {run(1_234_567, 20)}, after", None, None), (2, run(5_000, 12), None, None), (3, run(1_999_980, 20), None, None), (4, None, None, None)]
+    got = {r.doc_id: (r.n_hit, r["items"]) for r in decontam.decontaminate(docs(spark, rows), items).collect()}
+    assert got == {1: (20, ["1234"]), 2: (0, []), 3: (20, ["1999"]), 4: (0, [])}
+
+
 # ---- token files
 
 
@@ -294,6 +369,39 @@ def test_near_duplicates_against_brute_force(spark, groups, size, monkeypatch):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, _, c in got}) and kept.columns == docs(spark, rows).columns
 
 
+def test_recall_just_above_the_threshold(spark):
+    """300 pairs of similarity 0.80 to 0.85 and 100 just below: at least 0.98 of the first are linked, none of the last."""
+    rng, rows, linked = random.Random(51), [], 0
+    for k in range(400):
+        n, shared = 90, 79 if k >= 300 else rng.randrange(80, 84)  # shared of 180 - shared: 0.78, and 0.80 to 0.856
+        words = [f"w{rng.randrange(10**6)}" for _ in range(2 * n)]
+        first = words[: n + 3]
+        second = first[: shared + 3] + words[n + 3 : n + 3 + n - shared]
+        rows += [(2 * k, " ".join(first), None, None), (2 * k + 1, " ".join(second), None, None)]
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs(spark, rows, clash=False), words=4).collect()}
+    linked = sum(got[2 * k + 1] == 2 * k for k in range(300))
+    assert linked >= 0.98 * 300 and all(got[i] == i for i in range(600, 800))
+
+
+@pytest.mark.parametrize("broadcast", [1_000_000, 2])
+def test_broken_forests_and_joined_levels(spark, broadcast, monkeypatch):
+    """Groups about the threshold, so that forests of leaves have links that are none."""
+    again = []
+    monkeypatch.setattr(neardup, "leaf_links", lambda *a, f=neardup.leaf_links: again.append(f(*a)) or again[-1])
+    monkeypatch.setattr(neardup, "BROADCAST_VERTICES", broadcast)  # at 2, deeper levels are found by joins
+    monkeypatch.setattr(neardup, "LEAF", 12)
+    rng, rows = random.Random(21), []
+    for g in range(8):
+        base = [f"w{rng.randrange(5000)}" for _ in range(60)]
+        for _ in range(12):
+            one = list(base)
+            for _ in range(rng.randrange(1, 4)):
+                one[rng.randrange(60)] = f"v{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(one), None, None))
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs(spark, rows), words=4).collect())
+    assert got == sorted(_slow_components(rows, 4, 80)) and again[0] is not None
+
+
 def test_components_of_a_long_chain(spark):
     links = [(i, i + 1) for i in range(200)] + [(500, 501)]
     got = {r.v: r.root for r in neardup.components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
@@ -428,8 +536,30 @@ def test_added_spans():
 
 
 def test_long_runs_take_time_in_proportion():
-    for text in ("a" * 300_000, "1" * 300_000, "1." * 150_000, "a@" * 100_000, "+1 " * 100_000, "1 " * 150_000):
-        pii.find(text)
+    for unit in ("a", "1", "1.", "a@", "+1 ", "1 ", "http://", "secret=", "iban DE89 ", "account 1", "1 Aa Street", "0000000000.", "passwd:x"):
+        took = []
+        for n in (20_000, 80_000):
+            began = time.process_time()
+            pii.find(unit * n)
+            took.append(time.process_time() - began)
+        assert took[1] < 12 * took[0] + 0.05, unit
+
+
+def test_pii_rows_against_brute_force(spark):
+    rng = random.Random(13)
+    bits = ["a", "b.c", "@", ".", "-", "+", " ", "é", "1", "255", "4111 1111 1111 1111", "+1 (132) 555-1352", "10.0.0.1", "x@y.zz", "\n", "https://a.b/c", "IBAN: DE89370400440532013000"]
+    rows = [(i, "".join(rng.choice(bits) for _ in range(rng.randrange(0, 30))), None, None) for i in range(300)] + [(500, None, None, None), (501, "", None, None), (3, "x@y.zz", None, None)]
+    show = lambda spans: ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+    want = Counter()
+    for i, t, *_ in rows:
+        base = _slow_base(t or "")
+        want[i, *(sum(k == x for k, *_ in base) for x in pii.BASE), hashlib.sha256(show(base).encode()).hexdigest()] += 1
+    got = pii.find_pii(docs(spark, rows)).collect()
+    assert Counter(tuple(r)[:6] for r in got) == want
+    for r in got:
+        spans = [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in r.spans.split(",") if x)]
+        assert spans == sorted(spans, key=lambda x: (x[1], pii.KINDS.index(x[0]), x[2]))
+        assert hashlib.sha256(show([x for x in spans if x[0] in pii.BASE]).encode()).hexdigest() == r.base_sha256
 
 
 # ---- WARC
@@ -461,6 +591,22 @@ def test_monolithic_archives_are_normalised(spark, tmp_path):
         assert (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) == (len(h.encode()), hashlib.sha1(h.encode()).hexdigest(), "response" if to == r.page_id else "revisit", None if to == r.page_id else to)
 
 
+def test_string_ids_and_records_of_all_sizes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_RECORDS", ((600, 5), (5000, 2), (None, 1)))
+    rows = [(f"p\r\n {i}>é" if i % 2 else f"{i}", None, "x" * (10 ** (1 + i % 4))) for i in range(24)] + [(None, None, "y" * 1500), ("null", None, "y" * 1500), (None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id string, url string, html string")
+    best = {}
+    for i, _, h in rows:
+        if i is not None and len(h or "") >= 1000:
+            best[h] = max(i, best.get(h, ""))
+    got = Counter((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.round_trip(pages).collect())
+    to = lambda i, h: None if best.get(h, i) == i else best[h]
+    assert got == Counter((i, len(h or ""), "revisit" if to(i, h or "") else "response", to(i, h or "")) for i, _, h in rows)
+    warc.write_monolithic(warc.to_records(pages), str(tmp_path / "w"))
+    sizes = [len(list(warc.split_records(warc.inflate(f.read_bytes())))) for f in (tmp_path / "w").glob("part-*")]
+    assert sum(sizes) == len(rows) and max(sizes) <= 5
+
+
 def test_broken_archives():
     good = b"WARC/1.1\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
     assert list(warc.split_records([good[:5], good[5:20], good[20:] + good])) == [(good[:29].rstrip(b"\r\n"), b"abc")] * 2
@@ -519,8 +665,84 @@ def test_model_against_brute_force(spark):
         assert r.score == pytest.approx(sum(math.log10(prob(a, w)) for a, w in zip(["<s>", *ws], ws)))
 
 
+def test_order_three_against_brute_force(spark):
+    rng = random.Random(19)
+    vocab = [f"w{i}" for i in range(12)]
+    rows = [(i, " ".join(rng.choices(vocab, weights=range(1, 13), k=rng.randrange(0, 25))), None, None) for i in range(150)] + [(300, None, None, None), (302, "unseen w1 w2 w3", None, None)]
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i, *_ in rows}
+    toks = {i: [*(t or "").split(), "</s>"] for i, t, *_ in rows}
+    uni, bi, tri = Counter(), Counter(), Counter()
+    for i, ws in toks.items():
+        if not held[i]:
+            uni.update(ws)
+            bi.update(zip(["<s>", *ws], ws))
+            tri.update(zip(["<s>", "<s>", *ws], ["<s>", *ws], ws))
+    before = Counter((v, w) for _, v, w in tri)  # how many different words stand before a pair
+    adj = {(v, w): c if v == "<s>" else before[v, w] for (v, w), c in bi.items()}
+    cont = Counter(w for _, w in bi)
+    d1, d2, d3 = ([0, *ngram.discounts([sum(c == k for c in x.values()) for k in (1, 2, 3, 4)])] for x in (cont, adj, tri))
+    even = sum(d1[min(c, 3)] for c in cont.values()) / len(bi) / (len(uni) + 1)
+
+    def stage_of(table, disc, context, c, lower):
+        own = [x for g, x in table.items() if g[:-1] == context]
+        return (max(c - disc[min(c, 3)], 0) + sum(disc[min(x, 3)] for x in own) * lower) / sum(own) if own else lower
+
+    def prob(u, v, w):
+        p1 = max(cont[w] - d1[min(cont[w], 3)], 0) / len(bi) + even
+        p2 = stage_of(adj, d2, (v,), adj.get((v, w), 0), p1)
+        return stage_of(tri, d3, (u, v), tri[u, v, w], p2)
+
+    for u, v in (("w5", "w6"), ("<s>", "<s>"), ("<s>", "w11"), ("w1", "?")):
+        assert sum(prob(u, v, w) for w in uni) + prob(u, v, "?") == pytest.approx(1)
+    for r in ngram.lm_score(docs(spark, rows), order=3).collect():
+        ws = toks[r.doc_id]
+        assert r.score == pytest.approx(sum(math.log10(prob(*g)) for g in zip(["<s>", "<s>", *ws], ["<s>", *ws], ws))), r.doc_id
+    assert ngram.lm_score(docs(spark, []), order=3).collect() == []
+    empty = ngram.lm_score(docs(spark, [(302, "a b", None, None)]), order=3).collect()
+    assert len(empty) == 1
+
+
 # ---- pipeline
 
+#: Names that operators gave their own columns at some time.
+OWN = ["_name", "_own", "_row", "_copy", "_source", "_id", "_times", "_position", "_key", "_last0", "_last1", "_p", "_b", "_d", "_to", "row", "name", "text_"]
+
+
+def _drops(spark):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id bigint, toxic int")
+    items = spark.createDataFrame([("q", "the quick brown fox")], "item_id string, text string")
+    return {
+        "toxic": lambda df: toxicity.drop_toxic(df, labels),
+        "near": lambda df: neardup.drop_near_duplicates(df),
+        "contaminated": lambda df: decontam.drop_contaminated(df, items),
+        "mixed": lambda df: mixing.mixed_documents(df),
+    }
+
+
+@pytest.mark.parametrize("name, most", [("toxic", 9), ("near", 9), ("contaminated", 200_000), ("contaminated", 0), ("mixed", 9)])
+def test_stages_hand_columns_on(spark, name, most, monkeypatch):
+    if name == "contaminated" and not most:  # more automata than one, so rows are numbered
+        monkeypatch.setattr(decontam, "automata", lambda *a, made=decontam.automata: (2, lambda i, w=made(*a)[1]: w(0) if i else []))
+    texts = [None, "", " ", "one text of seven words in all", "one text of seven words in all", "the quick brown fox", *[f"a{i} b{i} c{i} d{i} e{i} f{i}" for i in range(20)]]
+    rows = [(i if i != 3 else None, t, "en", "ab"[i % 2] if i % 5 else None) for i, t in enumerate(texts)] + [(1, "", "en", "b")]
+    table = docs(spark, rows, clash=False)
+    for c in OWN:
+        table = table.withColumn(c, F.concat(F.lit(c), F.lit("!")))
+    got = _drops(spark)[name](table)
+    out = got.collect()
+    assert got.columns == table.columns and out and all(r[c] == f"{c}!" for r in out for c in OWN)
+    have = Counter((r.doc_id, r.text) for r in out)
+    given = Counter((i, t) for i, t, *_ in rows)
+    assert set(have) <= set(given)
+    if name != "mixed":
+        assert all(have[k] <= n for k, n in given.items()) and (0, None) in have and have[1, ""] == 2
+    if name == "near":
+        assert sum(n for (_, t), n in have.items() if t and t.startswith("one text")) == 1
+    if name == "contaminated":
+        assert sum(given.values()) - sum(have.values()) == 1 and (5, "the quick brown fox") not in have
+    assert _drops(spark)[name](table.limit(0)).collect() == []
+
+
 
 def test_pipeline(spark):
     import corpus_pipeline as cp
