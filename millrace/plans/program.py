@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 from collections.abc import Callable, Iterator
+from dataclasses import fields
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,6 +13,7 @@ from millrace.operators.mapreduce import map_data, reduce_data
 from millrace.session import Options, session
 from millrace.sources.lines import read_lines
 from millrace.sources.pairs import write_text
+from millrace.storage import clean
 
 
 class Program:
@@ -74,17 +76,26 @@ class Program:
 
 
 def main(program: type[Program], argv: list[str], spark: SparkSession | None = None) -> int:
-    """Parse options, run the program, return its exit code."""
+    """Parse options, run the program, return its exit code. Every field of ``Options`` is an option of the command."""
     parser = argparse.ArgumentParser()
-    parser.add_argument("--seed", type=int, default=0)
-    parser.add_argument("--splits", type=int, default=Options.splits)
+    for f in fields(Options):
+        name = f"--{f.name.replace('_', '-')}"
+        if isinstance(f.default, bool):
+            parser.add_argument(name, action=argparse.BooleanOptionalAction, default=f.default)
+        else:
+            parser.add_argument(name, type=int if isinstance(f.default, int) else str, default=f.default)
     parser.add_argument("--bypass", action="store_true")
     parser.add_argument("args", nargs="*")
     got = program.update_parser(parser).parse_args(argv)
-    options = Options(seed=got.seed, splits=got.splits)
+    options = Options(**{f.name: getattr(got, f.name) for f in fields(Options)})
+    own = spark is None
     made = program(spark or session(options), got.args, options)
     made.parsed = got
-    return made.bypass() if got.bypass else made.run() or 0
+    try:
+        return made.bypass() if got.bypass else made.run() or 0
+    finally:
+        if own and not options.keep_scratch:
+            clean(made.spark)
 
 
 def iterate(steps: Iterator[tuple[DataFrame, Callable[[DataFrame], bool | None]]]) -> int:

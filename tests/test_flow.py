@@ -226,9 +226,10 @@ def test_empty_partitions_write_no_files(spark, tmp_path):
     assert [f.name for f in (tmp_path / "o").glob("source*")] == [f"source_3_split_2_.{ext}"]
 
 
-def test_large_partitions_are_several_files(spark, tmp_path, monkeypatch):
+def test_large_partitions_are_several_files(spark, tmp_path):
     rows = spark.range(40).select(F.col("id").alias("key"), F.lit("x" * 10).alias("value")).coalesce(1)
-    pairs.write_binary(rows, str(tmp_path / "o"))
+    pairs.write_binary(rows, str(tmp_path / "o"), most=100)
+    assert len(list((tmp_path / "o").glob("source_0_split_0_*"))) > 3
     assert pairs.read_pairs(spark, str(tmp_path / "o"), key=codecs.INT).count() == 40
 
 
