@@ -6,14 +6,15 @@ the cross entropy, and the language with the least wins. Every language has an a
 a letter that isn't in it is a phrase by itself.
 
 Many blocks of text are parsed in step as lanes of one array, each as if a phrase began with it. Then every block but
-a text's first is parsed again from the state in which the block before really ends, until both parses are in one
-state, which is soon; where they never are, the next block is parsed again too. So phrases go on across blocks, and
-the parse is that of the whole text.
+a text's first is parsed again from the state in which the block before ends, until both parses are in one state, which
+is soon; where they never are, as in texts that repeat themselves, the blocks that follow are parsed one by one. So
+phrases go on across blocks, the parse is that of the whole text, and a block is parsed three times at most.
 """
 
 from __future__ import annotations
 
 import uuid
+from bisect import bisect_left
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -74,6 +75,7 @@ class Parser:
         else:
             every = sorted((s * width + c, t * width) for s, d in enumerate(nxt) for c, t in d.items())
             self.keys, self.next = (np.array([e[k] for e in every], dtype=np.uint64) for k in (0, 1))
+        self.view, self.key_view = memoryview(self.next), None if self.keys is None else memoryview(self.keys)
 
     @staticmethod
     def _states(codes: list[int]) -> list[dict]:
@@ -110,9 +112,25 @@ class Parser:
         i = np.minimum(np.searchsorted(self.keys, at), len(self.keys) - 1)
         return np.where(self.keys[i] == at, self.next[i], self.root[symbol])
 
-    def phrases(self, lanes: np.ndarray, length: np.ndarray, before: np.ndarray) -> np.ndarray:
+    def walk(self, state: int, symbols: list[int], seen: list[int]) -> tuple[int, int | None]:
+        """A lane parsed from ``state``, next to how it was parsed before (``seen``): (how many phrases more begin in it,
+        the state at its end, or None where both parses come to be the same)."""
+        more, stop, bit, next_, keys = 0, int(~self.top), int(self.top_bit), self.view, self.key_view
+        for c, w in zip(symbols, seen):
+            if keys is None:
+                v = next_[state + c]
+            else:
+                i = bisect_left(keys, state + c)
+                v = next_[i] if i < len(keys) and keys[i] == state + c else int(self.root[c])
+            more += (v >> bit) - (w >> bit)
+            state = v & stop
+            if state == w & stop:
+                return more, None
+        return more, state
+
+    def phrases(self, lanes: np.ndarray, length: np.ndarray, before: np.ndarray, begin: np.ndarray) -> np.ndarray:
         """Phrases that begin in each lane. Lanes (columns) are in order of falling ``length``; ``before`` is the lane
-        of the same text that a lane follows, -1 if none."""
+        of the same text that a lane follows, -1 if none; ``begin`` is greater the later a lane stands in its text."""
         n, stop = len(length), ~self.top
         active = np.searchsorted(-length, -np.arange(1, len(lanes) + 1), side="right")
         seen = np.zeros(lanes.shape, dtype=self.root.dtype)
@@ -122,30 +140,37 @@ class Parser:
             seen[k, :m] = v
             count[:m] += (v >> self.top_bit).astype(np.int64)
             state[:m] = v & stop
-        after = np.full(n, -1)
-        after[before[before >= 0]] = np.flatnonzero(before >= 0)
-        ends, shift = state.copy(), np.zeros(n, dtype=np.int64)
+        # each lane again, from where the lane before ended, until both parses are in one state
         todo = np.flatnonzero(before >= 0)
-        while todo.size:
-            now, live, end = ends[before[todo]], np.arange(todo.size), state[todo]
-            shift[todo] = 0
-            for k in range(int(length[todo].max())):
-                over = length[todo[live]] <= k
-                if over.any():  # the lane is at its end, in another state than when parsed by itself
-                    end[live[over]] = now[over]
-                    now, live = now[~over], live[~over]
-                if not live.size:
-                    break
-                v, w = self.step(now, lanes[k, todo[live]]), seen[k, todo[live]]
-                shift[todo[live]] += (v >> self.top_bit).astype(np.int64) - (w >> self.top_bit).astype(np.int64)
-                now, apart = v & stop, (v & stop) != (w & stop)
-                now, live = now[apart], live[apart]
-            end[live] = now
-            changed = todo[end != ends[todo]]
-            ends[todo] = end
-            todo = after[changed]
-            todo = todo[todo >= 0]
-        return count + shift
+        if not todo.size:
+            return count
+        ends, entry = state.copy(), state[before]
+        now, live = entry[todo], todo
+        for k in range(int(length[todo[0]])):
+            over = length[live] <= k
+            if over.any():
+                ends[live[over]] = now[over]
+                now, live = now[~over], live[~over]
+            if not live.size:
+                break
+            v, w = self.step(now, lanes[k, live]), seen[k, live]
+            count[live] += (v >> self.top_bit).astype(np.int64) - (w >> self.top_bit).astype(np.int64)
+            now, apart = v & stop, (v & stop) != (w & stop)
+            now, live = now[apart], live[apart]
+        ends[live] = now
+        # where they never are, what follows began in another state than was taken for it: in the order of the text
+        after = np.full(n, -1)
+        after[before[todo]] = todo
+        wrong = todo[ends[before[todo]] != entry[todo]]
+        for lane in wrong[np.argsort(begin[wrong])].tolist():
+            while lane >= 0 and ends[before[lane]] != entry[lane]:
+                old = seen[: length[lane], lane].tolist()
+                entry[lane] = ends[before[lane]]
+                more, end = self.walk(int(entry[lane]), lanes[: length[lane], lane].tolist(), old)
+                count[lane] = sum(w >> int(self.top_bit) for w in old) + more
+                ends[lane] = state[lane] if end is None else end
+                lane = int(after[lane])
+        return count
 
 
 class Model:
@@ -180,7 +205,7 @@ class Model:
         flat = np.concatenate([*points, np.full(BLOCK, 32, np.uint32)])
         where = begin[None, :] + np.arange(int(length[0]))[:, None]
         for j, parser in enumerate(self.parsers):
-            n = parser.phrases(parser.table[flat][where], length, before)
+            n = parser.phrases(parser.table[flat][where], length, before, begin)
             out[:, j] = np.bincount(owner, weights=n, minlength=len(points)) * parser.bits / np.maximum(sizes, 1)
         return out
 
