@@ -23,6 +23,7 @@ from array import array
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -334,8 +335,8 @@ def blocks(data: bytes | memoryview):
         at += len(BLOCK_END)
 
 
-def tokenise(df: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, np.ndarray]:
-    """(rows of id, n (tokens), z (packed ids), wide (32 bits an id), staged; how often each id occurs).
+def tokenise(df: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", order: tuple = ()) -> tuple[DataFrame, np.ndarray]:
+    """(rows of id, order (bigints), n (tokens), z (packed ids), wide (32 bits an id), staged; how often each id occurs).
 
     A task adds up what it wrote in a last row of its own, so counting takes no second pass over the ids. The
     tokenizer's JSON is sent to the workers: as long as its vocabulary. One row per id at most reaches the driver.
@@ -344,8 +345,9 @@ def tokenise(df: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id",
     ship(spark)
     with open(tokenizer, encoding="utf-8") as f:
         sent, tag = spark.sparkContext.broadcast(f.read()), uuid.uuid4().hex
-    rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("t"))
-    kinds = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("z", pa.binary()), ("wide", pa.bool_()), ("counts", pa.binary())])
+    place = F.array(*[c.cast("bigint") for c in order]) if order else F.array().cast("array<bigint>")
+    rows = df.select(F.col(id_col).cast("bigint").alias("id"), place.alias("order"), F.col(text_col).alias("t"))
+    kinds = pa.schema([("id", pa.int64()), ("order", pa.list_(pa.int64())), ("n", pa.int64()), ("z", pa.binary()), ("wide", pa.bool_()), ("counts", pa.binary())])
 
     def run(batches):
         import zstandard
@@ -357,13 +359,13 @@ def tokenise(df: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id",
                 ids, n = encoder.encode_all(piece.column("t"))
                 total = _sum(total, np.bincount(ids))
                 packed = list(map(pack, np.split(ids, np.cumsum(n)[:-1])))
-                yield pa.RecordBatch.from_arrays([piece.column("id"), pa.array(n), pa.array(packed, pa.binary()), pa.array([wide] * len(n)), pa.nulls(len(n), pa.binary())], schema=kinds)
+                yield pa.RecordBatch.from_arrays([piece.column("id"), piece.column("order"), pa.array(n), pa.array(packed, pa.binary()), pa.array([wide] * len(n)), pa.nulls(len(n), pa.binary())], schema=kinds)
                 del ids, n, packed
         release()
         if len(total):
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.bool_()), pa.array([pack(total)], pa.binary())], schema=kinds)
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.int64())), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.bool_()), pa.array([pack(total)], pa.binary())], schema=kinds)
 
-    made = stage(rows.mapInArrow(run, "id bigint, n bigint, z binary, wide boolean, counts binary"), "tokens")
+    made = stage(rows.mapInArrow(run, "id bigint, order array<bigint>, n bigint, z binary, wide boolean, counts binary"), "tokens")
 
     def add(batches):
         import zstandard
@@ -396,21 +398,24 @@ def _unpack(batch) -> list[np.ndarray]:
     return [np.frombuffer(open_(z), np.uint32 if w else np.uint16).astype(np.uint32) for z, w in zip(batch.column("z").to_pylist(), batch.column("wide").to_pylist())]
 
 
-def write(df: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write the ids of ``df`` under ``path``: ``table/`` and ``data/``, files in ascending order of id, null ids last."""
+def write(df: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", order: tuple = ()) -> None:
+    """Write the ids of ``df`` under ``path``: ``table/`` and ``data/``, files in ascending order of id, null ids last.
+
+    ``order``: columns of integers, none of them null, that rows are in ascending order of instead.
+    """
     with scope(df.sparkSession):  # of the staged ids
-        _write(df, path, tokenizer, end_id, id_col, text_col)
+        _write(df, path, tokenizer, end_id, id_col, text_col, order)
 
 
-def _write(df: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str, text_col: str) -> None:
+def _write(df: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str, text_col: str, order: tuple) -> None:
     spark = df.sparkSession
-    tokens, counts = tokenise(df, tokenizer, end_id, id_col, text_col)
+    tokens, counts = tokenise(df, tokenizer, end_id, id_col, text_col, order)
     freq = quantise(counts)
     rows = [(json.dumps({"scale": SCALE, "end_id": end_id, "frequencies": [[int(i), int(freq[i])] for i in np.flatnonzero(freq)]}),)]
     spark.createDataFrame(rows, "value string").coalesce(1).write.text(f"{path}/table")
     sent, tag = spark.sparkContext.broadcast(freq), uuid.uuid4().hex  # as long as the vocabulary
     n_bytes = tokens.agg(F.sum("n")).first()[0] or 0
-    keys = [F.col("id").asc_nulls_last(), F.col("n").asc(), F.col("h").asc()]
+    keys = [*(F.col("order")[k].asc() for k in range(len(order))), F.col("id").asc_nulls_last(), F.col("n").asc(), F.col("h").asc()]
     ranged = tokens.withColumn("h", F.xxhash64("z")).repartitionByRange(partitions_for(spark, 1.5 * n_bytes, FILE_BYTES), *keys).sortWithinPartitions(*keys)
 
     def run(batches):
@@ -483,14 +488,23 @@ def read(spark, path: str, with_ids: bool = False) -> DataFrame:
     return out.select("id", (F.col("first") + F.col("before")).alias("start"), "n_tokens", "ids_crc32", *(["ids"] if with_ids else []))
 
 
-def token_ids(df: DataFrame, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
+def file_order(df: DataFrame) -> tuple:
+    """Columns that put rows in the order of the part files that ``df`` is read from; none if it isn't a table of files."""
+    try:
+        df.select("_metadata.row_index")
+    except AnalysisException:
+        return ()
+    return F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).try_cast("bigint"), F.col("_metadata.row_index")
+
+
+def token_ids(df: DataFrame, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, order: tuple = ()) -> DataFrame:
     """Write the ids of every document and read them back: id, start, n_tokens, ids_crc32.
 
     Null and empty texts: the end id alone. Rows of equal id stand in order of token number, then a hash of the ids; null ids
-    come last. Ids must be integers. Empty table: no files of blocks, no rows. Other columns are not read.
+    come last. ``order``: see ``write``. Ids must be integers. Empty table: no files of blocks, no rows. Other columns are not read.
     """
     path = path or fresh_path(df.sparkSession, "token-files")
-    write(df, path, tokenizer, end_id, id_col, text_col)
+    write(df, path, tokenizer, end_id, id_col, text_col, order)
     return read(df.sparkSession, path).withColumnRenamed("id", id_col)
 
 

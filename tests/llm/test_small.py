@@ -63,6 +63,15 @@ def test_empty_table(spark, name):
     assert OPS[name](docs(spark, []), spark).collect() == []
 
 
+@pytest.mark.parametrize("name", sorted(OPS))
+def test_texts_beyond_a_piece(spark, name):
+    """Two equal texts of 4.5 MB, more than a piece, and short ones around them."""
+    text = F.when(F.col("id") % 2 == 1, F.repeat(F.lit("word "), 900_000)).otherwise(F.lit("some words"))
+    table = spark.range(0, 4, 1, 2).select(F.col("id").alias("doc_id"), text.alias("text"), F.lit("en").alias("lang"), F.lit("a").alias("source"), F.lit(None).cast("bigint").alias("n_chars"))
+    key = "page_id" if name == "warc" else "doc_id"
+    assert sorted(r[0] for r in OPS[name](table, spark).select(key).collect()) == [0, 1, 2, 3]
+
+
 # ---- exact deduplication
 
 
@@ -124,6 +133,15 @@ def test_whole_texts_are_parsed_into_longest_phrases(room, monkeypatch):
                 assert rates[j] == pytest.approx(want), (known[:10], probe[:10])
 
 
+def test_texts_that_repeat_themselves_take_time_in_proportion():
+    model, took = langid.Model({"a": ["word " * 800], "b": ["other " * 800]}), []
+    for n in (20_000, 80_000):
+        began = time.process_time()
+        model.predict(["word " * n])
+        took.append(time.process_time() - began)
+    assert took[1] < 12 * took[0]
+
+
 def test_scripts_with_many_letters_are_told_apart():
     rng, texts = random.Random(7), {}
     for k, low, high in (("ko", 0xAC00, 0xAE00), ("zh", 0x4E00, 0x5000), ("ja", 0x5200, 0x5400), ("en", 0x61, 0x7A)):
@@ -321,6 +339,19 @@ def test_token_rows(spark):
         at += len(ids)
 
 
+def test_tokens_in_the_order_of_files(spark, tmp_path):
+    import public_tokenizers
+
+    path, ids = str(public_tokenizers.path("byte_bpe_50k.json")), random.Random(3).sample(range(1000), 40)
+    table = docs(spark, [(i, f"text {i}", None, None) for i in ids], clash=False)
+    assert tokenbin.file_order(table) == ()
+    placed = table.select(*table.columns, F.monotonically_increasing_id().alias("m")).repartitionByRange(4, "m").sortWithinPartitions("m").drop("m")
+    placed.write.parquet(str(tmp_path / "t"))
+    files = spark.read.parquet(str(tmp_path / "t"))
+    got = tokenbin.token_ids(files, path, order=tokenbin.file_order(files)).orderBy("start").collect()
+    assert [r.doc_id for r in got] == ids and [r.start for r in got] == list(np.cumsum([0] + [r.n_tokens for r in got[:-1]]))
+
+
 # ---- near duplicates
 
 
