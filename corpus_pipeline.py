@@ -1,6 +1,10 @@
 """A training corpus from ``documents``: five stages, each an operator of millrace.llm.
 
 Every stage reads the Parquet that the one before wrote; all but the last return the columns of documents.
+
+Rows with null or empty text pass toxicity, near-dedup and decontamination, and the mix takes none of them, as they have
+no words. Null ids and sources are like any other value; rows that repeat fully count as near duplicates, so one stays.
+Empty tables give empty results, and further columns of any name are handed on up to the last stage.
 """
 
 from __future__ import annotations
@@ -11,7 +15,7 @@ from millrace.llm.decontam import drop_contaminated
 from millrace.llm.mixing import mixed_documents
 from millrace.llm.neardup import drop_near_duplicates
 from millrace.llm.scratch import stage
-from millrace.llm.tokenbin import token_ids
+from millrace.llm.tokenbin import file_order, token_ids
 from millrace.llm.toxicity import drop_toxic
 
 
@@ -21,7 +25,8 @@ def drop_toxic_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five-word shingles, similarity 0.8 or more)."""
+    """One document of each group of near duplicates (similarity 0.8 or more of shingles of five words; the query op6 has
+    four, as its contract says)."""
     return drop_near_duplicates(docs)
 
 
@@ -36,10 +41,10 @@ def mix_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token files' rows: doc_id, start, n_tokens, ids_crc32."""
+    """The token files' rows: doc_id, start, n_tokens, ids_crc32; in training order, which is that of the files of ``docs``."""
     import public_tokenizers
 
-    return token_ids(docs, str(public_tokenizers.path("byte_bpe_50k.json")))
+    return token_ids(docs, str(public_tokenizers.path("byte_bpe_50k.json")), order=file_order(docs))
 
 
 STAGES = [
