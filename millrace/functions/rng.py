@@ -6,10 +6,12 @@ import random
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from millrace.storage import ship
+
 #: Bits between the places of two offsets in the seed.
 OFFSET_BITS = 64
 
@@ -27,6 +29,7 @@ def array_generator(seed: int, *offsets: int) -> np.random.RandomState:
 
 def uniform(seed: int, *offsets: Column) -> Column:
     """First draw from [0, 1) of the generator for each row's offsets; an Arrow batch at a time."""
+    ship(SparkSession.active())
 
     @pandas_udf("double")
     def draw(*cols: pd.Series) -> pd.Series:
@@ -37,6 +40,7 @@ def uniform(seed: int, *offsets: Column) -> Column:
 
 def array_uniform(seed: int, *offsets: Column) -> Column:
     """First draw from [0, 1) of numpy's generator for each row's offsets; an Arrow batch at a time."""
+    ship(SparkSession.active())
 
     @pandas_udf("double")
     def draw(*cols: pd.Series) -> pd.Series:

@@ -6,12 +6,13 @@ import random
 import string
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from millrace import queries
 from millrace.functions.digest import md5_mod, mod
-from millrace.functions.rng import array_generator, generator, native_uniform, uniform
+from millrace.functions.rng import array_generator, array_uniform, generator, native_uniform, uniform
 from millrace.operators import partition as P
 from millrace.operators.lookup import both_ways, lookup
 from millrace.operators.mapreduce import map_data, reduce_data, reducemap_data, with_splits
@@ -294,6 +295,9 @@ def test_draws_do_not_depend_on_partitions(spark):
     assert one == many and one[3] == random.Random(7 + (3 << 64)).random()
     assert generator(1, 2).random() == generator(1, 2, 0).random() != generator(1, 0, 2).random()
     assert array_generator(1, 2).rand() == array_generator(1, 2).rand() != array_generator(2, 2).rand()
+    assert array_generator(7, 1, 2).random_sample() == np.random.RandomState([7, 0, 1, 0, 2, 0]).random_sample()
+    drawn = {r.id: r.u for r in ids.select("id", array_uniform(7, F.col("id")).alias("u")).collect()}
+    assert drawn[3] == array_generator(7, 3).random_sample()
     native = [r.u for r in ids.select(native_uniform(7, F.col("id")).alias("u")).collect()]
     assert all(0 <= u < 1 for u in native) and len(set(native)) == 50
 
