@@ -17,4 +17,7 @@ def spark():
     )
     made.sparkContext.setLogLevel("ERROR")
     yield made
+    from millrace.storage import clean
+
+    clean(made)
     made.stop()
