@@ -18,7 +18,7 @@ from millrace.operators.partition import by_function, by_hash, by_md5, by_mod, r
 from millrace.plans import counting, misc, walks
 from millrace.sources import codecs, lines, pairs
 from millrace.sources.lines import lines_of, union_sources
-from millrace.storage import fresh_path, remove, stage
+from millrace.storage import fresh_path
 
 N = 7
 PUNCTUATION = string.punctuation.replace("'", "''")
