@@ -33,7 +33,7 @@ MOST_WINDOWS, MOST_BYTES, LIST_HASHES = 200_000, 32 << 20, 4_000_000
 #: Upper case to lower case; everything that is in no word to a space. UTF-8 bytes of other characters stay.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _WORD = re.compile(rb"[^ ]+")
-SCHEMA = "n_words bigint, hits array<struct<w0:bigint,w1:bigint,c0:bigint,c1:bigint>>, items array<string>"
+SCHEMA = "n_words bigint, hits array<struct<w0:bigint,w1:bigint,c0:bigint,c1:bigint>>, items array<string>, longest bigint"
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -58,15 +58,16 @@ class Matcher:
             self.auto.make_automaton()
 
     def scan(self, text: str | None):
-        """(number of words, united hits as word and code point ranges with exclusive ends, items, a null one first)."""
+        """(number of words, united hits as word and code point ranges with exclusive ends, items, a null one first, words of
+        the longest window that occurs)."""
         got = _words(text)
         if not self.some or not got:
-            return len(got), [], []
+            return len(got), [], [], 0
         get, hits, items = self.vocab.get, [], set()
         for end, (n, ids) in self.auto.iter(tuple([get(w, 0) for w in got])):
             items |= ids
             hits.append((end + 1 - n, end + 1))
-        return len(got), _located(text, union(hits)) if hits else [], sorted(items, key=lambda x: (x is not None, x))
+        return len(got), _located(text, union(hits)) if hits else [], sorted(items, key=lambda x: (x is not None, x)), max((b - a for a, b in hits), default=0)
 
 
 def union(hits) -> list[tuple[int, int]]:
@@ -153,12 +154,12 @@ def automata(rows: DataFrame, benchmark: DataFrame, item_col: str, item_text_col
 
 
 def decontaminate(df: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col="text", item_col="item_id", item_text_col="text", window=WINDOW) -> DataFrame:
-    """One row per input row: id, n_words, n_hit, n_items, items, spans, contaminated.
+    """One row per input row: id, n_words, n_hit, n_items, items, spans, longest, contaminated.
 
     Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after lower-casing A-Z; a window is ``window`` consecutive
     words of an item, or the whole of a shorter one. A word inside any occurrence of a window is hit; ``spans``
-    are the hit stretches (start, end) in code points of the original text, end exclusive. Contaminated: at
-    least one hit and at least 5 % of the words. Null or empty text: no words, not contaminated. Null or empty
+    are the hit stretches (start, end) in code points of the original text, end exclusive; ``longest`` is the
+    number of words of the longest window that occurs, or 0. Contaminated: at least one hit and at least 5 % of the words. Null or empty text: no words, not contaminated. Null or empty
     item: no windows. Items with null id are one item, null in ``items``. Repeated items and rows: each item id
     counts once, each row gives a row. Empty tables: no rows, or no hits. Other columns are not read.
     """
@@ -175,10 +176,10 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col
             sent.destroy()
             each = one if each is None else each.unionByName(one)
         # as many rows to a key as there are automata
-        merged = each.groupBy("r").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("hits")).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+        merged = each.groupBy("r").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("hits")).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.max("longest").alias("longest"))
         out = kept.select("id", "r").join(merged, "r").drop("r").withColumn("hits", _unite(F.col("hits")))
     n_hit = F.aggregate("hits", F.lit(0).cast("bigint"), lambda a, x: a + x["w1"] - x["w0"])
-    out = out.select(F.col("id").alias(id_col), "n_words", n_hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"), "items", F.transform("hits", lambda x: F.struct(x["c0"].alias("start"), x["c1"].alias("end"))).alias("spans"))
+    out = out.select(F.col("id").alias(id_col), "n_words", n_hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"), "items", F.transform("hits", lambda x: F.struct(x["c0"].alias("start"), x["c1"].alias("end"))).alias("spans"), "longest")
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
@@ -201,14 +202,17 @@ def _scan(rows: DataFrame, windows: list, key: str):
     def fn(piece):
         matcher = built(tag, lambda: Matcher(sent.value))
         got = [matcher.scan(t) for t in piece.column("t").to_pylist()]
-        return {key: piece.column(key), "n_words": [g[0] for g in got], "hits": [g[1] for g in got], "items": [g[2] for g in got]}
+        return {key: piece.column(key), "n_words": [g[0] for g in got], "hits": [g[1] for g in got], "items": [g[2] for g in got], "longest": [g[3] for g in got]}
 
     return map_pieces(rows.select(key, "t"), "t", fn, f"{key} {dict(rows.dtypes)[key]}, {SCHEMA}"), sent
 
 
-def drop_contaminated(df: DataFrame, benchmark: DataFrame, text_col="text", item_col="item_id", item_text_col="text", window=WINDOW) -> DataFrame:
+def drop_contaminated(df: DataFrame, benchmark: DataFrame, text_col="text", item_col="item_id", item_text_col="text", window=WINDOW, passages=False) -> DataFrame:
     """``df`` without its contaminated rows, decided row by row where they are read, so no id is needed.
 
+    With ``passages`` every row that holds a window of ``window`` words goes, however long its text is; of shorter items,
+    whose few words may stand in any text, the share of words decides as before.
+
     With more than one automaton rows are numbered, and the numbers of contaminated ones are joined back. Null and
     empty texts stay, repeated rows are judged alike, an empty benchmark or table drops nothing. Columns of any name
     are handed on as they are.
@@ -219,13 +223,13 @@ def drop_contaminated(df: DataFrame, benchmark: DataFrame, text_col="text", item
 
         def keep(texts):
             scan = built(tag, lambda: Matcher(sent.value)).scan
-            return [not 0 < n <= 20 * sum(h["w1"] - h["w0"] for h in hits) for n, hits, _ in map(scan, texts)]
+            return [not (0 < n <= 20 * sum(h["w1"] - h["w0"] for h in hits) or (passages and longest >= window)) for n, hits, _, longest in map(scan, texts)]
 
         return filter_pieces(df, text_col, keep)
     row = free_name(df, "row")
     kept = stage(df.withColumn(row, F.monotonically_increasing_id()), "decontam")
     flags = decontaminate(kept.select(F.col(row).alias("row"), F.col(text_col).alias("text")), benchmark, "row", "text", item_col, item_text_col, window)
-    gone = flags.where("contaminated").select(F.col("row").alias(row))
+    gone = flags.where(F.col("contaminated") | (F.lit(passages) & (F.col("longest") >= window))).select(F.col("row").alias(row))
     return kept.join(gone, row, "left_anti").select(*[F.col(f"`{c}`") for c in df.columns])
 
 

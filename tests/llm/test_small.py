@@ -274,6 +274,24 @@ def test_a_benchmark_of_two_million_words(spark):
     assert got == {1: (20, ["1234"]), 2: (0, []), 3: (20, ["1999"]), 4: (0, [])}
 
 
+@pytest.mark.parametrize("most, hashes", [(200_000, 4_000_000), (5, 7)])
+def test_the_pipeline_drops_long_texts_that_hold_a_passage(spark, most, hashes, monkeypatch, tmp_path):
+    import corpus_pipeline as cp
+
+    monkeypatch.setattr(decontam, "MOST_WINDOWS", most)
+    monkeypatch.setattr(decontam, "LIST_HASHES", hashes)
+    run = lambda a, n: " ".join(f"w{i}" for i in range(a, a + n))
+    spark.createDataFrame([(1, run(0, 30)), (2, run(100, 13)), (3, "yes"), (4, "two words"), (5, None)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    filler = "other " * 2_000
+    texts = {
+        1: f"{filler}{run(0, 30)} {filler}", 2: filler + run(9, 13).upper(), 3: f"{run(100, 13)} {filler}",  # 43, 13 and 13 of thousands of words
+        4: f"{filler}{run(0, 12)} x {run(13, 12)}", 5: f"{filler}{run(100, 12)} yes", 6: f"{filler}yes yes yes yes yes yes yes two words two words two words two words", 7: filler, 8: None, 9: "",
+        10: "yes", 11: run(5, 13),
+    }
+    rows = docs(spark, [(i, t, None, None) for i, t in texts.items()])
+    assert sorted(r.doc_id for r in cp.decontaminate_stage(spark, rows, str(tmp_path)).collect()) == [4, 5, 6, 7, 8, 9]
+
+
 # ---- token files
 
 
