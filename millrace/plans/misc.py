@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections import namedtuple
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.operators.mapreduce import map_data
+from millrace.operators.mapreduce import map_data, reducemap_data
 from millrace.operators.partition import by_mod
 from millrace.storage import ship
 
@@ -34,8 +38,23 @@ def map_documents(docs: DataFrame, parse: Callable[[str], dict], schema: str, te
     return map_data(pairs, lambda _, t: ((k, *fields) for k, fields in parse(t).items()), f"topic string, {schema}", setup=setup)
 
 
-def aggregate_objects(df: DataFrame, key: str, start: Callable, add: Callable, finish: Callable, schema: str) -> DataFrame:
-    """An accumulator of one's own per key: ``finish(key, state)`` gives rows; state is ``add(state, row)`` by row."""
+#: States a task holds before it hands them on.
+STATES_AT = 10_000
+
+
+def aggregate_objects(df: DataFrame, key: str, start: Callable, add: Callable, finish: Callable, schema: str, merge: Callable | None = None) -> DataFrame:
+    """An accumulator of one's own per key: ``finish(key, state)`` gives rows; state is ``add(state, row)`` by row.
+
+    ``merge(state, state)`` adds two states up: with it, each task accumulates the rows it reads and only states are dealt
+    out, so no task reads all rows of a key. Rows have Python's values then. Without, a task reads all rows of a key, in frames.
+    """
+    from pyspark.sql.types import StructType
+
+    ship(df.sparkSession)
+    names = StructType.fromDDL(schema).fieldNames()
+    if merge:
+        states = _states(df, key, start, add)
+        return reducemap_data(states, lambda _, found: [reduce(merge, map(cloudpickle.loads, found))], finish, states.schema, schema)
 
     def run(group: tuple, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         state = start()
@@ -44,14 +63,37 @@ def aggregate_objects(df: DataFrame, key: str, start: Callable, add: Callable, f
                 state = add(state, row)
         yield pd.DataFrame(list(finish(group[0], state)), columns=names)
 
-    from pyspark.sql.types import StructType
-
-    ship(df.sparkSession)
-    names = StructType.fromDDL(schema).fieldNames()
     run.__annotations__ = {"group": tuple[object, ...], "frames": Iterator[pd.DataFrame], "return": Iterator[pd.DataFrame]}
     return df.groupBy(key).applyInPandas(run, schema)
 
 
+def _states(df: DataFrame, key: str, start: Callable, add: Callable) -> DataFrame:
+    """(key, value): a pickled state of a key's rows for each task that has some, or more of them where keys are many."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import BinaryType, StructType
+
+    schema = StructType().add("key", df.schema[key].dataType).add("value", BinaryType())
+    arrow, columns = to_arrow_schema(schema), df.columns
+
+    def emit(held: dict) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(held, arrow[0].type), pa.array(map(cloudpickle.dumps, held.values()), pa.binary())], schema=arrow)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        row_of = namedtuple("Row", columns, rename=True)
+        for b in batches:
+            values = [c.to_pylist() for c in b.columns]
+            for k, *row in zip(values[0], *values[1:]):
+                held[k] = add(held[k] if k in held else start(), row_of(*row))
+                if len(held) >= STATES_AT:
+                    yield emit(held)
+                    held = {}
+        if held:
+            yield emit(held)
+
+    return df.select(F.col(key).alias("key"), "*").mapInArrow(run, schema)
+
+
 #: What a farm may run, by name. Text that comes with the data is never a command.
 JOBS: dict[str, Callable[[int], float]] = {"square": lambda x: float(x * x), "halves": lambda x: float(x.bit_length()), "triangle": lambda x: x * (x + 1) / 2}
 

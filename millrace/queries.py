@@ -327,8 +327,11 @@ def group_aggregate_object(spark, d):
         n = len(row.text or "")
         return [state[0] + 1, state[1] + n, max(state[2], n), min(state[3], n)]
 
+    def merge(a, b):
+        return [a[0] + b[0], a[1] + b[1], max(a[2], b[2]), min(a[3], b[3])]
+
     docs = _t(spark, d, "documents").select("lang", "text")
-    return misc.aggregate_objects(docs, "lang", lambda: [0, 0, 0, 1 << 60], add, lambda k, s: [(k, *s)], "lang string, n_docs bigint, n_chars bigint, longest bigint, shortest bigint")
+    return misc.aggregate_objects(docs, "lang", lambda: [0, 0, 0, 1 << 60], add, lambda k, s: [(k, *s)], "lang string, n_docs bigint, n_chars bigint, longest bigint, shortest bigint", merge)
 
 
 def document_map(spark, d):

@@ -481,6 +481,18 @@ def test_objects_and_farm(spark):
         misc.farm(spark, [("rm -rf", 1)])
 
 
+def test_objects_of_one_key_are_made_by_many_tasks(spark):
+    def add(state, row):
+        from pyspark import TaskContext
+
+        return state[0] + 1, state[1] | {TaskContext.get().partitionId()}
+
+    big = (1 << 53) + 1  # a float can't hold it
+    df = spark.range(0, 1000, 1, 4).select(F.when(F.col("id") % 10 > 1, F.lit(big)).when(F.col("id") % 10 == 1, F.lit(big + 1)).alias("k"), F.col("id").alias("v"))
+    got = misc.aggregate_objects(df, "k", lambda: (0, set()), add, lambda k, s: [(k, s[0], len(s[1]))], "k bigint, n bigint, tasks bigint", lambda a, b: (a[0] + b[0], a[1] | b[1]))
+    assert {tuple(r) for r in got.collect()} == {(big, 800, 4), (big + 1, 100, 4), (None, 100, 4)}
+
+
 def test_log_times(spark):
     log = ["2014-01-01 00:00:00,000: INFO: Assigning task to worker: map_1, 0", "2014-01-01 00:00:02,500: INFO: Slave 3 report ready: map_1, 0", "junk", "2014-01-01 00:00:01,000: INFO: Assigning task to worker: map_1, 1", "2014-01-01 00:00:02,000: INFO: Slave 4 report ready: map_1, 1"]
     messages = misc.log_messages(spark.createDataFrame([(x,) for x in log], "value string"))
