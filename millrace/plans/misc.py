@@ -9,7 +9,7 @@ from functools import reduce
 import pandas as pd
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators.mapreduce import map_data, reducemap_data
@@ -120,12 +120,25 @@ def intervals(events: DataFrame, group: str, at: str = "ts") -> DataFrame:
     return events.groupBy(group).agg(F.min(at).alias("first_ts"), F.max(at).alias("last_ts"), F.count(F.lit(1)).alias("n")).withColumn("seconds", (sec(F.col("last_ts")) - sec(F.col("first_ts"))) / F.lit(1e6))
 
 
+#: What the ``\\s*$`` of the patterns takes off an end: spaces, and a line end that ``.`` doesn't match.
+ENDS = " \t\n\x0b\f\r\x85\u2028\u2029"
+
+
+def _trimmed(text):
+    return F.when(reduce(Column.__or__, [text.endswith(c) for c in ENDS]), F.rtrim(text, F.lit(ENDS))).otherwise(text)
+
+
 def log_messages(lines: DataFrame, column: str = "value") -> DataFrame:
-    """(ts, level, message) of lines ``YYYY-MM-DD HH:MM:SS,mmm: LEVEL: message``; others are left out."""
+    """(ts, level, message) of lines ``YYYY-MM-DD HH:MM:SS,mmm: LEVEL: message``; others are left out.
+
+    The pattern is matched once a line; where it matches, its parts stand between known places.
+    """
     pattern = r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2},\d{3}): (\w+): (.*?)\s*$"
-    part = lambda i: F.regexp_extract(column, pattern, i)
-    rows = lines.where(F.col(column).rlike(pattern))
-    return rows.select(F.to_timestamp(F.replace(part(1), F.lit(","), F.lit(".")), "yyyy-MM-dd HH:mm:ss.SSS").alias("ts"), part(2).alias("level"), part(3).alias("message"))
+    line = F.col(column)
+    colon = F.locate(":", line, 26)  # after the level
+    at = F.replace(F.substring(line, 1, 23), F.lit(","), F.lit(".")).cast("timestamp")
+    level, message = F.substring(line, F.lit(26), colon - 26), F.substring(_trimmed(line), colon + 2, F.lit(1 << 30))
+    return lines.where(line.rlike(pattern)).select(at.alias("ts"), level.alias("level"), message.alias("message"))
 
 
 #: Messages of a run's log that name a task of a dataset, when it is given out and when it is reported.
@@ -133,10 +146,11 @@ ASSIGNED, REPORTED = r"^Assigning.*: (\w+), (\d+)\s*$", r"^Slave \d+ report.*: (
 
 
 def _tasks(messages: DataFrame) -> DataFrame:
-    """(ts, begun, dataset, task) of the messages that name a task."""
-    begun = F.col("message").rlike(ASSIGNED)
-    part = lambda i: F.when(begun, F.regexp_extract("message", ASSIGNED, i)).otherwise(F.regexp_extract("message", REPORTED, i))
-    return messages.where(begun | F.col("message").rlike(REPORTED)).select("ts", begun.alias("begun"), part(1).alias("dataset"), part(2).alias("task"))
+    """(ts, begun, dataset, task) of the messages that name a task, after their last colon."""
+    message = F.col("message")
+    name = _trimmed(F.substring_index(message, ": ", -1))
+    found = messages.where(message.rlike(f"{ASSIGNED}|{REPORTED}"))
+    return found.select("ts", message.startswith("Assigning").alias("begun"), F.substring_index(name, ", ", 1).alias("dataset"), F.substring_index(name, ", ", -1).alias("task"))
 
 
 def task_times(messages: DataFrame) -> DataFrame:

@@ -375,9 +375,9 @@ def _log(spark, d):
     name = F.concat(F.lit("d"), F.substring("o_orderpriority", 1, 1))
     task = F.concat(name, F.lit(", "), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("string"))
     at = lambda n: F.date_format(F.timestamp_seconds(F.lit(1_400_000_000) + F.col("l_orderkey") % 1000 + n), "yyyy-MM-dd HH:mm:ss")
-    begun = rows.select(F.concat(at(F.lit(0)), F.lit(",000: INFO: Assigning task to worker 1: "), task).alias("value"))
-    over = rows.select(F.concat(at(F.col("l_linenumber")), F.lit(",500: INFO: Slave 1 report ready: "), task).alias("value"))
-    return misc.log_messages(begun.unionByName(over))
+    begun = F.concat(at(F.lit(0)), F.lit(",000: INFO: Assigning task to worker 1: "), task)
+    over = F.concat(at(F.col("l_linenumber")), F.lit(",500: INFO: Slave 1 report ready: "), task)
+    return misc.log_messages(rows.select(F.explode(F.array(begun, over)).alias("value")))
 
 
 def log_task_times(spark, d):

@@ -501,6 +501,25 @@ def test_log_times(spark):
     assert [(r.dataset, r.seconds, r.n) for r in misc.dataset_times(messages).collect()] == [("map_1", 2.5, 4)]
 
 
+def test_log_lines_are_matched_once(spark):
+    ends = ["", " \t", "\n", " \r\n", "\u2028", " \x0b\x85", "\u2028 ", "\u2003"]
+    log = [f"2014-01-0{k % 9 + 1} 00:00:0{k},007: {level}: {text}{end}" for k, end in enumerate(ends) for level in ("INFO", "a_1", "") for text in ("Assigning a: b, 1: map_1, 07", "Slave 3 report: x, 2: é, 1", "Slave x report: y, 2", "a: b", "")]
+    log += ["2014-01-01 00:00:00,00: INFO: a: b, 1", " 2014-01-01 00:00:00,000: INFO: Assigning: b, 1", "2014-01-01 00:00:00,000: INFO:Assigning: b, 1"]
+    table = spark.createDataFrame([(x,) for x in log], "value string")
+    pattern = r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2},\d{3}): (\w+): (.*?)\s*$"
+    part = [F.regexp_extract("value", pattern, i) for i in range(4)]
+    want = table.where(F.col("value").rlike(pattern)).select(F.to_timestamp(F.replace(part[1], F.lit(","), F.lit(".")), "yyyy-MM-dd HH:mm:ss.SSS"), part[2], part[3])
+    got = misc.log_messages(table)
+    assert Counter(map(tuple, got.collect())) == Counter(map(tuple, want.collect())) and got.count() > 50
+    named = table.select(F.lit(None).cast("timestamp").alias("ts"), F.substring("value", 32, 99).alias("message"))
+    texts = [r[0] for r in named.select("message").collect()]
+    cases = [(begun, *(F.regexp_extract("message", p, i) for i in (1, 2))) for begun, p in ((True, misc.ASSIGNED), (False, misc.REPORTED))]
+    whole = [r for (begun, a, b), p in zip(cases, (misc.ASSIGNED, misc.REPORTED)) for r in named.where(F.col("message").rlike(p)).select(F.lit(begun), a, b).collect()]
+    assert Counter((r.begun, r.dataset, r.task) for r in misc._tasks(named).collect()) == Counter(map(tuple, whole)) and len(whole) > 5 and texts
+    plan = misc._tasks(got)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract" not in plan and plan.count("RLIKE") == 2
+
+
 def test_stream(spark, tmp_path):
     from millrace.streaming import events
 
