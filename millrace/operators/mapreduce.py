@@ -8,8 +8,9 @@ in one of the pair formats; the result is staged then, so that it is computed on
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from itertools import groupby
+from operator import itemgetter
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,10 +28,6 @@ def _type(schema: str | StructType) -> StructType:
     return schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
 
 
-def _fields(schema: str | StructType) -> list[str]:
-    return _type(schema).fieldNames()
-
-
 def _dealt(df: DataFrame, splits: int | None, partition: Partition | None) -> DataFrame:
     return df if splits is None else (partition or by_hash)(df, splits)
 
@@ -43,17 +40,6 @@ def _kept(df: DataFrame, outdir: str | None, form: str) -> DataFrame:
     return df
 
 
-def _batches(pairs: Iterable, names: list[str], size: int = 4096) -> Iterator[pd.DataFrame]:
-    held: list = []
-    for pair in pairs:
-        held.append(pair)
-        if len(held) >= size:
-            yield pd.DataFrame(held, columns=names)
-            held = []
-    if held:
-        yield pd.DataFrame(held, columns=names)
-
-
 def _arrow_batches(pairs: Iterable, schema: pa.Schema, size: int = 20_000) -> Iterator[pa.RecordBatch]:
     held: list = []
     for pair in pairs:
@@ -113,17 +99,29 @@ def _combined(pairs: Iterable, combiner: Callable) -> Iterator[tuple]:
             yield k, v
 
 
-def _grouping(produce: Callable[[object, Iterator], Iterable], names: list[str], setup: Callable | None) -> Callable:
-    begun: list = []
+def _grouped(df: DataFrame, produce: Callable[[object, Iterator], Iterable], schema: str | StructType, setup: Callable | None) -> DataFrame:
+    """Rows of ``produce`` (key, values) for each key. Keys meet by Spark's hash and are sorted in their task, which goes
+    through them in one pass of Arrow batches: a group costs no batch of its own, and its values stream."""
+    arrow = to_arrow_schema(_type(schema))
+    ship(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def outputs() -> Iterator:
+            begun = False
+            pairs = ((_NAN if k != k else k, v) for b in batches for k, v in zip(b.column("key").to_pylist(), b.column("value").to_pylist()))
+            for key, group in groupby(pairs, itemgetter(0)):
+                if setup and not begun:
+                    begun = True
+                    setup()
+                yield from produce(key, (v for _, v in group))
+
+        yield from _arrow_batches(outputs(), arrow)
+
+    return df.select("key", "value").repartition("key").sortWithinPartitions("key").mapInArrow(run, schema)
 
-    def run(key: tuple, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if setup and not begun:
-            begun.append(setup())
-        values = (v for f in frames for v in f["value"])
-        yield from _batches(produce(key[0], values), names)
 
-    run.__annotations__ = {"key": tuple[object, ...], "frames": Iterator[pd.DataFrame], "return": Iterator[pd.DataFrame]}
-    return run
+#: One object, as no two of its kind are equal, but keys that are not a number are one group.
+_NAN = float("nan")
 
 
 def reduce_data(
@@ -134,14 +132,13 @@ def reduce_data(
     ``sort_values`` by key and value.
 
     ``fn``: aggregate columns, or, with ``schema``, a generator (key, values) -> 0..n values, where values is an
-    iterator that may be read once, in no given order. Other parameters are as for ``map_data``.
+    iterator of Python's values (None for null) that may be read once, in no given order. Other parameters are as for
+    ``map_data``.
     """
     if schema is None:
         out = df.groupBy("key").agg(*fn)
     else:
-        ship(df.sparkSession)
-        run = _grouping(lambda k, vs: ((k, out) for out in fn(k, vs)), _fields(schema), setup)
-        out = df.select("key", "value").groupBy("key").applyInPandas(run, schema)
+        out = _grouped(df, lambda k, vs: ((k, out) for out in fn(k, vs)), schema, setup)
     return _kept(_dealt(out, splits, partition).sortWithinPartitions("key", *(["value"] if sort_values else [])), outdir, form)
 
 
@@ -152,9 +149,8 @@ def reducemap_data(
     """Reduce, then map the reduced pairs with no exchange between. Parameters are as for ``map_data``."""
     if reduce_schema is None:
         return _kept(_dealt(mapper(df.groupBy("key").agg(*reducer)), splits, partition), outdir, form)
-    ship(df.sparkSession)
-    run = _grouping(lambda k, vs: (out for v in reducer(k, vs) for out in mapper(k, v)), _fields(map_schema), setup)
-    return _kept(_dealt(df.select("key", "value").groupBy("key").applyInPandas(run, map_schema), splits, partition), outdir, form)
+    reduced = _grouped(df, lambda k, vs: (out for v in reducer(k, vs) for out in mapper(k, v)), map_schema, setup)
+    return _kept(_dealt(reduced, splits, partition), outdir, form)
 
 
 def with_splits(df: DataFrame) -> DataFrame:

@@ -177,9 +177,10 @@ def reduce_python(spark, d):
     pairs = _t(spark, d, "orders").select(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("value"))
 
     def ends(_, values):
-        got = sorted(values)
+        got = list(values)
+        known = sorted(v for v in got if v is not None) or [None]
         if len(got) > 1:
-            yield from (got[0], got[-1])
+            yield from (known[0], known[-1])
 
     return reduce_data(pairs, ends, "key bigint, value bigint")
 

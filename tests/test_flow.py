@@ -493,6 +493,20 @@ def test_objects_of_one_key_are_made_by_many_tasks(spark):
     assert {tuple(r) for r in got.collect()} == {(big, 800, 4), (big + 1, 100, 4), (None, 100, 4)}
 
 
+def test_reducers_go_through_keys_in_one_pass(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([(k, v) for k in (nan, None, 0.0, 1.5, -0.0, float("-nan")) for v in (1, 2, None)], "key double, value bigint").repartition(3)
+    got = reduce_data(df, lambda k, vs: [next(vs), sum(1 for _ in vs)][1:] if k != 1.5 else [7], "key double, value bigint").collect()
+    assert Counter((r.key and str(r.key), r.value) for r in got) == Counter([("nan", 5), (None, 2), (0.0, 5), ("1.5", 7)])
+    many = spark.range(60_000).select((F.col("id") % 20_000).alias("key"), F.col("id").alias("value"))
+    ends = reduce_data(many, lambda k, vs: [max(vs)], "key bigint, value bigint")
+    assert ends.count() == 20_000 and ends.where("value <> key + 40000").count() == 0
+    fused = reducemap_data(many, lambda k, vs: [sum(vs)], lambda k, v: [(k % 2, v)] * (k % 3), "value bigint", "odd bigint, total bigint")
+    assert fused.agg(F.count(F.lit(1)), F.sum("total")).first() == (19_999, sum((3 * k + 60_000) * (k % 3) for k in range(20_000)))
+    for df in (ends, fused):
+        assert "FlatMapGroupsInPandas" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_log_times(spark):
     log = ["2014-01-01 00:00:00,000: INFO: Assigning task to worker: map_1, 0", "2014-01-01 00:00:02,500: INFO: Slave 3 report ready: map_1, 0", "junk", "2014-01-01 00:00:01,000: INFO: Assigning task to worker: map_1, 1", "2014-01-01 00:00:02,000: INFO: Slave 4 report ready: map_1, 1"]
     messages = misc.log_messages(spark.createDataFrame([(x,) for x in log], "value string"))
