@@ -14,13 +14,15 @@ def sized(small: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(small) if small.limit(limit + 1).count() <= limit else small
 
 
-def lookup(df: DataFrame, small: DataFrame, on: list[str], value: str, default) -> DataFrame:
+def lookup(df: DataFrame, small: DataFrame, on: list[str], value: str, default, first: bool = False) -> DataFrame:
     """``df`` with ``value`` from ``small`` by equal ``on`` columns, ``default`` where there is none.
 
     Of several values of a key the greatest counts, so rows are never multiplied. Spark sizes the join as it runs:
-    the small side is grouped first, and adaptive execution broadcasts what turns out small.
+    the small side is grouped first, and adaptive execution broadcasts what turns out small. By then ``df`` may have been
+    dealt out already; with ``first`` the small side is counted before, and ``df`` stays as it is dealt where that is small.
     """
-    joined = df.join(small.groupBy(*on).agg(F.max(value).alias(value)), on, "left")
+    grouped = small.groupBy(*on).agg(F.max(value).alias(value))
+    joined = df.join(sized(grouped) if first else grouped, on, "left")
     return joined.withColumn(value, F.coalesce(F.col(value), F.lit(default)))
 
 

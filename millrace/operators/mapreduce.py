@@ -40,7 +40,7 @@ def _kept(df: DataFrame, outdir: str | None, form: str) -> DataFrame:
     return df
 
 
-def _arrow_batches(pairs: Iterable, schema: pa.Schema, size: int = 20_000) -> Iterator[pa.RecordBatch]:
+def arrow_batches(pairs: Iterable, schema: pa.Schema, size: int = 20_000) -> Iterator[pa.RecordBatch]:
     held: list = []
     for pair in pairs:
         held.append(pair)
@@ -70,7 +70,7 @@ def map_data(
         if setup:
             setup()
         pairs = (out for b in batches for k, v in zip(b.column("key").to_pylist(), b.column("value").to_pylist()) for out in fn(k, v))
-        yield from _arrow_batches(_combined(pairs, combiner) if combiner else pairs, arrow)
+        yield from arrow_batches(_combined(pairs, combiner) if combiner else pairs, arrow)
 
     return _kept(_dealt(df.select("key", "value").mapInArrow(run, schema), splits, partition), outdir, form)
 
@@ -115,7 +115,7 @@ def _grouped(df: DataFrame, produce: Callable[[object, Iterator], Iterable], sch
                     setup()
                 yield from produce(key, (v for _, v in group))
 
-        yield from _arrow_batches(outputs(), arrow)
+        yield from arrow_batches(outputs(), arrow)
 
     return df.select("key", "value").repartition("key").sortWithinPartitions("key").mapInArrow(run, schema)
 

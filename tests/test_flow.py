@@ -367,6 +367,31 @@ def test_paths_cut_cycles(spark):
     assert got == Counter(p for nodes in made for p in _slow_paths(nodes, lambda a, b: names.get((a, b), "UNKNOWN_EDGE")))
 
 
+def test_ways_are_made_in_one_pass(spark):
+    """Spans, starts that are no part of a way, nulls; a walk's steps are read once."""
+    rng = random.Random(6)
+    made = [[3], [1, None, 2, None, 1], [None, None], [1] * 5, *[[rng.randrange(3) for _ in range(k % 12)] for k in range(40)], list(range(99)), [1] * 101]
+
+    def slow(nodes):
+        for i in range(len(nodes)):
+            yield nodes[i], nodes[i], "BEGIN"
+            for j in range(i + 1, min(len(nodes), i + 7)):
+                out, at = [], j
+                while at > i:
+                    out.append("UNKNOWN_RELATION")
+                    before = nodes[at - 1]
+                    at = next((k for k in range(i + 1, at) if nodes[k] == before), i) if before is not None else i
+                if len(out) <= 6:
+                    yield nodes[i], nodes[j], "-" + "-".join(out) + "-"
+
+    relation = spark.createDataFrame([(777, 778, "x")], "s bigint, t bigint, name string")
+    paths = walks.walk_paths(_steps(spark, *made), relation, **walks.TWIN)
+    assert Counter(tuple(r) for r in paths.collect()) == Counter(p for nodes in made if len(nodes) < 101 for p in slow(nodes))
+    plan = paths._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") == 1 and "lambdafunction" not in plan and "Union" not in plan
+    assert "SortMergeJoin" not in paths._jdf.queryExecution().executedPlan().toString()
+
+
 def _slow_stats(spark, d):
     """(s, path, t, p, total, targets) of all walks over nations, as the queries' thresholds have it."""
     table = lambda name: spark.read.parquet(f"{d}/{name}.parquet")
