@@ -360,8 +360,9 @@ def _drawn(draw):
 
     def query(spark, d):
         ids = _t(spark, d, "customer").select(F.col("c_custkey").alias("id"))
-        one = ids.repartition(3).select("id", draw(42, F.col("id")).alias("u"))
-        two = ids.repartition(5, "id").select("id", draw(42, F.col("id")).alias("v"))
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))  # two numbers that differ, and grow with the cluster
+        one = ids.repartition(max(3, n)).select("id", draw(42, F.col("id")).alias("u"))
+        two = ids.repartition(max(5, n + 1), "id").select("id", draw(42, F.col("id")).alias("v"))
         return one.join(two, "id").select("id", ((F.col("u") >= 0) & (F.col("u") < 1)).alias("inside"), (F.col("u") == F.col("v")).alias("same"))
 
     return query

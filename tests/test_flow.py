@@ -514,6 +514,22 @@ def test_lookup_default(spark):
     assert sorted(tuple(r) for r in lookup(df, small, ["k"], "v", "none").collect()) == [(1, "x"), (9, "none")]
 
 
+def test_array_draws_are_numpys(spark):
+    offsets = [(x, y) for x in (0, 1, 2**31, 2**32 + 5, 2**63 - 1, -1, -(2**63)) for y in (0, 7, -9)] * 120
+    df = spark.createDataFrame([(k, *xy) for k, xy in enumerate(offsets)], "i int, x bigint, y bigint").coalesce(1)
+    for seed in (0, -3, 2**40 + 1):
+        want = {xy: array_generator(seed, *xy).random_sample() for xy in set(offsets)}
+        got = df.select("x", "y", array_uniform(seed, F.col("x"), F.col("y")).alias("u")).collect()
+        assert len(got) == len(offsets) and all(r.u == want[r.x, r.y] for r in got)
+    assert df.where("i < 0").select(array_uniform(1, F.col("x"))).collect() == []
+
+
+def test_draws_of_the_queries_use_all_partitions(spark):
+    drawn = queries.QUERIES["numpy_random"](spark, "/root/testdata/sf0.001")
+    plan = drawn._jdf.queryExecution().optimizedPlan().toString()
+    assert "Repartition 4" in plan and "Repartition 3" not in plan
+
+
 def test_objects_and_farm(spark):
     df = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "k string, v bigint")
     got = misc.aggregate_objects(df, "k", dict, lambda s, r: {**s, r.v: 1}, lambda k, s: [(k, len(s), max(s))], "k string, n bigint, top bigint")
