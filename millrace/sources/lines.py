@@ -86,7 +86,7 @@ def read_byte_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 def read_records(spark: SparkSession, paths: str | list[str], form: str, names: list[str]) -> DataFrame:
     """Fixed-width records in a form of Python's ``struct``, as ``>IHI``, one column per field. Blocks are read in parallel.
 
-    Spark's record reader hands out bytes; Arrow batches of them are unpacked at once by numpy.
+    Spark's record reader hands out bytes, which go to Arrow batches in the JVM; these are unpacked at once by numpy.
     """
     codes = [(n, c) for n, c in re.findall(r"(\d*)([a-zA-Z?])", form)]
     if form[:1] not in "<>" or any(n or c not in _NUMPY for n, c in codes) or len(codes) != len(names):
@@ -98,13 +98,14 @@ def read_records(spark: SparkSession, paths: str | list[str], form: str, names:
 
     def run(batches):
         for batch in batches:
-            got = np.frombuffer(b"".join(batch.column("r").to_pylist()), dtype=kind)
+            got = np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype=kind)
             cols = [got[n].astype(got[n].dtype.newbyteorder("=")) for n in names]
             yield pa.RecordBatch.from_arrays([pa.array(map(Decimal, x.tolist()), pa.decimal128(20, 0)) if types[n].startswith("dec") else pa.array(x.astype(np.float64 if types[n] == "double" else np.int64)) for n, x in zip(names, cols)], names=names)
 
     where = ",".join([paths] if isinstance(paths, str) else paths)
-    raw = spark.sparkContext.binaryRecords(where, kind.itemsize).map(lambda r: (bytearray(r),)).toDF("r binary")
-    return raw.mapInArrow(run, schema)
+    records = spark.sparkContext._jsc.binaryRecords(where, kind.itemsize).rdd()
+    raw = spark._jsparkSession.createDataset(records, spark.sparkContext._jvm.org.apache.spark.sql.Encoders.BINARY()).toDF()
+    return DataFrame(raw, spark).mapInArrow(run, schema)
 
 
 _NUMPY = {"b": "i1", "B": "u1", "h": "i2", "H": "u2", "i": "i4", "I": "u4", "l": "i4", "L": "u4", "q": "i8", "Q": "u8", "e": "f2", "f": "f4", "d": "f8"}

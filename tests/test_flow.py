@@ -77,6 +77,23 @@ def test_records(spark, tmp_path):
     assert sorted(tuple(r) for r in got.collect()) == rows
 
 
+def test_records_are_written_a_batch_at_a_time(spark, tmp_path, monkeypatch):
+    import struct
+
+    seen, inner = [], pairs.write_binary
+    monkeypatch.setattr(pairs, "write_binary", lambda df, *a, **more: (seen.append(df.count()), inner(df, *a, **more)))
+    df = spark.range(0, 5000, 1, 2).select("id", (F.col("id") % 7).alias("hop"), (F.lit(2**32 - 1) - F.col("id")).alias("node"))
+    pairs.write_records(df, str(tmp_path / "r"), lines.WALK_FORM)
+    assert seen[0] < 10
+    whole = b"".join(f.read_bytes() for f in sorted((tmp_path / "r").glob("source_0_split_*.bin")))
+    assert whole == b"".join(struct.pack(">IHI", i, i % 7, 2**32 - 1 - i) for i in range(5000))
+    back = lines.read_records(spark, f"{tmp_path}/r/source_*", lines.WALK_FORM, lines.WALK_NAMES)
+    assert sorted(tuple(r) for r in back.collect()) == [(i, i % 7, 2**32 - 1 - i) for i in range(5000)]
+    assert "SerializeFromObject" in (plan := back._jdf.queryExecution().optimizedPlan().toString()) and "LogicalRDD" not in plan
+    with pytest.raises(Exception, match="format requires|out of range|error"):
+        pairs.write_records(spark.range(2**32, 2**32 + 1).select("id"), str(tmp_path / "x"), ">I")
+
+
 def test_manifest(spark, tmp_path, corpus):
     (tmp_path / "list").write_text("\n".join(corpus) + "\n")
     assert lines.read_manifest(spark, str(tmp_path / "list")) == corpus
